@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinweave.llm import line_dedup, mixing
+from kinweave.llm import line_dedup, mixing, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return line_dedup.remove_lines(docs, n_lines="n_lines", n_removed="n_removed")
@@ -22,7 +26,7 @@ def op8_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op6_line_dedup, op8_pfair_mixing)}
+    return {f.__name__: f for f in (op3_simhash_trie, op6_line_dedup, op8_pfair_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
