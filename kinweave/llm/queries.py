@@ -4,13 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinweave.llm import line_dedup, mixing, simhash
+from kinweave.llm import line_dedup, mixing, quality, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.score(docs, _table(spark, sf_dir, "labels"))
+
+
 def op3_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -26,7 +31,7 @@ def op8_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_simhash_trie, op6_line_dedup, op8_pfair_mixing)}
+    return {f.__name__: f for f in (op2_quality_crf, op3_simhash_trie, op6_line_dedup, op8_pfair_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
