@@ -4,7 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinweave.llm import line_dedup, mixing, quality, simhash
+from kinweave.llm import line_dedup, mixing, packing, quality, simhash, token_counts
+
+
+TOKENIZER = "byte_bpe_50k.json"
+
+
+def _tokenizer(name: str = TOKENIZER) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,18 +29,26 @@ def op3_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op4_bm25_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents").select("doc_id", "text"), _tokenizer())
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return line_dedup.remove_lines(docs, n_lines="n_lines", n_removed="n_removed")
 
 
+def op7_token_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(_table(spark, sf_dir, "documents").select("text"), _tokenizer())
+
+
 def op8_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mixing.schedule(docs).drop("text")
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_quality_crf, op3_simhash_trie, op6_line_dedup, op8_pfair_mixing)}
+    return {f.__name__: f for f in (op2_quality_crf, op3_simhash_trie, op4_bm25_packing, op6_line_dedup, op7_token_histogram, op8_pfair_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -1,0 +1,101 @@
+import random
+import zlib
+
+import numpy as np
+import pytest
+import public_tokenizers
+from tokenizers import Tokenizer
+
+from kinweave.llm import packing, token_counts
+
+PATH = public_tokenizers.path("byte_bpe_50k.json")
+TOKENS = Tokenizer.from_file(PATH)
+TOKENS.encode_special_tokens = True
+SCHEMA = "doc_id long, text string, length int"
+
+
+def ids_of(text):
+    return TOKENS.encode(text or "", add_special_tokens=False).ids
+
+
+def texts():
+    r = random.Random(9)
+    words = ["lorem", "ipsum", "dolor", "sit", "amet", "the", "of", "Zebra", "quantum", "été", "x\ny"]
+    topics = [r.sample(words, 5) for _ in range(4)]
+    return [None, "", " ", "a  b"] + [" ".join(r.choice(topics[i % 4]) for _ in range(r.choice([3, 50, 400, 700, 6000]))) for i in range(40)]
+
+
+def test_every_id_once(spark):
+    docs = texts()
+    df = spark.createDataFrame([(i, t, 1) for i, t in enumerate(docs)], SCHEMA).repartition(3)
+    rows = packing.pack(df, PATH, shard_docs=7).collect()
+    by_doc, by_sequence = {}, {}
+    for r in rows:
+        by_doc.setdefault(r.doc_id, []).append(r)
+        by_sequence.setdefault(r.sequence_id, []).append(r)
+    assert sorted(by_doc) == list(range(len(docs)))
+    for doc, pieces in by_doc.items():
+        ids = [*ids_of(docs[doc]), 0]
+        at = 0
+        for p in sorted(pieces, key=lambda p: p.start):
+            assert p.start == at and p.doc_tokens == len(ids) and p.length > 0
+            assert p.ids_crc32 == zlib.crc32(np.array(ids[at:at + p.length], "<u4").tobytes())
+            at += p.length
+        assert at == len(ids)
+    short = 0
+    for pieces in by_sequence.values():
+        at = 0
+        for p in sorted(pieces, key=lambda p: p.offset):
+            assert p.offset == at
+            at += p.length
+        assert at <= 1024
+        short += at < 1024
+    assert short <= 3  # the last of each split
+
+
+def test_neighbours_match_plain_bm25():
+    r = np.random.default_rng(2)
+    ids = [r.integers(0, 30, r.integers(5, 60)) for _ in range(25)]
+    idf = r.random(30) + 0.1
+    mean = 31.0
+    shard = packing.Shard(ids, idf, mean)
+    unused = r.random(25) < 0.7
+    for seed in range(25):
+        def weight(d, t):
+            c = int((ids[d] == t).sum())
+            return idf[t] * c * 2.2 / (c + 1.2 * (0.25 + 0.75 * len(ids[d]) / mean))
+        terms = sorted(set(ids[seed].tolist()), key=lambda t: (-weight(seed, t), t))[:6]
+        scores = {d: sum(weight(d, t) for t in terms) for d in range(25) if unused[d]}
+        want = [d for d in sorted(scores, key=lambda d: (-round(scores[d], 9), d)) if scores[d] > 0]
+        got = shard.neighbours(seed, unused, 6).tolist()
+        assert [round(scores[d], 9) for d in got] == [round(scores[d], 9) for d in want] and sorted(got) == sorted(want)
+
+
+def test_packing_empty_and_repeats(spark):
+    assert packing.pack(spark.createDataFrame([], SCHEMA), PATH).count() == 0
+    twice = spark.createDataFrame([(1, "a b", 1), (1, "a b", 1), (None, None, 1)], SCHEMA).coalesce(1)
+    got = packing.pack(twice, PATH).collect()
+    assert sorted((r.doc_id or 0, r.length, r.offset) for r in got) == [(0, 1, 6), (1, 3, 0), (1, 3, 3)]
+
+
+@pytest.mark.parametrize("block", [1024, 5])
+def test_histogram_against_brute_force(spark, block):
+    docs = texts() + ["a b", "a b"]
+    df = spark.createDataFrame([(i, t, 1) for i, t in enumerate(docs)], SCHEMA).repartition(4)
+    lengths = [len(ids_of(t)) for t in docs]
+    hist = token_counts.histogram(df, PATH)
+    sums = token_counts.suffix_sums(hist, block)
+    got = {r.n_tokens: r for r in sums.collect()}
+    assert sorted(got) == sorted(set(lengths))
+    for n, r in got.items():
+        assert r.n_docs == lengths.count(n)
+        assert r.docs_at_least == sum(x >= n for x in lengths)
+        assert r.tokens_at_least == sum(x for x in lengths if x >= n)
+        assert r.truncated_tokens == sum(min(x, n) for x in lengths)
+        assert r.docs_below == sum(x < n for x in lengths)
+        assert r.share_at_most == sum(x <= n for x in lengths) / len(lengths)
+    assert token_counts.quantile(sums, 0.5) == sorted(lengths)[(len(lengths) + 1) // 2 - 1]
+    for r in token_counts.at_limits(hist, [1, 64, 100000]).collect():
+        assert r.truncated_tokens == sum(min(x, r.context) for x in lengths)
+        assert r.docs_over == sum(x > r.context for x in lengths)
+    assert token_counts.token_counts(spark.createDataFrame([], SCHEMA), PATH).count() == 0
