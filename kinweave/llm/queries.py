@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinweave.llm import line_dedup, mixing, packing, quality, simhash, token_counts
+from kinweave.llm import licenses, line_dedup, media, mixing, packing, quality, simhash, token_counts, toxicity
 
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -20,6 +20,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.score(docs, _table(spark, sf_dir, "labels"), {"low_quality": "1 - quality", "toxic": "toxic"})
+
+
 def op2_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality.score(docs, _table(spark, sf_dir, "labels"))
@@ -33,6 +38,10 @@ def op4_bm25_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents").select("doc_id", "text"), _tokenizer())
 
 
+def op5_media_sniffing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.digest_media(media.store_payloads(_table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return line_dedup.remove_lines(docs, n_lines="n_lines", n_removed="n_removed")
@@ -47,8 +56,16 @@ def op8_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.schedule(docs).drop("text")
 
 
+def op10_license_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_quality_crf, op3_simhash_trie, op4_bm25_packing, op6_line_dedup, op7_token_histogram, op8_pfair_mixing)}
+    all_ = (
+        op1_toxicity_chain, op2_quality_crf, op3_simhash_trie, op4_bm25_packing, op5_media_sniffing,
+        op6_line_dedup, op7_token_histogram, op8_pfair_mixing, op10_license_sentences,
+    )
+    return {f.__name__: f for f in all_}
 
 
 def oracle_sql() -> dict[str, str]:
