@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinweave.llm.arrow import slices
+from kinweave.llm.arrow import slices, tree_sum
 from kinweave.llm.bpe import encoder
 from kinweave.sources.shared import materialize
 
@@ -41,14 +41,13 @@ SHARD_DOCS = 2048
 QUERY_TERMS = 24
 END = 0
 K1, B = 1.2, 0.75
-_SUMMED = 64
 
 
 def _token_batches(path: str, vocabulary: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path)
         for batch in batches:
-            frequency = np.zeros(vocabulary, dtype=np.int64)
+            frequency = np.zeros(vocabulary)
             total = 0
             for part in slices(batch, 1):
                 coded = encode.batch(part.column(1))
@@ -66,28 +65,10 @@ def _token_batches(path: str, vocabulary: int):
 _STORED = ["doc_id", "ids", "frequency", "total"]
 
 
-def _sum_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    added, total = None, 0
-    for batch in batches:
-        for vector, n in zip(batch.column(0), batch.column(1)):
-            one = np.frombuffer(vector.as_py(), dtype=np.int64)
-            added, total = (one.copy() if added is None else added + one), total + n.as_py()
-    if added is not None:
-        yield pa.RecordBatch.from_arrays([pa.array([added.tobytes()], pa.binary()), pa.array([total])], ["frequency", "total"])
-
-
 def corpus_frequencies(stored: DataFrame, vocabulary: int) -> tuple[np.ndarray, int]:
     """(document frequency of each id, number of ids): per-batch vectors summed in a tree of tasks."""
-    vectors = stored.filter("frequency is not null").select("frequency", "total")
-    parts = vectors.rdd.getNumPartitions()
-    vectors = vectors.mapInArrow(_sum_batches, "frequency binary, total long")
-    while parts > _SUMMED:
-        parts = -(-parts // _SUMMED)
-        vectors = vectors.repartition(parts).mapInArrow(_sum_batches, "frequency binary, total long")
-    rows = vectors.collect()  # at most _SUMMED vectors of vocabulary length
-    if not rows:
-        return np.zeros(vocabulary, dtype=np.int64), 0
-    return sum(np.frombuffer(r.frequency, dtype=np.int64) for r in rows), sum(r.total for r in rows)
+    frequency, total = tree_sum(stored.filter("frequency is not null").select(F.col("frequency").alias("vector"), "total"))
+    return (np.zeros(vocabulary), 0) if frequency is None else (frequency, total)
 
 
 class Shard:

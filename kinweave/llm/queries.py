@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinweave.llm import licenses, line_dedup, media, mixing, packing, quality, simhash, token_counts, toxicity
-
+from kinweave.llm import licenses, line_dedup, lm_score, media, mixing, packing, quality, simhash, token_counts, toxicity
 
 TOKENIZER = "byte_bpe_50k.json"
 
 
-def _tokenizer(name: str = TOKENIZER) -> str:
+def tokenizer_path(name: str = TOKENIZER) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
@@ -35,7 +34,7 @@ def op3_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_bm25_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(_table(spark, sf_dir, "documents").select("doc_id", "text"), _tokenizer())
+    return packing.pack(_table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path())
 
 
 def op5_media_sniffing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,7 +47,7 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_token_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.token_counts(_table(spark, sf_dir, "documents").select("text"), _tokenizer())
+    return token_counts.token_counts(_table(spark, sf_dir, "documents").select("text"), tokenizer_path())
 
 
 def op8_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,6 +55,10 @@ def op8_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.schedule(docs).drop("text")
 
 
+def op9_gru_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_license_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -63,7 +66,7 @@ def op10_license_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     all_ = (
         op1_toxicity_chain, op2_quality_crf, op3_simhash_trie, op4_bm25_packing, op5_media_sniffing,
-        op6_line_dedup, op7_token_histogram, op8_pfair_mixing, op10_license_sentences,
+        op6_line_dedup, op7_token_histogram, op8_pfair_mixing, op9_gru_scores, op10_license_sentences,
     )
     return {f.__name__: f for f in all_}
 
