@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinweave.functions.vectors import doubles, normalise
+from kinweave.sources.shared import materialize
 
 
 def unit_rows(df: DataFrame, vec: str = "embedding") -> DataFrame:
@@ -43,7 +44,7 @@ def fit_whitening(df: DataFrame, vec: str = "embedding", dims: int = 256, eigen_
 
     Moments are added in the tasks and summed by position, so the driver gets one matrix of the vectors' width.
     """
-    parts = df.select(doubles(vec).alias("v")).filter("v is not null").mapInArrow(_moment_batches, "n long, total array<double>, square array<double>")
+    parts = materialize(df.select(doubles(vec).alias("v")).filter("v is not null").mapInArrow(_moment_batches, "n long, total array<double>, square array<double>"), "moments")
     n = parts.agg(F.sum("n")).first()[0]
     if not n:
         raise ValueError("no vectors")
