@@ -1,17 +1,475 @@
-"""Registered queries of the clustering engine and their SQL."""
+"""Registered queries of the clustering engine, each beside its DuckDB SQL."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from kinweave.functions import vectors
+from kinweave.operators import centroids, density, evaluate, labels, mediator, neighbours, pairs, propagate, rank_order, transform
+from kinweave.operators.components import connected_components
+from kinweave.plans import sql
+from kinweave.plans.cluster import CDP, Clusters, clusters_of, whitened_kmeans
+from kinweave.plans.sql import K, MAX_SZ, MEMBERS, STEP, TH
+from kinweave.sources import files, toys
+from kinweave.sources.shared import materialize
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_ORACLES: dict[str, str] = {}
+
+
+def _query(oracle: str | None = None, name: str | None = None):
+    def add(f):
+        _QUERIES[name or f.__name__] = f
+        if oracle:
+            _ORACLES[name or f.__name__] = oracle
+        return f
+
+    return add
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _emb(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label")
+
+
+def _member(emb: DataFrame, name: str) -> DataFrame:
+    first, last = MEMBERS[name]
+    return emb.select("id", F.slice("embedding", first, last - first + 1).alias("embedding"))
+
+
+def _lists(emb: DataFrame, **options) -> DataFrame:
+    return materialize(neighbours.knn(emb, K, **options), "knn")
+
+
+def _committee(emb: DataFrame) -> dict[str, DataFrame]:
+    return {m: _lists(_member(emb, m)) for m in MEMBERS}
+
+
+def _pairs(emb: DataFrame, th: float = TH) -> DataFrame:
+    return materialize(pairs.vote_pairs(_lists(emb), [], 0, th), "pairs")
+
+
+def _clusters(spark: SparkSession, sf_dir: str, max_sz: int = MAX_SZ, max_iter: int = 100) -> Clusters:
+    emb = _emb(spark, sf_dir)
+    return clusters_of(emb.select("id"), _pairs(emb), max_sz, STEP, max_iter)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Sizes of the bounded clusters of the embeddings."""
+    return evaluate.cluster_sizes(_clusters(spark, sf_dir).labels)
+
+
+# neighbour lists
+
+_ROUNDED = "SELECT id, rank::INTEGER AS rank, nbr, round(dist, 6) AS dist FROM knn"
+
+
+def _rounded(lists: DataFrame) -> DataFrame:
+    return lists.select("id", "rank", "nbr", F.round("dist", 6).alias("dist"))
+
+
+def _knn_query(metric: str):
+    return lambda spark, sf_dir: _rounded(neighbours.knn(_emb(spark, sf_dir), K, metric))
+
+
+for _m in ("cosine", "l1", "l2", "linf", "angular"):
+    _query(f"WITH {sql.EMB}, {sql.knn(metric=_m)} {_ROUNDED}", f"knn_{_m}")(_knn_query(_m))
+
+
+@_query(f"WITH {sql.CODES}, {sql.knn(source='codes', metric='hamming')} {_ROUNDED}")
+def knn_hamming(spark, sf_dir):
+    codes = _emb(spark, sf_dir).select("id", F.transform(vectors.doubles("embedding"), lambda x: F.floor(x * 64).cast("long") + 64).alias("embedding"))
+    return _rounded(neighbours.knn(codes, K, "hamming"))
+
+
+@_query(f"WITH {sql.EMB}, {sql.knn(metric='l2')} SELECT id, rank::INTEGER AS rank, nbr, round(dist / max(dist) OVER (), 6) AS dist FROM knn")
+def knn_l2_normalised(spark, sf_dir):
+    return _rounded(neighbours.knn(_emb(spark, sf_dir), K, "l2", scaled=True))
+
+
+@_query(f"WITH {sql.EMB}, {sql.knn()} {_ROUNDED}")
+def knn_block_join(spark, sf_dir):
+    """The form for tables too large to give to every task."""
+    return _rounded(neighbours.knn(_emb(spark, sf_dir), K, block_rows=128, broadcast_bytes=0))
+
+
+@_query(f"WITH {sql.EMB}, {sql.knn()} SELECT nbr, count(*) AS n FROM knn GROUP BY nbr")
+def knn_hubness(spark, sf_dir):
+    return neighbours.hubness(neighbours.knn(_emb(spark, sf_dir), K))
+
+
+@_query()
+def knn_recall_ivf(spark, sf_dir):
+    emb = _emb(spark, sf_dir)
+    return neighbours.recall(neighbours.knn(emb, K, strategy="ivf", probes=6), neighbours.knn(emb, K), K)
+
+
+@_query(f"WITH {sql.EMB}, {sql.knn()} SELECT id, string_agg(nbr::VARCHAR, ',' ORDER BY rank) || ',-1,-1' AS nbrs FROM knn GROUP BY id")
+def knn_padded(spark, sf_dir):
+    return neighbours.wide(neighbours.knn(_emb(spark, sf_dir), K), K + 2).select("id", F.array_join("nbrs", ",").alias("nbrs"))
+
+
+@_query(f"WITH {sql.EMB}, {sql.knn()}, g AS (SELECT id AS a, nbr AS b FROM knn WHERE id <> nbr) SELECT a, b, sum(0.5)::DOUBLE AS w FROM (SELECT a, b FROM g UNION ALL SELECT b, a FROM g) GROUP BY a, b")
+def knn_connectivity(spark, sf_dir):
+    return neighbours.connectivity(neighbours.knn(_emb(spark, sf_dir), K), symmetric=True)
+
+
+@_query(f"WITH {sql.EMB}, {sql.knn()} SELECT id, nbr, round(dist, 6) AS dist FROM knn WHERE 1 - dist >= 0.3 AND id <> nbr")
+def knn_floor_graph(spark, sf_dir):
+    return neighbours.floor_graph(neighbours.knn(_emb(spark, sf_dir), K), 0.3).withColumn("dist", F.round("dist", 6))
+
+
+@_query(f"WITH {sql.members()} " + " UNION ALL ".join(f"SELECT '{m}' AS model, id, rank::INTEGER AS rank, nbr FROM knn_{m}" for m in MEMBERS))
+def knn_per_model(spark, sf_dir):
+    emb = _emb(spark, sf_dir)
+    long = None
+    for m in MEMBERS:
+        part = _member(emb, m).withColumn("model", F.lit(m))
+        long = part if long is None else long.unionByName(part)
+    return neighbours.knn_models(long, K).drop("dist")
+
+
+# pairs and their features
+
+
+@_query(f"WITH {sql.ALL} SELECT a, b FROM allp")
+def pairs_all(spark, sf_dir):
+    return pairs.all_pairs(neighbours.knn(_emb(spark, sf_dir), K))
+
+
+@_query(f"WITH {sql.PAIRS} SELECT a, b, round(score, 6) AS score FROM pairs")
+def pairs_threshold(spark, sf_dir):
+    return _pairs(_emb(spark, sf_dir)).withColumn("score", F.round("score", 6))
+
+
+@_query(f"WITH {sql.VOTES} SELECT id, rank::INTEGER AS rank, nbr, votes FROM votes")
+def vote_counts(spark, sf_dir):
+    emb = _emb(spark, sf_dir)
+    return pairs.votes(_lists(emb), list(_committee(emb).values()), TH).drop("score")
+
+
+@_query(f"WITH {sql.VOTES}, passed AS (SELECT * FROM votes WHERE votes >= 2), p AS ({sql.canonical('passed')}) SELECT a, b, round(score, 6) AS score FROM p")
+def vote_pairs(spark, sf_dir):
+    emb = _emb(spark, sf_dir)
+    return pairs.vote_pairs(_lists(emb), list(_committee(emb).values()), 2, TH).withColumn("score", F.round("score", 6))
+
+
+@_query(f"WITH {sql.members()}, {sql.ALL.removeprefix(sql.EMB + ', ')} SELECT a, b, " + ", ".join(f"(EXISTS (SELECT 1 FROM knn_{m} k WHERE (k.id = a AND k.nbr = b) OR (k.id = b AND k.nbr = a)))::INTEGER::DOUBLE AS rel_{m}" for m in MEMBERS) + " FROM allp")
+def feat_relationship(spark, sf_dir):
+    emb = _emb(spark, sf_dir)
+    return pairs.relationship(pairs.all_pairs(_lists(emb)), _committee(emb))
+
+
+@_query(f"WITH {sql.ALL} SELECT p.a, p.b, round(list_cosine_similarity(x.e, y.e), 6) AS aff_base, " + ", ".join(f"round(list_cosine_similarity(x.e[{f}:{t}], y.e[{f}:{t}]), 6) AS aff_{m}" for m, (f, t) in MEMBERS.items()) + " FROM allp p JOIN emb x ON p.a = x.id JOIN emb y ON p.b = y.id")
+def feat_affinity(spark, sf_dir):
+    emb = _emb(spark, sf_dir)
+    out = pairs.affinity(pairs.all_pairs(_lists(emb)), {"base": emb, **{m: _member(emb, m) for m in MEMBERS}})
+    return out.select("a", "b", *[F.round(c, 6).alias(c) for c in out.columns[2:]])
+
+
+@_query(f"WITH {sql.members()}, {sql.ALL.removeprefix(sql.EMB + ', ')} SELECT a, b, " + ", ".join(f"(SELECT count(*) FROM knn{s} x JOIN knn{s} y ON x.nbr = y.nbr WHERE x.id = a AND y.id = b)::INTEGER AS str_{m}" for m, s in {"base": "", **{m: f"_{m}" for m in MEMBERS}}.items()) + " FROM allp")
+def feat_structure(spark, sf_dir):
+    emb = _emb(spark, sf_dir)
+    base = _lists(emb)
+    return pairs.structure(pairs.all_pairs(base), {"base": base, **_committee(emb)})
+
+
+_LABELLED = "SELECT p.a, p.b, (x.label = y.label)::INTEGER::DOUBLE AS label FROM allp p JOIN emb x ON p.a = x.id JOIN emb y ON p.b = y.id"
+
+
+@_query(f"WITH {sql.ALL} {_LABELLED}")
+def pair_labels(spark, sf_dir):
+    emb = _emb(spark, sf_dir)
+    return pairs.labelled(pairs.all_pairs(_lists(emb)), emb)
+
+
+@_query(f"WITH {sql.ALL} SELECT count(*) AS pairs, round(avg(label), 9) AS accuracy FROM ({_LABELLED})")
+def pair_accuracy(spark, sf_dir):
+    emb = _emb(spark, sf_dir)
+    return evaluate.pair_accuracy(pairs.labelled(pairs.all_pairs(_lists(emb)), emb)).withColumn("accuracy", F.round("accuracy", 9))
+
+
+@_query(
+    f"WITH {sql.ALL}, s AS (SELECT list_cosine_similarity(x.e, y.e) > {TH} AS yes, x.label = y.label AS real FROM allp p JOIN emb x ON p.a = x.id JOIN emb y ON p.b = y.id)"
+    " SELECT round(avg((yes = real)::INTEGER), 9) AS acc, round(avg(yes::INTEGER), 9) AS abs_recall, round(sum(yes::INTEGER)::DOUBLE / nullif(sum(real::INTEGER), 0), 9) AS rel_recall,"
+    " round(sum((yes AND NOT real)::INTEGER)::DOUBLE / nullif(sum(yes::INTEGER), 0), 9) AS false_pos, round(sum((real AND NOT yes)::INTEGER)::DOUBLE / nullif(sum((NOT yes)::INTEGER), 0), 9) AS false_neg FROM s"
+)
+def pair_classifier_metrics(spark, sf_dir):
+    emb = _emb(spark, sf_dir)
+    scored = pairs.affinity(pairs.labelled(pairs.all_pairs(_lists(emb)), emb), {"base": emb}).withColumnRenamed("aff_base", "score")
+    out = evaluate.pair_metrics(scored, TH)
+    return out.select(*[F.round(c, 9).alias(c) for c in out.columns])
+
+
+_LAYERS = [([[1.0, -0.5], [-0.75, 0.25], [0.5, 0.5]], [0.1, 0.0, -0.2]), ([[0.3, -0.6, 0.9], [-0.4, 0.8, 0.2]], [0.05, -0.05])]
+
+
+def _sql_forward(x: list[str]) -> str:
+    (w1, b1), (w2, b2) = _LAYERS
+    hidden = ["greatest(0, " + " + ".join(f"({w}) * {v}" for w, v in zip(row, x)) + f" + ({b}))" for row, b in zip(w1, b1)]
+    out = [" + ".join(f"({w}) * {h}" for w, h in zip(row, hidden)) + f" + ({b})" for row, b in zip(w2, b2)]
+    return f"exp({out[1]}) / (exp({out[0]}) + exp({out[1]}))"
+
+
+@_query(f"WITH {sql.ALL}, f AS (SELECT p.a, p.b, list_cosine_similarity(x.e, y.e) AS s, list_cosine_similarity(x.e[1:48], y.e[1:48]) AS t FROM allp p JOIN emb x ON p.a = x.id JOIN emb y ON p.b = y.id), g AS (SELECT a, b, {_sql_forward(['s', 't'])} AS score FROM f) SELECT a, b, round(score, 6) AS score FROM g WHERE score > 0.41")
+def mediator_fixed_weights(spark, sf_dir):
+    emb = _emb(spark, sf_dir)
+    f = pairs.affinity(pairs.all_pairs(_lists(emb)), {"base": emb, "lo": _member(emb, "lo")})
+    scored = f.withColumn("score", mediator.forward(F.array("aff_base", "aff_lo"), _LAYERS))
+    return mediator.select(scored, 0.41).withColumn("score", F.round("score", 6))
+
+
+@_query()
+def mediator_trained(spark, sf_dir):
+    emb = _emb(spark, sf_dir)
+    features = {"base": emb, **{m: _member(emb, m) for m in MEMBERS}}
+    found = materialize(pairs.pair_set(_lists(emb), _committee(emb), features, truth=emb), "pair-set")
+    model = mediator.train(found, pairs.feature_columns("base", list(MEMBERS)), max_iter=20)
+    return mediator.infer(model, found).select("a", "b", "score")
+
+
+# components, propagation, labels
+
+
+@_query(f"WITH RECURSIVE {sql.PAIRS}, {sql.components('pairs')} SELECT id, comp FROM comp")
+def components(spark, sf_dir):
+    return connected_components(_pairs(_emb(spark, sf_dir)))
+
+
+@_query(f"WITH RECURSIVE {sql.PAIRS}, {sql.components('pairs')} SELECT id, comp FROM comp")
+def components_star_rounds(spark, sf_dir):
+    """The distributed form, without a local finish."""
+    return connected_components(_pairs(_emb(spark, sf_dir)), local_edges=0)
+
+
+@_query(f"WITH RECURSIVE {sql.PAIRS}, strong AS (SELECT * FROM pairs WHERE score >= 0.36), {sql.components('strong', nodes='(SELECT a AS v FROM pairs UNION SELECT b FROM pairs)')} SELECT id, comp, count(*) OVER (PARTITION BY comp) AS size, count(*) OVER (PARTITION BY comp) <= 5 AS kept FROM comp")
+def components_bounded(spark, sf_dir):
+    return propagate.bounded_components(_pairs(_emb(spark, sf_dir)), 5, 0.36)
+
+
+@_query(f"WITH RECURSIVE {sql.PAIRS}, {sql.propagation('pairs', 5)} SELECT id, comp FROM prop")
+def propagate_bounded(spark, sf_dir):
+    return propagate.propagate(_pairs(_emb(spark, sf_dir)), MAX_SZ, STEP)
+
+
+@_query(f"WITH RECURSIVE {sql.PAIRS}, {sql.propagation('pairs', 1)} SELECT id, comp FROM prop")
+def propagate_max_iter_merge(spark, sf_dir):
+    return propagate.propagate(_pairs(_emb(spark, sf_dir)), MAX_SZ, STEP, max_iter=1)
+
+
+@_query(f"WITH RECURSIVE {sql.PAIRS}, {sql.propagation('pairs', 8, 8)} SELECT id, comp FROM prop")
+def propagate_distributed_rounds(spark, sf_dir):
+    """The form for oversized components that no task may hold."""
+    return propagate.propagate(_pairs(_emb(spark, sf_dir)), 8, STEP, max_iter=8, local_edges=20)
+
+
+@_query()
+def propagate_soft(spark, sf_dir):
+    return propagate.propagate_soft(_pairs(_emb(spark, sf_dir)), MAX_SZ, STEP, max_depth=2)[1]
+
+
+@_query(f"WITH RECURSIVE {sql.CLUSTERED} SELECT id, label FROM lab")
+def cluster_labels(spark, sf_dir):
+    return _clusters(spark, sf_dir).labels
+
+
+@_query(f"WITH RECURSIVE {sql.CLUSTERED}, {sql.SINGLES} SELECT id, label FROM singles")
+def cluster_singletons_kept(spark, sf_dir):
+    return labels.keep_singletons(_clusters(spark, sf_dir).labels)
+
+
+@_query(f"WITH RECURSIVE {sql.CLUSTERED} SELECT label, count(*) AS n FROM lab GROUP BY label")
+def cluster_sizes(spark, sf_dir):
+    return flagship(spark, sf_dir)
+
+
+@_query(f"WITH RECURSIVE {sql.CLUSTERED} SELECT count(*) AS num_images, count(DISTINCT label) FILTER (WHERE label <> -1) AS num_class, round(count(*) FILTER (WHERE label <> -1)::DOUBLE / nullif(count(DISTINCT label) FILTER (WHERE label <> -1), 0), 9) AS num_per_class, round(1 - count(*) FILTER (WHERE label <> -1)::DOUBLE / count(*), 9) AS discard_ratio FROM lab")
+def cluster_summary(spark, sf_dir):
+    out = _clusters(spark, sf_dir).summary()
+    return out.select("num_images", "num_class", F.round("num_per_class", 9).alias("num_per_class"), F.round("discard_ratio", 9).alias("discard_ratio"))
+
+
+@_query(f"WITH RECURSIVE {sql.CLUSTERED} SELECT count(DISTINCT label) FILTER (WHERE label <> -1) + count(*) FILTER (WHERE label = -1) AS num_clusters FROM lab")
+def cluster_count(spark, sf_dir):
+    return evaluate.cluster_count(_clusters(spark, sf_dir).labels)
+
+
+@_query(f"WITH RECURSIVE {sql.CLUSTERED} SELECT e.label, l.label AS pred, count(*) AS n FROM emb e JOIN lab l ON e.id = l.id GROUP BY ALL")
+def contingency(spark, sf_dir):
+    return evaluate.contingency(evaluate.paired(_emb(spark, sf_dir), _clusters(spark, sf_dir).labels))
+
+
+@_query(f"WITH RECURSIVE {sql.CLUSTERED}, removed AS (SELECT * FROM lab WHERE label <> -1), {sql.fscore('removed')}")
+def fscore_removed(spark, sf_dir):
+    return _scores(_clusters(spark, sf_dir).score(_emb(spark, sf_dir)))
+
+
+@_query(f"WITH RECURSIVE {sql.CLUSTERED}, {sql.SINGLES}, {sql.fscore('singles')}")
+def fscore_kept(spark, sf_dir):
+    return _scores(_clusters(spark, sf_dir).score(_emb(spark, sf_dir), keep=True))
+
+
+def _scores(scores: DataFrame) -> DataFrame:
+    return scores.select("tk", "pk", "qk", *[F.round(c, 6).alias(c) for c in ("prec", "recall", "fscore")])
+
+
+@_query(f"WITH RECURSIVE {sql.VOTES}, passed AS (SELECT * FROM votes WHERE votes >= 3), pairs AS MATERIALIZED ({sql.canonical('passed')}), {sql.propagation('pairs', 5)}, {sql.LABELS} SELECT id, label FROM lab")
+def cluster_vote_end_to_end(spark, sf_dir):
+    emb = _emb(spark, sf_dir)
+    return CDP(k=K, th=TH, max_sz=MAX_SZ, step=STEP).fit_many([emb, *[_member(emb, m) for m in MEMBERS]]).labels
+
+
+@_query(f"WITH RECURSIVE {sql.ALL}, pairs AS MATERIALIZED (SELECT a, b, 1.0 AS score FROM ({_LABELLED}) WHERE label = 1), {sql.propagation('pairs', 1)}, {sql.LABELS} SELECT id, label FROM lab")
+def cluster_ground_truth(spark, sf_dir):
+    emb = _emb(spark, sf_dir)
+    chosen = pairs.ground_truth(pairs.labelled(pairs.all_pairs(_lists(emb)), emb))
+    return clusters_of(emb.select("id"), chosen, MAX_SZ, STEP, 1).labels
+
+
+# baselines
+
+_L2 = sql.DISTANCE["l2"]
+_EXACT_L2 = "sqrt(greatest(2 - 2 * list_cosine_similarity(a.e, b.e), 0))"
+
+
+def _radius(r: float) -> str:
+    return f"{sql.EMB}, g AS MATERIALIZED (SELECT a.id, b.id AS nbr FROM emb a, emb b WHERE {_L2} <= {r})"
+
+
+@_query(f"WITH RECURSIVE {_radius(1.12)}, ge AS (SELECT id AS a, nbr AS b FROM g), {sql.components('ge')} SELECT id, comp FROM comp")
+def radius_components(spark, sf_dir):
+    return density.single_linkage(_emb(spark, sf_dir), 1.12)
+
+
+@_query(f"WITH RECURSIVE {_radius(1.12)}, {sql.dbscan('g', 3)} SELECT id, comp, core FROM dens")
+def dbscan(spark, sf_dir):
+    return density.dbscan(_emb(spark, sf_dir), 1.12, 3)
+
+
+@_query(f"WITH RECURSIVE {sql.EMB}, {sql.knn()}, one AS (SELECT id, nbr FROM knn WHERE id <> nbr AND 1 - dist >= 0.3 AND dist <= 0.66), g AS MATERIALIZED (SELECT id, nbr FROM one UNION SELECT nbr, id FROM one UNION SELECT id, id FROM emb), {sql.dbscan('g', 6)} SELECT id, comp, core FROM dens")
+def knn_dbscan(spark, sf_dir):
+    return density.knn_dbscan(_lists(_emb(spark, sf_dir)), 0.66, 6, least=0.3)
+
+
+_RANK_ORDER = (
+    f"{sql.EMB}, {sql.knn()}, w AS MATERIALIZED (SELECT id, list(nbr ORDER BY rank) AS f FROM knn GROUP BY id), ro AS MATERIALIZED (SELECT k.id, k.nbr, k.rank - 1 AS oi, coalesce(list_position(y.f, k.id), 0) AS oj, x.f AS fi, y.f AS fj"
+    " FROM knn k JOIN w x ON k.id = x.id JOIN w y ON k.nbr = y.id WHERE k.rank > 1), rod AS MATERIALIZED (SELECT id, nbr, CASE WHEN oj = 0 THEN 9999.0 ELSE"
+    " (len(list_filter(fi[1:oi], lambda x: NOT list_contains(fj, x))) + len(list_filter(fj[1:oj], lambda x: NOT list_contains(fi, x))))::DOUBLE / least(oi, oj) END AS d FROM ro)"
+)
+
+
+@_query(f"WITH {_RANK_ORDER} SELECT id, nbr, round(d, 6)::DOUBLE AS d FROM rod")
+def rank_order_distance(spark, sf_dir):
+    return rank_order.rank_order_distance(neighbours.knn(_emb(spark, sf_dir), K)).withColumn("d", F.round("d", 6))
+
+
+@_query(f"WITH RECURSIVE {_RANK_ORDER}, near AS (SELECT id AS a, nbr AS b FROM rod WHERE d <= 0.5), {sql.components('near', nodes='(SELECT id AS v FROM emb)')} SELECT id, comp FROM comp")
+def rank_order_clusters(spark, sf_dir):
+    return rank_order.rank_order_clusters(_lists(_emb(spark, sf_dir)), 0.5)
+
+
+@_query()
+def kmeans(spark, sf_dir):
+    return centroids.kmeans(_emb(spark, sf_dir), 10)[0]
+
+
+@_query()
+def minibatch_kmeans(spark, sf_dir):
+    return centroids.minibatch_kmeans(_emb(spark, sf_dir), 10, batch_rows=200)
+
+
+@_query()
+def bisecting(spark, sf_dir):
+    return centroids.bisecting(_emb(spark, sf_dir), 10)
+
+
+@_query()
+def gaussian_mixture(spark, sf_dir):
+    return centroids.gaussian_mixture(_emb(spark, sf_dir).withColumn("embedding", F.slice("embedding", 1, 8)), 4)
+
+
+@_query()
+def spectral(spark, sf_dir):
+    return centroids.spectral(_lists(_emb(spark, sf_dir)), 5)
+
+
+@_query()
+def hdbscan(spark, sf_dir):
+    return density.hdbscan(_emb(spark, sf_dir), 5, graph_k=30)
+
+
+@_query()
+def whitened_kmeans_labels(spark, sf_dir):
+    return whitened_kmeans(_emb(spark, sf_dir), 10, dims=32)[0]
+
+
+@_query()
+def toy_affinity_propagation(spark, sf_dir):
+    return centroids.affinity_propagation(toys.blobs(spark, 300), preference=-200.0)
+
+
+@_query()
+def toy_mean_shift(spark, sf_dir):
+    return centroids.mean_shift(toys.blobs(spark, 300), 3.0)
+
+
+# transforms, sources, scores
+
+
+@_query(f"WITH {sql.EMB} SELECT id, round(list_sum(list_transform(e, lambda x: x * 2)) / (2 * sqrt(list_sum(list_transform(e, lambda x: x * x)))), 6) AS total FROM emb")
+def unit_rows(spark, sf_dir):
+    emb = _emb(spark, sf_dir).withColumn("embedding", F.transform(vectors.doubles("embedding"), lambda x: x * 2))
+    return transform.unit_rows(emb).select("id", F.round(vectors.total(F.col("embedding")), 6).alias("total"))
+
+
+@_query(f"WITH {sql.EMB}, m AS (SELECT avg(e[1]) AS m, stddev_pop(e[1]) AS s FROM emb) SELECT id, round((e[1] - m) / s, 6) AS first FROM emb, m")
+def standardised(spark, sf_dir):
+    return transform.standardise(_emb(spark, sf_dir)).select("id", F.round(F.col("embedding")[0], 6).alias("first"))
+
+
+@_query(f"WITH {sql.EMB} SELECT id, 1.0::DOUBLE AS norm FROM emb")
+def pca_whiten_norms(spark, sf_dir):
+    emb = _emb(spark, sf_dir)
+    white = transform.whiten(emb, *transform.fit_whitening(emb, dims=32))
+    return white.select("id", F.round(vectors.norm(F.col("embedding")), 6).alias("norm"))
+
+
+@_query(f"WITH {sql.EMB} SELECT id, label FROM emb WHERE id < 100")
+def subset_head(spark, sf_dir):
+    return files.head(_emb(spark, sf_dir), 100).select("id", "label")
+
+
+@_query(f"WITH {sql.EMB} SELECT label, string_agg(id::VARCHAR, ',' ORDER BY id) AS ids FROM emb GROUP BY label")
+def label_index(spark, sf_dir):
+    return files.read_meta(_emb(spark, sf_dir))[0].select("label", F.array_join("ids", ",").alias("ids"))
+
+
+@_query(f"WITH {sql.EMB} SELECT round(100.0 * avg(list_contains((list_grade_up(list_transform(e[1:10], lambda x: -x)))[1:3], label + 1)::INTEGER), 6) AS precision FROM emb")
+def precision_at_3(spark, sf_dir):
+    emb = _emb(spark, sf_dir).select(F.slice(vectors.doubles("embedding"), 1, 10).alias("output"), "label")
+    return evaluate.precision_at(emb, 3).withColumn("precision", F.round("precision", 6))
+
+
+@_query()
+def document_near_copy_clusters(spark, sf_dir):
+    """The whole chain on hashed words of all documents; near copies share clusters."""
+    docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.split(F.lower("text"), r"\s+").alias("words"))
+    grams = docs.select("id", F.explode("words").alias("w")).filter("w <> ''").select("id", F.pmod(F.xxhash64("w"), F.lit(256)).cast("int").alias("d"))
+    counts = grams.groupBy("id", "d").agg(F.count(F.lit(1)).alias("n"))
+    entries = counts.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("d", "n"))).alias("m"))
+    vectors_ = entries.select("id", F.transform(F.sequence(F.lit(0), F.lit(255)), lambda i: F.coalesce(F.element_at("m", i), F.lit(0)).cast("double")).alias("embedding"))
+    return CDP(k=K, th=0.99, max_sz=MAX_SZ, step=STEP).fit(materialize(vectors_, "text-vectors")).labels
 
 
-def queries() -> dict:
-    return {}
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_ORACLES)
