@@ -19,7 +19,7 @@ def dense_index(keys: DataFrame, key: str, name: str = "index") -> DataFrame:
     before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
     starts = counts.select("bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
     inside = Window.partitionBy("bucket").orderBy(key)
-    return rows.withColumn("k", F.row_number().over(inside) - 1).join(starts, "bucket").select(key, (F.col("start") + F.col("k")).cast("long").alias(name))
+    return rows.withColumn("__place", F.row_number().over(inside) - 1).join(starts, "bucket").select(key, (F.col("start") + F.col("__place")).cast("long").alias(name))
 
 
 def label_items(items: DataFrame, membership: DataFrame, id_col: str = "id") -> DataFrame:
