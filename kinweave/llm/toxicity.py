@@ -19,7 +19,6 @@ empty result; extra columns are unused.
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -46,23 +45,43 @@ def words_of(text: bytes) -> set[bytes]:
     return set(text.translate(_LOWER, _DROP).split())
 
 
-def choose_words(docs: Sequence[set[bytes]], y: np.ndarray, most: int = WORDS, least_docs: int = 3, least_chi2: float = LEAST_CHI2) -> dict[bytes, int]:
-    """The ``most`` words with the largest chi-square against ``y``, all above ``least_chi2``, numbered."""
-    n, positive = len(docs), int(y.sum())
-    seen, with_y = Counter(), Counter()
-    for words, label in zip(docs, y):
-        seen.update(words)
-        if label:
-            with_y.update(words)
-    scored = []
-    for word, df in seen.items():
-        if df >= least_docs and df < n:
-            a = with_y[word]
-            gap = a * n - df * positive
-            chi2 = gap * gap * n / (df * (n - df) * positive * (n - positive))
-            if chi2 >= least_chi2:
-                scored.append((-chi2, word))
-    return {word: i for i, (_, word) in enumerate(sorted(scored)[:most])}
+@dataclass(frozen=True)
+class Presence:
+    """Which words (numbered) each document has, as parallel arrays sorted by document."""
+
+    words: list[bytes]
+    row: np.ndarray
+    column: np.ndarray
+    docs: int
+
+    def of(self, chosen: np.ndarray) -> Presence:
+        """The documents ``chosen`` (a mask), renumbered."""
+        kept = chosen[self.row]
+        return Presence(self.words, (np.cumsum(chosen) - 1)[self.row[kept]], self.column[kept], int(chosen.sum()))
+
+
+def presence(texts: Sequence[bytes], least_docs: int = 3) -> Presence:
+    """Words of at least ``least_docs`` documents."""
+    number: dict[bytes, int] = {}
+    found = [np.array([number.setdefault(w, len(number)) for w in words_of(t)], dtype=np.int32) for t in texts]
+    column = np.concatenate(found) if found else np.zeros(0, np.int32)
+    row = np.repeat(np.arange(len(found)), [len(f) for f in found])
+    common = np.bincount(column, minlength=len(number)) >= least_docs
+    place = np.cumsum(common) - 1
+    kept = common[column]
+    words = [w for w, i in number.items() if common[i]]
+    return Presence(words, row[kept], place[column[kept]], len(found))
+
+
+def choose_words(x: Presence, y: np.ndarray, most: int = WORDS, least_chi2: float = LEAST_CHI2) -> np.ndarray:
+    """Numbers of the ``most`` words with the largest chi-square against ``y``, all above ``least_chi2``."""
+    n, positive = float(x.docs), float(y.sum())
+    df = np.bincount(x.column, minlength=len(x.words)).astype(np.float64)
+    gap = np.bincount(x.column, weights=y[x.row], minlength=len(x.words)) * n - df * positive
+    below = df * (n - df) * positive * (n - positive)
+    chi2 = np.where(below > 0, gap * gap * n / np.where(below > 0, below, 1), 0)
+    order = sorted(np.flatnonzero(chi2 >= least_chi2).tolist(), key=lambda i: (-chi2[i], x.words[i]))
+    return np.array(order[:most], dtype=np.int64)
 
 
 @dataclass(frozen=True)
@@ -79,16 +98,17 @@ class Linear:
         return 1 / (1 + math.exp(-z)) if z >= 0 else math.exp(z) / (1 + math.exp(z))
 
 
-def fit_linear(docs: Sequence[set[bytes]], earlier: np.ndarray, y: np.ndarray, penalty: float = PENALTY, steps: int = STEPS) -> Linear:
-    """Logistic regression by accelerated gradient steps; constant without two classes."""
+def fit_linear(x: Presence, earlier: np.ndarray, y: np.ndarray, penalty: float = PENALTY, steps: int = STEPS) -> Linear:
+    """Logistic regression by adaptive gradient steps; constant without two classes."""
     share = (y.sum() + 0.5) / (len(y) + 1)
     if len(y) == 0 or y.min() == y.max():
         return Linear({}, (0.0,) * earlier.shape[1], math.log(share / (1 - share)))
-    vocabulary = choose_words(docs, y)
-    rows = [sorted(vocabulary[w] for w in vocabulary.keys() & d) for d in docs]
-    column = np.array([c for r in rows for c in r], dtype=np.int64)
-    row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    n, k, m = len(rows), earlier.shape[1], len(vocabulary)
+    chosen = choose_words(x, y)
+    place = np.full(len(x.words), -1)
+    place[chosen] = np.arange(len(chosen))
+    kept = place[x.column] >= 0
+    row, column = x.row[kept], place[x.column[kept]]
+    n, k, m = x.docs, earlier.shape[1], len(chosen)
     balance = np.where(y == 1, 0.5 / y.sum(), 0.5 / (n - y.sum()))
     w, e, bias = np.zeros(m), np.zeros(k), 0.0
     square_w, square_e, square_b = np.full(m, 1e-8), np.full(k, 1e-8), 1e-8
@@ -99,7 +119,13 @@ def fit_linear(docs: Sequence[set[bytes]], earlier: np.ndarray, y: np.ndarray, p
         ge, gb = earlier.T @ gap + penalty * e, gap.sum()
         square_w, square_e, square_b = square_w + gw**2, square_e + ge**2, square_b + gb**2
         w, e, bias = w - 0.5 * gw / np.sqrt(square_w), e - 0.5 * ge / np.sqrt(square_e), bias - 0.5 * gb / math.sqrt(square_b)
-    return Linear({word: float(w[i]) for word, i in vocabulary.items()}, tuple(e.tolist()), float(bias))
+    return Linear({x.words[c]: float(v) for c, v in zip(chosen.tolist(), w)}, tuple(e.tolist()), float(bias))
+
+
+def _probabilities(model: Linear, x: Presence, earlier: np.ndarray) -> np.ndarray:
+    weight = np.array([model.words.get(w, 0.0) for w in x.words])
+    z = np.bincount(x.row, weights=weight[x.column], minlength=x.docs) + earlier @ np.array(model.earlier) + model.bias
+    return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
 @dataclass(frozen=True)
@@ -118,21 +144,19 @@ class Chain:
 
 def fit_chain(sample: list[tuple[bytes, tuple[int, ...]]], categories: Sequence[str], folds: int = FOLDS) -> Chain:
     """Models of the ``categories`` from (text, labels); sample texts are distinct, in hash order."""
-    docs = [words_of(t) for t, _ in sample]
+    x = presence([t for t, _ in sample])
     labels = np.array([y for _, y in sample], dtype=np.float64).reshape(len(sample), len(categories))
-    fold = np.arange(len(docs)) % folds
-    earlier = np.zeros((len(docs), 0))
+    fold = np.arange(x.docs) % folds
+    earlier = np.zeros((x.docs, 0))
     models = []
     for j in range(len(categories)):
         y = labels[:, j]
-        models.append(fit_linear(docs, earlier, y))
+        models.append(fit_linear(x, earlier, y))
         if j + 1 < len(categories):
-            out = np.zeros(len(docs))
+            out = np.zeros(x.docs)
             for f in range(folds):
-                inside = np.flatnonzero(fold != f)
-                held = fit_linear([docs[i] for i in inside], earlier[inside], y[inside])
-                for i in np.flatnonzero(fold == f):
-                    out[i] = held.probability(docs[i], earlier[i])
+                held = fit_linear(x.of(fold != f), earlier[fold != f], y[fold != f])
+                out[fold == f] = _probabilities(held, x.of(fold == f), earlier[fold == f])
             earlier = np.column_stack([earlier, out])
     return Chain(tuple(categories), tuple(models))
 
