@@ -11,7 +11,7 @@ from kinweave.functions import vectors
 from kinweave.operators import centroids, density, evaluate, labels, mediator, neighbours, pairs, propagate, rank_order, transform
 from kinweave.operators.components import connected_components
 from kinweave.plans import sql
-from kinweave.plans.cluster import CDP, Clusters, clusters_of, whitened_kmeans
+from kinweave.plans.cluster import GraphClusterer, Clusters, clusters_of, whitened_kmeans
 from kinweave.plans.sql import K, MAX_SZ, MEMBERS, STEP, TH
 from kinweave.sources import files, toys
 from kinweave.sources.shared import materialize
@@ -322,7 +322,7 @@ def _scores(scores: DataFrame) -> DataFrame:
 @_query(f"WITH RECURSIVE {sql.VOTES}, passed AS (SELECT * FROM votes WHERE votes >= 3), pairs AS MATERIALIZED ({sql.canonical('passed')}), {sql.propagation('pairs', 5)}, {sql.LABELS} SELECT id, label FROM lab")
 def cluster_vote_end_to_end(spark, sf_dir):
     emb = _emb(spark, sf_dir)
-    return CDP(k=K, th=TH, max_sz=MAX_SZ, step=STEP).fit_many([emb, *[_member(emb, m) for m in MEMBERS]]).labels
+    return GraphClusterer(k=K, th=TH, max_sz=MAX_SZ, step=STEP).fit_many([emb, *[_member(emb, m) for m in MEMBERS]]).labels
 
 
 @_query(f"WITH RECURSIVE {sql.ALL}, pairs AS MATERIALIZED (SELECT a, b, 1.0 AS score FROM ({_LABELLED}) WHERE label = 1), {sql.propagation('pairs', 1)}, {sql.LABELS} SELECT id, label FROM lab")
@@ -464,7 +464,7 @@ def document_near_copy_clusters(spark, sf_dir):
     counts = grams.groupBy("id", "d").agg(F.count(F.lit(1)).alias("n"))
     entries = counts.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("d", "n"))).alias("m"))
     vectors_ = entries.select("id", F.transform(F.sequence(F.lit(0), F.lit(255)), lambda i: F.coalesce(F.element_at("m", i), F.lit(0)).cast("double")).alias("embedding"))
-    return CDP(k=K, th=0.99, max_sz=MAX_SZ, step=STEP).fit(materialize(vectors_, "text-vectors")).labels
+    return GraphClusterer(k=K, th=0.99, max_sz=MAX_SZ, step=STEP).fit(materialize(vectors_, "text-vectors")).labels
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -38,7 +38,7 @@ def clusters_of(items: DataFrame, chosen: DataFrame, max_sz: int, step: float, m
 
 
 @dataclass(frozen=True)
-class CDP:
+class GraphClusterer:
     """Clusters of one model's vectors, or with ``fit_many`` of several models that must agree."""
 
     k: int = 15

@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from kinweave.operators import evaluate, mediator, pairs
 from kinweave.plans.config import PRESETS, Config, RunningMean
-from kinweave.plans.cluster import CDP, baseline, run_config, whitened_kmeans
+from kinweave.plans.cluster import GraphClusterer, baseline, run_config, whitened_kmeans
 
 
 def lists(spark, rows):
@@ -82,10 +82,10 @@ def planted(spark, classes=6, size=8, seed=1):
 
 def test_whole_runs_recover_planted_classes(spark):
     df = planted(spark)
-    found = CDP(k=10, th=.7, max_sz=20).fit(df)
+    found = GraphClusterer(k=10, th=.7, max_sz=20).fit(df)
     assert found.score(df).first().fscore > 95 and found.score(df, keep=True).first().prec > 95
-    assert CDP(k=10, th=.7).fit_many([df, df]).score(df).first().fscore > 95
-    assert CDP(k=1, th=.5).fit(df).labels.filter("label <> -1").count() == 0
+    assert GraphClusterer(k=10, th=.7).fit_many([df, df]).score(df).first().fscore > 95
+    assert GraphClusterer(k=1, th=.5).fit(df).labels.filter("label <> -1").count() == 0
     many = Config(base="x", committee=("y",), k=10, th=.5, max_sz=20)
     other = planted(spark, seed=50)
     assert run_config(many, {"x": df, "y": other}).score(df).first().fscore > 90
