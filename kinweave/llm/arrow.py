@@ -26,6 +26,11 @@ def slices(batch: pa.RecordBatch, column: int, limit: int = SLICE_BYTES) -> Iter
         yield batch.slice(start)
 
 
+def unsliced(values: pa.Array) -> pa.Array:
+    """``values`` in buffers of their own; some string kernels misread arrays whose content begins inside a buffer."""
+    return values.take(pa.array(np.arange(len(values))))
+
+
 def _vector_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     added, total = None, 0
     for batch in batches:

@@ -29,3 +29,11 @@ def test_hard_cases():
 @given(st.lists(st.text(alphabet=st.one_of(st.sampled_from(list("ab .,'\n\t1é²#  ​日")), st.characters(exclude_categories=["Cs"])), max_size=60), max_size=4))
 def test_random_texts(texts):
     same(texts)
+
+
+def test_slices_of_a_batch():
+    texts = pa.array([f"Été {i} of  the\ttexts" * (i % 3 + 1) for i in range(50)] + [None], pa.string())
+    whole = OURS.batch(texts)
+    for at, n in ((7, 20), (31, 20), (50, 1)):
+        part = OURS.batch(texts.slice(at, n))
+        assert part.ids(0, n).tolist() == whole.ids(at, at + n).tolist()

@@ -5,7 +5,6 @@ import pytest
 import xxhash
 
 from kinweave.llm import simhash
-from pyspark.sql import functions as F
 
 SCHEMA = "doc_id long, text string, fp int"
 
