@@ -21,8 +21,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import tiktoken
 
+from kinweave.llm.arrow import unsliced
+
 #: Pieces that a worker keeps, in two generations.
-CACHE_PIECES = 400_000
+CACHE_PIECES = 100_000
 #: Splitting rule of byte-level BPE files of this family.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _CLOSED = frozenset(string.ascii_letters + string.digits + string.punctuation)
@@ -83,7 +85,7 @@ class Encoder:
 
     def batch(self, texts: pa.Array) -> Encoded:
         """The ids of every text (null: none)."""
-        pieces = pc.split_pattern(pc.fill_null(texts.cast(pa.large_string()), ""), " ")
+        pieces = pc.split_pattern(unsliced(pc.fill_null(texts.cast(pa.large_string()), "")), " ")
         offsets = pieces.offsets.to_numpy()
         coded = pieces.flatten().dictionary_encode()
         words, index = coded.dictionary.to_pylist(), coded.indices.to_numpy()

@@ -37,7 +37,7 @@ from kinweave.llm.bpe import encoder
 from kinweave.sources.shared import materialize
 
 WINDOW = 1024
-SHARD_DOCS = 2048
+SHARD_DOCS = 1024
 QUERY_TERMS = 24
 END = 0
 K1, B = 1.2, 0.75
@@ -58,6 +58,7 @@ def _token_batches(path: str, vocabulary: int):
                 blobs = pa.array([x.astype("<u2").tobytes() if vocabulary <= 65536 else x.tobytes() for x in ids], pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column(0), blobs, pa.nulls(part.num_rows, pa.binary()), pa.nulls(part.num_rows, pa.int64())], _STORED)
             yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([frequency.tobytes()], pa.binary()), pa.array([total])], _STORED)
+            pa.default_memory_pool().release_unused()
 
     return run
 
