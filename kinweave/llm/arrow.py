@@ -13,12 +13,13 @@ SLICE_BYTES = 4 << 20
 
 
 def slices(batch: pa.RecordBatch, column: int, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """``batch`` in runs of rows whose ``column`` holds about ``limit`` bytes (one row at least)."""
-    lengths = batch.column(column)
+    """``batch`` in runs of rows whose ``column`` holds about equal bytes, at most about ``limit`` (one row at least)."""
+    sizes = [value.as_buffer().size if value.is_valid else 0 for value in batch.column(column)]
+    total = sum(sizes)
+    target = total / max(1, -(-total // limit))
     start, held = 0, 0
-    for i, value in enumerate(lengths):
-        size = value.as_buffer().size if value.is_valid else 0
-        if i > start and held + size > limit:
+    for i, size in enumerate(sizes):
+        if i > start and held + size / 2 > target:
             yield batch.slice(start, i - start)
             start, held = i, 0
         held += size
