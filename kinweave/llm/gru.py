@@ -226,12 +226,11 @@ class Model:
             out[lane] = np.add.reduceat(logs[:ends[-1], i].astype(np.float64), ends - lengths[lane])
         return out
 
-    def train(self, docs: list[np.ndarray], squares: Weights, rate: float, most: int = 64, span: int = 32, longest: int = 1024) -> int:
+    def train(self, docs: list[np.ndarray], squares: Weights, rate: float, most: int = 64, span: int = 32) -> int:
         """One pass of truncated backpropagation with Adagrad steps; returns the tokens seen.
 
-        Texts beyond ``longest`` tokens are laid out as several, so that lanes stay even.
+        The state runs through all windows of a text.
         """
-        docs = [d[at:at + longest] for d in docs for at in range(0, len(d), longest)]
         if not docs:
             return 0
         x, y, fresh, _, _ = self._laid_out(docs, most)

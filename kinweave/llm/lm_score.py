@@ -10,9 +10,8 @@ whose crc32(id as text) mod 7 is not 2 are for training.
 3. The model learns in rounds. In each, every task trains a copy on its own
    documents by truncated backpropagation and the copies are averaged, weighted
    by tokens, in a tree of tasks. A round takes ``1/train_parts`` of the
-   training documents, by a hash of the id, so what is learnt from grows with
-   the corpus. ``rounds / train_parts`` (documented, 1/8) is the share used for
-   the network; the counts use all.
+   training documents, by a hash of the id; together the rounds take every
+   training document (``rounds`` is at least ``train_parts``).
 4. Every document is scored whole; its state runs through all its windows. The
    words outside the head are few and distinct: they leave as (row, word, n)
    and meet their counts in a join.
@@ -52,9 +51,9 @@ WIDTH = 64
 EMBED = 16
 STATE = 16
 ROUNDS = 2
-TRAIN_PARTS = 16
+TRAIN_PARTS = 2
 RATE = 0.1
-SLICE = 28 << 20
+SLICE = 12 << 20
 END = ""  # no word is empty
 
 
@@ -159,13 +158,15 @@ def _train_batches(weights: gru.Weights, known: dict[str, int], rate: float):
 
 def train(docs: DataFrame, head: Head, doc_id: str, text: str, classes: int = CLASSES, width: int = WIDTH, embed: int = EMBED, state: int = STATE, rounds: int = ROUNDS, train_parts: int = TRAIN_PARTS, rate: float = RATE) -> gru.Weights:
     """Weights averaged over the tasks after each round."""
+    if rounds < train_parts:
+        raise ValueError("the rounds must cover every part of the training documents")
     counts = np.zeros(classes * width)
     for word, i in head.known.items():
         counts[i] = head.counts[word]
     weights = gru.initial(counts, head.other_tokens, classes, width, embed, state)
     part = F.pmod(F.xxhash64(F.col(doc_id)), F.lit(train_parts))
     for k in range(rounds):
-        chosen = docs.filter(~held_out(F.col(doc_id)) & (part == k)).select(F.col(text).cast("string").alias("text"))
+        chosen = docs.filter(~held_out(F.col(doc_id)) & (part == k % train_parts)).select(F.col(text).cast("string").alias("text"))
         total, tokens = tree_sum(chosen.mapInArrow(_train_batches(weights, head.known, rate / (1 + k)), "vector binary, total long"))
         if tokens:
             weights = weights.from_vector(total / tokens)

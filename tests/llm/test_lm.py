@@ -54,6 +54,24 @@ def test_model_beats_the_base_on_held_out_documents(spark):
     assert sum(r.score for r in rows) > 0.8 * sum(r.base_score for r in rows)
 
 
+def test_network_learns_from_every_training_token(spark, monkeypatch):
+    rows = corpus()
+    df = spark.createDataFrame([(i, t, "x") for i, t in rows], SCHEMA).repartition(2)
+    seen, plain = [], lm_score.tree_sum
+    monkeypatch.setattr(lm_score, "tree_sum", lambda parts: seen.append(plain(parts)) or seen[-1])
+    lm_score.score(df, classes=4, width=5, embed=4, state=6)
+    want = sum(len(tokens(t)) for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2)
+    assert len(seen) == lm_score.ROUNDS and sum(total for _, total in seen) == want
+
+
+def test_training_carries_the_state_through_long_texts(monkeypatch):
+    model, r = small()
+    starts, plain = [], model.window
+    monkeypatch.setattr(model, "window", lambda x, y, fresh, state, keep: starts.append(int(fresh.sum())) or plain(x, y, fresh, state, keep))
+    assert model.train([r.integers(0, 21, 3000), r.integers(0, 21, 5)], model.w.zeros(), 0.1) == 3005
+    assert sum(starts) == 2
+
+
 def test_words_of_slices():
     import pyarrow as pa
 
