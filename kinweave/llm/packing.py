@@ -4,17 +4,24 @@
    shared folder, beside document frequencies of ids per batch.
 2. The document frequencies of the whole corpus are one vector of vocabulary
    length (bounded); it and the mean length are given to every task.
-3. Each task packs its rows in shards of ``shard_docs`` documents. A shard has
-   a BM25 inverted index (ids, corpus statistics). The first unused document is
-   the seed; its ``query_terms`` weightiest ids retrieve the unused neighbours,
-   which fill the window in order of their scores. The document that crosses
-   the end of a window is cut there and goes on as the next window's seed.
-
-Rows keep the order in which they are read, so a corpus that was interleaved
-before packing stays interleaved over the shards, and nothing is shuffled.
+3. Documents are routed by content: the key of a document is its least id under
+   each of ``LEVELS`` random orders of the ids (min-hashes) that at most a tenth
+   of the documents have. Rows are range-partitioned and sorted by key, so
+   copies meet and documents that share rare ids tend to; the later levels
+   split what shares the earlier ones, and the row number splits equal keys, so
+   no key is too large for a task. Runs of ``shard_docs`` documents are shards.
+4. Each task packs its shards. A shard has a BM25 inverted index (ids, corpus
+   statistics). The first unused document is the seed; its ``query_terms``
+   weightiest ids retrieve the unused neighbours, which fill the window in
+   order of their scores. The document that crosses the end of a window is cut
+   there and goes on as the next window's seed.
+
+Only neighbours of the seed's own shard are retrieved (the README has the
+measured share of all neighbours). Inside a shard documents keep the order in
+which they are read, so seeds of an interleaved corpus stay interleaved there.
 Only a task's last window is padded; its length is the only one below
-``window``. Shards follow the splits of the input, and sequence ids are the
-split's number and a count, so a retried task makes the same rows.
+``window``. Sequence ids are the range's number and a count, and rows are
+numbered before routing, so a retried task makes the same rows.
 
 Defined cases: null or empty text is the single end id; repeated rows are
 packed again; a text of any length is cut into as many pieces as it needs;
@@ -41,11 +48,13 @@ SHARD_DOCS = 1024
 QUERY_TERMS = 24
 END = 0
 K1, B = 1.2, 0.75
+LEVELS = 8
+RANGE_BYTES = 12 << 20
 
 
 def _token_batches(path: str, vocabulary: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path)
+        encode, row = encoder(path), TaskContext.get().partitionId() << 33
         for batch in batches:
             frequency = np.zeros(vocabulary)
             total = 0
@@ -56,14 +65,16 @@ def _token_batches(path: str, vocabulary: int):
                     frequency[np.unique(x)] += 1
                     total += len(x)
                 blobs = pa.array([x.astype("<u2").tobytes() if vocabulary <= 65536 else x.tobytes() for x in ids], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column(0), blobs, pa.nulls(part.num_rows, pa.binary()), pa.nulls(part.num_rows, pa.int64())], _STORED)
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([frequency.tobytes()], pa.binary()), pa.array([total])], _STORED)
+                rows = pa.array(row + np.arange(part.num_rows))
+                row += part.num_rows
+                yield pa.RecordBatch.from_arrays([rows, part.column(0), blobs, pa.nulls(part.num_rows, pa.binary()), pa.nulls(part.num_rows, pa.int64())], _STORED)
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([frequency.tobytes()], pa.binary()), pa.array([total])], _STORED)
             pa.default_memory_pool().release_unused()
 
     return run
 
 
-_STORED = ["doc_id", "ids", "frequency", "total"]
+_STORED = ["row", "doc_id", "ids", "frequency", "total"]
 
 
 def corpus_frequencies(stored: DataFrame, vocabulary: int) -> tuple[np.ndarray, int]:
@@ -72,6 +83,32 @@ def corpus_frequencies(stored: DataFrame, vocabulary: int) -> tuple[np.ndarray,
     return (np.zeros(vocabulary), 0) if frequency is None else (frequency, total)
 
 
+def orders(frequency: np.ndarray, n: int) -> np.ndarray:
+    """(levels, ids): places of the ids in random orders; those of more than a tenth of ``n`` documents share the last."""
+    r = np.random.default_rng(5)
+    places = np.array([r.permutation(len(frequency)) for _ in range(LEVELS)], dtype=np.uint32)
+    places[:, frequency > max(n // 10, 1)] = len(frequency)
+    return places
+
+
+def routes(ids: list[np.ndarray], places: np.ndarray) -> list[bytes]:
+    """Keys of documents (each of at least one id): the least place on each level, as sortable bytes."""
+    flat = np.concatenate(ids)
+    start = np.cumsum([0, *map(len, ids[:-1])])
+    least = np.stack([np.minimum.reduceat(level[flat], start) for level in places], axis=1)
+    return [key.tobytes() for key in least.astype(">u4")]
+
+
+def _route_batches(places: np.ndarray, wide: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, 2):
+                ids = [np.frombuffer(blob.as_buffer(), "<u4" if wide else "<u2") for blob in part.column(2)]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(routes(ids, places), pa.binary())], ["row", "doc_id", "ids", "route"])
+
+    return run
+
+
 class Shard:
     """BM25 inverted index of some documents' ids, under the corpus's statistics."""
 
@@ -146,18 +183,21 @@ class Packer:
 def _pack_batches(idf: np.ndarray, mean_length: float, wide: bool, window: int, shard_docs: int, query_terms: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = Packer(TaskContext.get().partitionId(), window)
-        doc_ids, ids = [], []
+        rows, doc_ids, ids = [], [], []
 
         def flush() -> pa.RecordBatch:
-            packer.shard(doc_ids, ids, idf, mean_length, query_terms)
+            order = np.argsort(rows, kind="stable").tolist()
+            packer.shard([doc_ids[i] for i in order], [ids[i] for i in order], idf, mean_length, query_terms)
             columns = [pa.array(c, pa.int64()) for c in zip(*packer.rows)]
             packer.rows = []
+            rows.clear()
             doc_ids.clear()
             ids.clear()
             return pa.RecordBatch.from_arrays(columns, _PIECE)
 
         for batch in batches:
-            for doc, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for row, doc, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                rows.append(row)
                 doc_ids.append(doc)
                 ids.append(np.frombuffer(blob.as_py(), "<u4" if wide else "<u2"))
                 if len(ids) == shard_docs:
@@ -177,9 +217,13 @@ def pack(
 ) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset), one row per piece."""
     plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    stored = materialize(plain.mapInArrow(_token_batches(tokenizer, vocabulary), "doc_id long, ids binary, frequency binary, total long"), "token-ids")
+    stored = materialize(plain.mapInArrow(_token_batches(tokenizer, vocabulary), "row long, doc_id long, ids binary, frequency binary, total long"), "token-ids")
     frequency, total = corpus_frequencies(stored, vocabulary)
     n = max(int(frequency[END]), 1)  # every document has the end id
     idf = np.log1p((n - frequency + 0.5) / (frequency + 0.5))
-    run = _pack_batches(idf, max(total / n, 1.0), vocabulary > 65536, window, shard_docs, query_terms)
-    return stored.filter("ids is not null").select("doc_id", "ids").mapInArrow(run, ", ".join(f"{c} long" for c in _PIECE))
+    wide = vocabulary > 65536
+    ranges = max(1, -(-total * (4 if wide else 2) // RANGE_BYTES))
+    routed = stored.filter("ids is not null").select("row", "doc_id", "ids").mapInArrow(_route_batches(orders(frequency, n), wide), "row long, doc_id long, ids binary, route binary")
+    near = routed.repartitionByRange(ranges, "route", "row").sortWithinPartitions("route", "row").select("row", "doc_id", "ids")
+    run = _pack_batches(idf, max(total / n, 1.0), wide, window, shard_docs, query_terms)
+    return near.mapInArrow(run, ", ".join(f"{c} long" for c in _PIECE))

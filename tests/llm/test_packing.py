@@ -53,6 +53,17 @@ def test_every_id_once(spark):
     assert short <= 3  # the last of each split
 
 
+def test_copies_far_apart_share_windows(spark):
+    r = random.Random(4)
+    words = [f"{a}{b}" for a in ("lor", "ips", "dol", "sit", "ame", "qua", "zeb", "tum") for b in ("an", "er", "ix", "ol", "um", "yt", "ash", "een")]
+    once = [" ".join(r.sample(words, 8) + [str(r.randrange(10**6)) for _ in range(20)]) for _ in range(40)]
+    df = spark.createDataFrame([(i, t, 1) for i, t in enumerate(once + once)], SCHEMA).repartition(3, "doc_id")
+    found = {}
+    for row in packing.pack(df, PATH, shard_docs=8, window=256).collect():
+        found.setdefault(row.doc_id, set()).add(row.sequence_id)
+    assert len(found) == 80 and sum(bool(found[i] & found[i + 40]) for i in range(40)) >= 38
+
+
 def test_neighbours_match_plain_bm25():
     r = np.random.default_rng(2)
     ids = [r.integers(0, 30, r.integers(5, 60)) for _ in range(25)]
