@@ -9,7 +9,9 @@ more than two blocks.
 
 ``strategy="ivf"`` is the approximate form for large tables: vectors are dealt
 to the cells of centroids fitted on a bounded sample, large cells are split,
-and every query meets the ``probes`` nearest cells only.
+and every query meets the ``probes`` nearest cells only. Where ``probes`` is not
+given, it is the least number with which ``QUERY_ROWS`` rows find ``RECALL`` of
+their exact neighbours among all rows.
 
 Rank counts from 1 and includes the vector itself; ties go to the smaller id.
 Zero or null vectors, and ones with NaN, take no part.
@@ -31,6 +33,8 @@ from kinweave.sources.shared import materialize
 BLOCK_ROWS = 2048
 BROADCAST_BYTES = 64 << 20
 SAMPLE_ROWS = 20_000
+QUERY_ROWS = 256
+RECALL = 0.93  # of the queries, so that all rows are above 0.9
 
 
 def _plain(df: DataFrame, id_col: str, vec: str, metric: str) -> DataFrame:
@@ -155,7 +159,7 @@ def _cut(lists: DataFrame, k: int) -> DataFrame:
 
 def knn(
     df: DataFrame, k: int, metric: str = "cosine", id_col: str = "id", vec: str = "embedding", strategy: str = "exact",
-    block_rows: int = BLOCK_ROWS, broadcast_bytes: int = BROADCAST_BYTES, cells: int | None = None, probes: int = 8, scaled: bool = False,
+    block_rows: int = BLOCK_ROWS, broadcast_bytes: int = BROADCAST_BYTES, cells: int | None = None, probes: int | None = None, scaled: bool = False,
 ) -> DataFrame:
     """(id, rank, nbr, dist): the k nearest of each vector, itself included.
 
@@ -196,7 +200,28 @@ def _centroids(sample: np.ndarray, cells: int, steps: int = 8) -> np.ndarray:
     return centre
 
 
-def _ivf(rows: DataFrame, k: int, metric: str, cells: int | None, probes: int, block_rows: int) -> DataFrame:
+def _enough_probes(rows: DataFrame, ids: np.ndarray, queries: np.ndarray, centre: np.ndarray, shape: Callable, k: int, metric: str) -> int:
+    """Least number of probed cells with which the queries find ``RECALL`` of their exact neighbours."""
+    nearest = np.argsort(_distances(shape(queries), centre, "l2"), axis=1, kind="stable")
+    place = np.argsort(nearest, axis=1)  # of each cell in each query's order
+
+    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, BLOCK_ROWS):
+                part = batch.slice(at, BLOCK_ROWS)
+                base, x = part.column(0).to_numpy(), _matrix(part.column(1))
+                cell = np.argsort(_distances(shape(x), centre, "l2"), axis=1, kind="stable")[:, 0]
+                order = np.argsort(base, kind="stable")
+                row, _, at_base, dist = _nearest(np.arange(len(ids)), queries, np.arange(len(base)), x[order], k, metric)
+                need = place[row, cell[order][at_base]] + 1
+                yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(base[order][at_base]), pa.array(dist), pa.array(need)], ["id", "nbr", "dist", "need"])
+
+    found = _cut(rows.mapInArrow(exact, "id long, nbr long, dist double, need long"), k).groupBy("need").agg(F.count(F.lit(1)).alias("n")).orderBy("need").collect()
+    reached = np.cumsum([r.n for r in found])
+    return found[int(np.searchsorted(reached, RECALL * reached[-1]))].need
+
+
+def _ivf(rows: DataFrame, k: int, metric: str, cells: int | None, probes: int | None, block_rows: int) -> DataFrame:
     """Candidate lists from the cells nearest to each vector; large cells are split over tasks."""
     n = rows.count()
     if n == 0:
@@ -207,6 +232,10 @@ def _ivf(rows: DataFrame, k: int, metric: str, cells: int | None, probes: int, b
     unit = metric in ("cosine", "angular")
     shape = (lambda m: m / np.sqrt((m * m).sum(1, keepdims=True))) if unit else (lambda m: m.astype(np.float64))
     centre = _centroids(shape(sample), cells)
+    if probes is None:
+        some = np.sort(np.random.default_rng(12).choice(len(sample), min(QUERY_ROWS, len(sample)), replace=False))
+        queries = taken.take(pa.array(some)).combine_chunks()
+        probes = _enough_probes(rows, queries.column(0).to_numpy(), _matrix(queries.column(1).combine_chunks()), centre, shape, k, metric)
     probes = min(probes, len(centre))
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -107,7 +107,7 @@ def knn_hubness(spark, sf_dir):
 @_query()
 def knn_recall_ivf(spark, sf_dir):
     emb = _emb(spark, sf_dir)
-    return neighbours.recall(neighbours.knn(emb, K, strategy="ivf", probes=6), neighbours.knn(emb, K), K)
+    return neighbours.recall(neighbours.knn(emb, K, strategy="ivf"), neighbours.knn(emb, K), K)
 
 
 @_query(f"WITH {sql.EMB}, {sql.knn()} SELECT id, string_agg(nbr::VARCHAR, ',' ORDER BY rank) || ',-1,-1' AS nbrs FROM knn GROUP BY id")

@@ -54,6 +54,14 @@ def test_strategies_agree(spark):
     assert neighbours.recall(few, neighbours.knn(df, 6), 6).first().recall > 0.5
 
 
+def test_ivf_recall_over_many_cells(spark):
+    r = np.random.default_rng(8)
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(r.normal(size=(1500, 32)).tolist())], "id long, embedding array<double>").repartition(3).cache()
+    exact = neighbours.knn(df, 10)
+    assert neighbours.recall(neighbours.knn(df, 10, strategy="ivf", cells=40), exact, 10).first().recall >= 0.9
+    assert neighbours.knn(df.limit(3), 10, strategy="ivf").count() == 9
+
+
 def test_edge_cases(spark):
     rows = [(0, [1.0, 0.0]), (1, [0.0, 0.0]), (2, None), (3, [float("nan"), 1.0]), (4, [1.0, 0.1])]
     df = spark.createDataFrame(rows, "id long, embedding array<double>")
