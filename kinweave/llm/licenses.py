@@ -7,7 +7,8 @@ a sequence: the first rule that fits takes its identifiers, so longer texts come
 before their parts. Identifiers that no rule takes are reported as unmatched.
 
 A sentence ends at ``.``, ``!``, ``?``, ``;`` or ``:`` before white space, at a
-blank line, and at the end. A sentence may be wrapped over lines; lines before
+blank line, and at the end, but not inside ``v. 2``. Web addresses and sentences
+that are only a list number are passed over. A sentence may be wrapped over lines; lines before
 or after a known sentence within it (a title, a list mark) count as unknown.
 
 Defined cases: null, empty or licence-free text has no identifiers and no
@@ -101,14 +102,16 @@ RULES = [
 # Every known sentence holds one of these; texts without them are passed over.
 ANCHORS = ("licen", "copyright", "warrant", "permission", "redistribut", "public domain", "liab", "free software", "mpl")
 
-_END = re.compile(r"[.!?;:]+(?=\s)|\n[ \t\r]*\n")
+_END = re.compile(r"[.!?;:]+(?=\s)(?!(?<=\b[vV]\.)\s+[0-9])|\n[ \t\r]*\n")
+_ADDRESS = re.compile(r"(?:https?://|www\.)\S+")
+_NUMBER = re.compile(r"[0-9]{1,2}")
 _OTHER = re.compile(r"[^0-9a-z]+")
 _ANCHOR = re.compile("|".join(ANCHORS))
 
 
 def normalise(sentence: str) -> str:
-    """Lower case, letters and digits only, British spelling of licence made American."""
-    return _OTHER.sub(" ", sentence.lower()).strip().replace("licence", "license")
+    """Lower case, letters and digits only, no web addresses, British spelling of licence made American."""
+    return _OTHER.sub(" ", _ADDRESS.sub(" ", sentence.lower())).strip().replace("licence", "license")
 
 
 def _known(sentences: dict[str, str]) -> tuple[dict[str, str], dict[str, int]]:
@@ -130,7 +133,7 @@ def identify(text: str, table: dict[str, str], first: dict[str, int]) -> list[li
 
     for sentence in _END.split(text):
         whole = normalise(sentence)
-        if not whole:
+        if not whole or _NUMBER.fullmatch(whole):
             continue
         if whole in table:
             sequences[-1].append(table[whole])

@@ -64,3 +64,24 @@ def test_matches_brute_force(spark):
     assert by[5].licenses == by[6].licenses == "MIT" and by[8].licenses == "GPL-3.0-or-later" and by[9].unmatched == "bsd-grant,bsd-source"
     assert by[10].licenses == "MIT,Apache-2.0" and by[13].unmatched == "gpl-free"
     assert L.scan(df.limit(0)).count() == 0
+
+
+def scanned(text):
+    return L.scan_text(text, *L._known(L.SENTENCES), L.RULES)
+
+
+def test_every_rule_fires_on_its_own_text():
+    for name, run in L.RULES:
+        assert scanned("\n\n".join(L.SENTENCES[i] + "." for i in run))[1:] == ([name], []), run
+
+
+def test_standard_notices():
+    mpl = "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at http://mozilla.org/MPL/2.0/.\n"
+    assert scanned(mpl) == (["mpl2-form", "mpl2-copy"], ["MPL-2.0"], [])
+    s = L.SENTENCES
+    two = f"Copyright (c) A B\n\n{s['bsd-grant']}:\n\n1. {textwrap.fill(s['bsd-source'], 60)}.\n\n2. {textwrap.fill(s['bsd-binary'], 60)}.\n"
+    end = "\nTHIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS."
+    assert scanned(two + end)[1:] == (["BSD-2-Clause"], [])
+    assert scanned(two + f"\n3. {textwrap.fill(s['bsd-endorse'], 60)}.\n" + end)[1:] == (["BSD-3-Clause"], [])
+    apache = f"{s['apache-licensed']};\n{s['apache-comply']}.\n{s['apache-copy']}\n\n    http://www.apache.org/licenses/LICENSE-2.0\n\n{s['apache-as-is']}.\n{s['apache-see']}.\n"
+    assert scanned(apache)[1:] == (["Apache-2.0"], [])
