@@ -99,14 +99,14 @@ RULES = [
     ("MIT", ("mit-this",)),
 ]
 
-# Every known sentence holds one of these; texts without them are passed over.
+# Every sentence of SENTENCES holds one of these; texts without them are passed over.
 ANCHORS = ("licen", "copyright", "warrant", "permission", "redistribut", "public domain", "liab", "free software", "mpl")
 
 _END = re.compile(r"[.!?;:]+(?=\s)(?!(?<=\b[vV]\.)\s+[0-9])|\n[ \t\r]*\n")
 _ADDRESS = re.compile(r"(?:https?://|www\.)\S+")
 _NUMBER = re.compile(r"[0-9]{1,2}")
 _OTHER = re.compile(r"[^0-9a-z]+")
-_ANCHOR = re.compile("|".join(ANCHORS))
+_ANCHOR = re.compile("|".join(a.replace(" ", "[^0-9a-z]+") for a in ANCHORS))
 
 
 def normalise(sentence: str) -> str:
@@ -123,6 +123,12 @@ def _known(sentences: dict[str, str]) -> tuple[dict[str, str], dict[str, int]]:
     return table, first
 
 
+def anchor(table: dict[str, str]) -> re.Pattern:
+    """What a text in lower case holds if it holds a sentence of ``table``: the longest word of each, in both spellings."""
+    words = {max(s.split(" "), key=len).replace("license", "licen[cs]e") for s in table}
+    return re.compile("|".join(sorted(words)) or "(?!)")
+
+
 def identify(text: str, table: dict[str, str], first: dict[str, int]) -> list[list[str]]:
     """Sequences of identifiers of adjacent known sentences."""
     sequences: list[list[str]] = [[]]
@@ -172,9 +178,9 @@ def match(sequence: list[str], rules: list[tuple[str, tuple[str, ...]]]) -> tupl
     return [starts[i] for i in sorted(starts)], [s for s, t in zip(sequence, taken) if not t]
 
 
-def scan_text(text: str, table: dict[str, str], first: dict[str, int], rules: list) -> tuple[list[str], list[str], list[str]]:
+def scan_text(text: str, table: dict[str, str], first: dict[str, int], rules: list, anchors: re.Pattern = _ANCHOR) -> tuple[list[str], list[str], list[str]]:
     """(identifiers, licences, unmatched identifiers) of a text."""
-    if not _ANCHOR.search(text.lower()):
+    if not anchors.search(text.lower()):
         return [], [], []
     sequences = identify(text, table, first)
     results = [match(s, rules) for s in sequences]
@@ -184,11 +190,12 @@ def scan_text(text: str, table: dict[str, str], first: dict[str, int], rules: li
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sentences: dict[str, str] | None = None, rules: list | None = None) -> DataFrame:
     """(doc_id, sentence_ids, licenses, unmatched, n_known), lists joined by commas."""
     table, first = _known(SENTENCES if sentences is None else sentences)
+    anchors = _ANCHOR if sentences is None else anchor(table)
     rules = RULES if rules is None else rules
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [scan_text(t.as_py() or "", table, first, rules) for t in batch.column(1)]
+            found = [scan_text(t.as_py() or "", table, first, rules, anchors) for t in batch.column(1)]
             columns = [pa.array([",".join(f[i]) for f in found], pa.string()) for i in range(3)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns, pa.array([len(f[0]) for f in found], pa.int64())], ["doc_id", "sentence_ids", "licenses", "unmatched", "n_known"])
 

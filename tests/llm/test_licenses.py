@@ -85,3 +85,12 @@ def test_standard_notices():
     assert scanned(two + f"\n3. {textwrap.fill(s['bsd-endorse'], 60)}.\n" + end)[1:] == (["BSD-3-Clause"], [])
     apache = f"{s['apache-licensed']};\n{s['apache-comply']}.\n{s['apache-copy']}\n\n    http://www.apache.org/licenses/LICENSE-2.0\n\n{s['apache-as-is']}.\n{s['apache-see']}.\n"
     assert scanned(apache)[1:] == (["Apache-2.0"], [])
+
+
+def test_anchors_of_wrapped_and_of_given_sentences(spark):
+    for key in ("cc0", "unlicense", "gpl-free"):
+        assert scanned(L.SENTENCES[key].replace("public domain", "public\ndomain").replace("free software", "free \t software") + ".")[0] == [key]
+    df = spark.createDataFrame([(0, "Do what\nyou like with it."), (1, "Under the House Licence."), (2, "none")], "doc_id long, text string")
+    got = L.scan(df, sentences={"like": "Do what you like with it", "house": "Under the House License"}, rules=[("Like", ("like",))]).collect()
+    assert {r.doc_id: (r.sentence_ids, r.licenses, r.unmatched) for r in got} == {0: ("like", "Like", ""), 1: ("house", "", "house"), 2: ("", "", "")}
+    assert L.scan(df, sentences={}).filter("n_known > 0").count() == 0
