@@ -391,7 +391,7 @@ def bisecting(spark, sf_dir):
 
 @_query()
 def gaussian_mixture(spark, sf_dir):
-    return centroids.gaussian_mixture(_emb(spark, sf_dir).withColumn("embedding", F.slice("embedding", 1, 8)), 4)
+    return centroids.gaussian_mixture(_emb(spark, sf_dir), 4)
 
 
 @_query()
@@ -411,12 +411,12 @@ def whitened_kmeans_labels(spark, sf_dir):
 
 @_query()
 def toy_affinity_propagation(spark, sf_dir):
-    return centroids.affinity_propagation(toys.blobs(spark, 300), preference=-200.0)
+    return centroids.affinity_propagation(toys.blobs(spark), damping=0.9, preference=-200.0)
 
 
 @_query()
 def toy_mean_shift(spark, sf_dir):
-    return centroids.mean_shift(toys.blobs(spark, 300), 3.0)
+    return centroids.mean_shift(toys.blobs(spark), 3.0)
 
 
 # transforms, sources, scores

@@ -29,6 +29,16 @@ def test_queries_match_their_sql(spark, name):
     assert rows == sorted((tuple(plain(r[i]) for i in at) for r in want.fetchall()), key=str)
 
 
+def test_queries_take_whole_vectors_and_whole_toys(spark, monkeypatch):
+    sizes = {}
+    monkeypatch.setattr(catalogue.centroids, "gaussian_mixture", lambda df, k: sizes.update(width=len(df.first().embedding)))
+    for name in ("affinity_propagation", "mean_shift"):
+        monkeypatch.setattr(catalogue.centroids, name, lambda df, *a, name=name, **o: sizes.update({name: df.count()}))
+    for name in ("gaussian_mixture", "toy_affinity_propagation", "toy_mean_shift"):
+        catalogue.queries()[name](spark, SF)
+    assert sizes == {"width": 64, "affinity_propagation": 1500, "mean_shift": 1500}
+
+
 def test_anchor_counts(spark):
     assert __spark_entry__.entry(spark).filter("label <> -1").count() == 286
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
