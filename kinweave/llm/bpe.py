@@ -3,17 +3,19 @@
 The vocabulary file is the ``tokenizers`` JSON named by the caller; ids equal
 ``Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids``. Merges
 of such a file are in order of their ids, so a rank-based encoder gives the
-same ids. A token never crosses from a non-space character into a space, so a
-text falls apart into space-led pieces. A batch's distinct pieces are encoded
-alone, with a bounded cache per worker, and gathered again. Texts where a space follows white space or another
-uncertain character are encoded whole.
+same ids.
+
+A token never crosses from a non-space character into a space, so a text where
+no two white-space characters meet falls apart into space-led pieces. The
+distinct pieces of a batch are laid end to end and encoded by one call; the
+byte lengths of the tokens say which belong to which piece, and every text
+gathers those of its own. Other texts are encoded whole. Nothing is kept
+between batches.
 """
 
 from __future__ import annotations
 
 import json
-import string
-from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -23,11 +25,11 @@ import tiktoken
 
 from kinweave.llm.arrow import unsliced
 
-#: Pieces that a worker keeps, in two generations.
-CACHE_PIECES = 100_000
 #: Splitting rule of byte-level BPE files of this family.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-_CLOSED = frozenset(string.ascii_letters + string.digits + string.punctuation)
+#: The same where no two white-space characters meet.
+SINGLE_SPACED = PATTERN.replace(r"|\s+(?!\S)", "")
+_SPACE = r"[\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
 
 def _byte_of() -> dict[str, int]:
@@ -39,102 +41,68 @@ def _byte_of() -> dict[str, int]:
     return table
 
 
-class _Pieces(dict):
-    """Ids (unsigned 32-bit, as bytes) of a space-led piece; None where the next space may join it."""
-
-    def __init__(self, encoder: Encoder, limit: int):
-        super().__init__()
-        self.encoder, self.limit, self.old = encoder, limit, {}
-
-    def __missing__(self, piece: str):
-        found = self.old.get(piece, self)
-        if found is self:
-            found = self._encoded(piece)
-        if len(self) >= self.limit:
-            self.old = dict(self)
-            self.clear()
-        self[piece] = found
-        return found
-
-    def _encoded(self, piece: str):
-        last = piece[-1:]
-        if not (last in _CLOSED or last.isalpha()):
-            return None
-        single = self.encoder.single
-        if piece.isalpha():
-            ids = single((" " + piece).encode())
-        elif last in ".," and piece[:-1].isalpha():
-            ids = [*single((" " + piece[:-1]).encode()), *single(last.encode())]
-        else:
-            ids = self.encoder.whole(" " + piece)
-        return array("I", ids).tobytes()
-
-
 class Encoder:
     """Encodes texts under one vocabulary file."""
 
-    def __init__(self, path: str, cache_pieces: int = CACHE_PIECES):
+    def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             content = json.load(f)
         special = {x["content"] for x in content.get("added_tokens", ())}
         byte = _byte_of()
         ranks = {bytes(byte[c] for c in w): i for w, i in content["model"]["vocab"].items() if w not in special}
-        core = tiktoken.Encoding("bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.whole, self.single = core.encode_ordinary, core._core_bpe.encode_single_piece
-        self._pieces = _Pieces(self, cache_pieces)
-
-    def batch(self, texts: pa.Array) -> Encoded:
-        """The ids of every text (null: none)."""
-        pieces = pc.split_pattern(unsliced(pc.fill_null(texts.cast(pa.large_string()), "")), " ")
+        self.bytes_of = np.zeros(max(ranks.values(), default=0) + 1, dtype=np.int64)
+        for token, i in ranks.items():
+            self.bytes_of[i] = len(token)
+        self._whole, self._single_spaced = (tiktoken.Encoding(p, pat_str=p, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_to_tiktoken_buffer for p in (PATTERN, SINGLE_SPACED))
+
+    def whole(self, text: str) -> np.ndarray:
+        """The ids of any text."""
+        return np.frombuffer(self._whole(text, set()), dtype=np.uint32)
+
+    def batch(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids (unsigned 32-bit) of every text (null: none)."""
+        texts = unsliced(pc.fill_null(texts.cast(pa.large_string()), ""))
+        uneven = pc.match_substring_regex(texts, _SPACE + "{2}").to_numpy(zero_copy_only=False)
+        out = [self.whole(t.as_py()) if far else None for t, far in zip(texts, uneven)]
+        even = np.flatnonzero(~uneven)
+        if len(even):
+            for i, ids in zip(even.tolist(), self._pieced(texts.take(pa.array(even)))):
+                out[i] = ids
+        return out
+
+    def _pieced(self, texts: pa.Array) -> list[np.ndarray]:
+        pieces = pc.split_pattern(texts, " ")
         offsets = pieces.offsets.to_numpy()
         coded = pieces.flatten().dictionary_encode()
-        words, index = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-        known = [self._pieces[w] for w in words]
-        open_ = np.fromiter((k is None for k in known), dtype=bool, count=len(known))
-        sizes = np.fromiter((0 if k is None else len(k) >> 2 for k in known), dtype=np.int64, count=len(known))
-        lens = sizes[index]
-        starts = (np.cumsum(sizes) - sizes)[index]
-        # texts that do not fall apart: an uncertain character before a space
+        index, words = coded.indices.to_numpy(), coded.dictionary
+        pool, starts, sizes = self._distinct(words)
+        # no space leads the first piece of a text
         firsts = offsets[:-1]
-        uncertain = open_[index]
-        uncertain[offsets[1:] - 1] = False  # no space follows the last piece
-        uncertain[firsts] |= open_[index[firsts]] & (np.diff(offsets) > 1)
-        whole = np.unique(np.searchsorted(offsets, np.flatnonzero(uncertain), side="right") - 1)
-        own = [words[i] for i in index[firsts].tolist()]  # no space leads the first piece
-        for doc in whole.tolist():
-            lens[offsets[doc]:offsets[doc + 1]] = 0
-            own[doc] = texts[doc].as_py()
-        lasts = np.flatnonzero(open_[index[offsets[1:] - 1]] & (np.diff(offsets) > 1))
-        alone = [array("I", self.whole(t)).tobytes() if t else b"" for t in own]
-        tails = []
-        for doc in np.setdiff1d(lasts, whole).tolist():
-            tails.append((offsets[doc + 1] - 1, array("I", self.whole(" " + words[index[offsets[doc + 1] - 1]])).tobytes()))
-        n = int(sizes.sum())
-        alone_len = np.fromiter((len(x) >> 2 for x in alone), dtype=np.int64, count=len(alone))
-        lens[firsts], starts[firsts] = alone_len, n + np.cumsum(alone_len) - alone_len
-        n += int(alone_len.sum())
-        for at, ids in tails:
-            lens[at], starts[at] = len(ids) >> 2, n
-            n += len(ids) >> 2
-        pool = b"".join([*(k for k in known if k is not None), *alone, *(ids for _, ids in tails)])
-        return Encoded(np.frombuffer(pool, "<u4"), starts, lens, offsets)
-
-
-class Encoded:
-    """Ids of a batch of texts, kept as runs of a shared pool."""
-
-    def __init__(self, pool: np.ndarray, starts: np.ndarray, lens: np.ndarray, offsets: np.ndarray):
-        self.pool, self.starts, self.lens, self.offsets = pool, starts, lens, offsets
+        own = [np.frombuffer(self._single_spaced(t, set()), dtype=np.uint32) for t in words.take(pa.array(index[firsts])).to_pylist()]
+        own_sizes = np.array([len(x) for x in own])
+        lens, at = sizes[index], starts[index]
+        lens[firsts], at[firsts] = own_sizes, len(pool) + np.cumsum(own_sizes) - own_sizes
+        pool = np.concatenate([pool, *own])
         ends = np.concatenate([[0], np.cumsum(lens)])
-        self.bounds = ends[offsets]  # of each text's ids among all ids
-        self.lengths = np.diff(self.bounds)
-
-    def ids(self, first: int, last: int) -> np.ndarray:
-        """The ids of the texts ``first`` to ``last`` (exclusive), one after another."""
-        a, b = self.offsets[first], self.offsets[last]
-        lens = self.lens[a:b]
-        shift = self.starts[a:b] - (np.cumsum(lens) - lens)
-        return self.pool[np.repeat(shift, lens) + np.arange(lens.sum())]
+        flat = pool[np.repeat(at - ends[:-1], lens) + np.arange(ends[-1])]
+        return np.split(flat, ends[offsets[1:-1]])
+
+    def _distinct(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, start, number of ids) of a space and each word; no word has white space at both of its ends."""
+        closed = pc.invert(pc.or_(pc.match_substring_regex(words, _SPACE + r"\z"), pc.equal(words, ""))).to_numpy(zero_copy_only=False)
+        inside = words.filter(pa.array(closed))
+        joined = pc.binary_join(pa.ListArray.from_arrays([0, len(inside)], inside), pa.scalar(" ", inside.type))[0].as_py()
+        ids = np.frombuffer(self._single_spaced(" " + joined if len(inside) else "", set()), dtype=np.uint32)
+        reached = np.cumsum(self.bytes_of[ids])
+        ends = np.searchsorted(reached, np.cumsum(pc.binary_length(inside).to_numpy() + 1)) + 1
+        open_ = [self.whole(" " + w) for w in words.filter(pa.array(~closed)).to_pylist()]
+        sizes = np.zeros(len(words), dtype=np.int64)
+        sizes[closed] = np.diff(ends, prepend=0)
+        sizes[~closed] = [len(x) for x in open_]
+        starts = np.zeros(len(words), dtype=np.int64)
+        starts[closed] = ends - sizes[closed]
+        starts[~closed] = len(ids) + np.cumsum(sizes[~closed]) - sizes[~closed]
+        return np.concatenate([ids, *open_]), starts, sizes
 
 
 @lru_cache(maxsize=2)

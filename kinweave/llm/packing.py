@@ -59,8 +59,7 @@ def _token_batches(path: str, vocabulary: int):
             frequency = np.zeros(vocabulary)
             total = 0
             for part in slices(batch, 1):
-                coded = encode.batch(part.column(1))
-                ids = [np.append(coded.ids(i, i + 1), END).astype("<u4") for i in range(part.num_rows)]
+                ids = [np.append(x, np.uint32(END)) for x in encode.batch(part.column(1))]
                 for x in ids:
                     frequency[np.unique(x)] += 1
                     total += len(x)

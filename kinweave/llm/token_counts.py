@@ -32,9 +32,9 @@ def _length_batches(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path)
         for batch in batches:
-            counted: list[np.ndarray] = [encode.batch(part.column(0)).lengths for part in slices(batch, 0)]
+            counted = [len(ids) for part in slices(batch, 0) for ids in encode.batch(part.column(0))]
             if counted:
-                length, n = np.unique(np.concatenate(counted), return_counts=True)
+                length, n = np.unique(counted, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(length, pa.int64()), pa.array(n, pa.int64())], ["n_tokens", "n_docs"])
 
     return run
