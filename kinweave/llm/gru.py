@@ -5,15 +5,25 @@ Output words 0 .. classes*width-1 (by frequency) form ``classes`` classes of
 probability is that of its class given the state, times, inside a class of
 known words, that of the word given the state; words of the last class get
 their share from corpus counts outside this module.
+
+Documents are read side by side in lanes (``Lanes``), in windows of a fixed
+number of steps. A lane goes on with the next document where one ends, so a
+document of any length takes one lane and its state runs through all its
+windows, in scoring and in training (whose gradients end at a window's start).
 """
 
 from __future__ import annotations
 
 import heapq
-from dataclasses import dataclass, fields
+from collections import deque
+from collections.abc import Iterator
+from dataclasses import dataclass, fields, replace
 
 import numpy as np
 
+#: Logits are held between these, far beyond what biases (log shares) need.
+LOGITS = np.float32(-60), np.float32(80)
+
 
 @dataclass
 class Weights:
@@ -66,184 +76,259 @@ def _log_shares(counts: np.ndarray) -> np.ndarray:
     return np.log(counts / counts.sum(axis=1, keepdims=True))
 
 
-def _odds(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(exp of the logits, their row sums); biases are log shares, so only runaway weights meet the bound of 80."""
-    np.minimum(logits, np.float32(80), out=logits)
-    odds = np.exp(logits)
-    return odds, odds @ np.ones(odds.shape[1], odds.dtype)
+class Lanes:
+    """Documents dealt to lanes as they come, longest first to the least loaded, and read in blocks of windows."""
 
+    def __init__(self, most: int, span: int, windows: int = 16):
+        self.span, self.windows = span, windows
+        self.queues: list[deque] = [deque() for _ in range(most)]  # (key, word numbers, place reached)
+        self.load = np.zeros(most, dtype=np.int64)
+        self.last = np.zeros(most, dtype=np.int32)  # word before the next place
 
-def lanes(lengths: np.ndarray, most: int) -> list[list[int]]:
-    """Documents dealt to at most ``most`` lanes, longest first to the least loaded.
+    def add(self, keys: list, docs: list[np.ndarray]) -> None:
+        heap = [(n, i) for i, n in enumerate(self.load.tolist())]
+        heapq.heapify(heap)
+        for k in sorted(range(len(docs)), key=lambda k: -len(docs[k])):
+            load, i = heap[0]
+            self.queues[i].append((keys[k], docs[k], 0))
+            heapq.heapreplace(heap, (load + len(docs[k]), i))
+        for load, i in heap:
+            self.load[i] = load
 
-    There are fewer lanes where one document is longer than an even share.
-    """
-    longest = max(1, int(lengths.max(initial=1)))
-    n = int(np.clip(lengths.sum() // longest, 1, most))
-    heap, out = [(0, i) for i in range(n)], [[] for _ in range(n)]
-    for doc in np.argsort(-lengths, kind="stable").tolist():
-        load, i = heap[0]
-        out[i].append(doc)
-        heapq.heapreplace(heap, (load + int(lengths[doc]), i))
-    return out
+    def blocks(self, final: bool) -> Iterator[tuple]:
+        """(lanes, x, y, fresh, keys, starts, done) while all lanes are full, or if ``final`` until all are empty.
+
+        x and y are (lanes, steps) inputs and targets (-1 in empty places);
+        ``keys`` and ``starts`` are the runs of one document in ``y.ravel()``
+        (key None: empty), ``done`` the keys that end here.
+        """
+        while True:
+            full = int(self.load.min()) // self.span
+            if full:
+                lanes, steps = np.arange(len(self.queues)), min(full, self.windows) * self.span
+            elif final and self.load.any():
+                lanes, steps = np.flatnonzero(self.load), self.span
+            else:
+                return
+            y = np.full((len(lanes), steps), -1, dtype=np.int32)
+            fresh = np.zeros(y.shape, dtype=bool)
+            keys, starts, done = [], [], []
+            for row, i in enumerate(lanes.tolist()):
+                queue, at = self.queues[i], 0
+                while at < steps and queue:
+                    key, doc, place = queue.popleft()
+                    n = min(steps - at, len(doc) - place)
+                    y[row, at:at + n] = doc[place:place + n]
+                    fresh[row, at] = place == 0
+                    keys.append(key)
+                    starts.append(row * steps + at)
+                    at += n
+                    if place + n < len(doc):
+                        queue.appendleft((key, doc, place + n))
+                    else:
+                        done.append(key)
+                if at < steps:
+                    keys.append(None)
+                    starts.append(row * steps + at)
+                self.load[i] -= at
+            x = np.empty_like(y)
+            x[:, 1:], x[:, 0] = y[:, :-1], self.last[lanes]
+            self.last[lanes] = y[:, -1]
+            yield lanes, x, y, fresh, keys, starts, done
 
 
 class Model:
-    """Forward and backward passes over windows of (time, lane) word numbers."""
+    """Forward and backward passes over windows of (step, lane) word numbers."""
 
     def __init__(self, weights: Weights):
         self.w = weights
         self.classes, self.h, self.width = weights.ww.shape
         self.other = self.classes * self.width
         self.start = self.other + 1
+        self.inputs = self._gate_inputs(slice(None))
+
+    def _thirds(self, m: np.ndarray) -> list[np.ndarray]:
+        """Columns of the update, reset and candidate gates; the first two halved, as sigmoid(v) = (tanh(v / 2) + 1) / 2."""
+        h = self.h
+        return [np.multiply(m[:, i * h:(i + 1) * h], by, dtype=m.dtype) for i, by in enumerate((0.5, 0.5, 1))]
+
+    def _gate_inputs(self, words) -> list[np.ndarray]:
+        return self._thirds(self.w.embed[words] @ self.w.wx + self.w.b)
 
     def window(self, x: np.ndarray, y: np.ndarray, fresh: np.ndarray, state: np.ndarray, keep: bool):
-        """(log probabilities (t, lanes) with 0 for y < 0, last state, what backward needs).
+        """(log probabilities (steps, lanes) with 0 for y < 0, last state, what backward needs).
 
         ``fresh`` marks places where a document begins and the state is cleared.
+        Weights may change between windows with ``keep`` only.
         """
-        w, h = self.w, self.h
-        steps, n = x.shape
-        half = np.ones(3 * h, np.float32)
-        half[:2 * h] = 0.5  # sigmoid(v) = (tanh(v / 2) + 1) / 2
-        wh = w.wh * half
-        gx = (w.embed[x.ravel()] @ (w.wx * half) + w.b * half).reshape(steps, n, 3 * h)
-        gates, inner_gx = gx[:, :, :2 * h], gx[:, :, 2 * h:]
-        states = np.empty((steps, n, h), np.float32)
-        clears = fresh.any(axis=1).tolist()
-        kept = []
+        steps, n, h = *x.shape, self.h
+        x = np.where(fresh, self.start, np.maximum(x, 0))
+        if keep:  # the window's words only, under the weights as they are
+            order = np.argsort(x.ravel().astype(np.uint16) if self.start < 1 << 16 else x.ravel(), kind="stable")
+            ids, first = np.unique(x.ravel()[order], return_index=True)
+            places = np.empty(x.size, np.int32)
+            places[order] = np.repeat(np.arange(len(ids), dtype=np.int32), np.diff(first, append=x.size))
+            z, r, c = (table.take(places.reshape(x.shape), axis=0) for table in self._gate_inputs(ids))
+            words = order, ids, first
+        else:
+            z, r, c = (table.take(x, axis=0) for table in self.inputs)
+        wz, wr, wc = self._thirds(self.w.wh)
+        stays = (~fresh).astype(z.dtype)[:, :, None]
+        before, after, q = np.empty_like(z), np.empty_like(z), np.empty_like(z)
+        part = np.empty_like(state)
         for t in range(steps):
-            if clears[t]:
-                state = state * ~fresh[t][:, None]
-            gh = state @ wh
-            zr = gates[t] + gh[:, :2 * h]
-            np.tanh(zr, out=zr)
-            zr += 1
-            zr *= 0.5
-            z, r, ghc = zr[:, :h], zr[:, h:], gh[:, 2 * h:]
-            c = r * ghc
-            c += inner_gx[t]
-            np.tanh(c, out=c)
-            if keep:
-                kept.append((state, z, r, c, ghc))
-            state = state - c
-            state *= z
-            state += c
-            states[t] = state
-        flat, target = states.reshape(-1, h), y.ravel()
+            s, zt, rt, ct, qt = before[t], z[t], r[t], c[t], q[t]
+            np.multiply(state, stays[t], out=s)
+            for gate, table in ((zt, wz), (rt, wr)):
+                np.matmul(s, table, out=part)
+                gate += part
+                np.tanh(gate, out=gate)
+                gate += 1
+                gate *= 0.5
+            np.matmul(s, wc, out=qt)
+            np.multiply(rt, qt, out=part)
+            ct += part
+            np.tanh(ct, out=ct)
+            state = after[t]
+            np.subtract(s, ct, out=state)
+            state *= zt
+            state += ct
+        found, output = self._outputs(after.reshape(-1, h), y.ravel(), keep)
+        return found.reshape(steps, n), state, (x, words, stays, z, r, c, q, before, output) if keep else None
+
+    def _outputs(self, states: np.ndarray, target: np.ndarray, keep: bool):
+        w = self.w
         used = np.flatnonzero(target >= 0)
-        top = flat if len(used) == len(flat) else flat[used]
-        goal = target[used]
-        cls = np.minimum(goal // self.width, self.classes)
-        logits = top @ w.wc + w.bc
-        odds, total = _odds(logits)
-        found = (logits[np.arange(len(used)), cls] - np.log(total)).astype(np.float64)
-        class_share = odds / total[:, None] if keep else None
-        order = np.argsort(cls.astype(np.int16), kind="stable")
-        edges = np.searchsorted(cls[order], np.arange(self.classes + 1))
-        inner = []
+        # rows in order of their classes; those of the last class come last
+        cls = np.minimum(target[used] // self.width, self.classes).astype(np.int16)
+        order = np.argsort(cls, kind="stable")
+        used, cls = used[order], cls[order]
+        edges = np.searchsorted(cls, np.arange(self.classes + 1))
+        top, rows = states[used], np.arange(len(used))
+        of_class, logs = _shares(top @ w.wc + w.bc, rows, cls, keep)
+        known = int(edges[-1])
+        word = target[used[:known]] % self.width
+        logits = np.empty((known, self.width), top.dtype)
         for k in range(self.classes):
-            rows = order[edges[k]:edges[k + 1]]
-            if len(rows):
-                logits = top[rows] @ w.ww[k] + w.bw[k]
-                odds, total = _odds(logits)
-                word = goal[rows] - k * self.width
-                found[rows] += logits[np.arange(len(rows)), word] - np.log(total)
-                if keep:
-                    inner.append((k, rows, word, odds / total[:, None]))
-        out = np.zeros(steps * n)
-        out[used] = found
-        return out.reshape(steps, n), state, (x, fresh, kept, top, used, cls, class_share, inner) if keep else None
-
-    def gradient(self, saved) -> tuple[Weights, int]:
-        """(gradient of the summed negative log-likelihood, tokens), truncated at the window's start."""
-        x, fresh, kept, top, used, cls, d_class, inner = saved
-        w, h, g = self.w, self.h, self.w.zeros()
+            a, b = edges[k], edges[k + 1]
+            np.matmul(top[a:b], w.ww[k], out=logits[a:b])
+            logits[a:b] += w.bw[k]
+        of_word, more = _shares(logits, rows[:known], word, keep)
+        logs[:known] += more
+        found = np.zeros(len(target))
+        found[used] = logs
+        return found, (len(target), used, edges, top, rows, cls, of_class, word, of_word)
+
+    def gradient(self, saved) -> tuple[Weights, np.ndarray, int]:
+        """(gradient of the summed negative log-likelihood, rows of ``embed`` that it has, tokens), truncated at the window's start."""
+        x, (order, ids, first), stays, z, r, c, q, before, (total, used, edges, top, rows, cls, d_class, word, d_word) = saved
+        w, h, g = self.w, self.h, replace(self.w, **{f.name: np.zeros_like(getattr(self.w, f.name)) for f in fields(self.w) if f.name != "embed"})
         steps, n = x.shape
-        d_class[np.arange(len(used)), cls] -= 1
+        d_class[rows, cls] -= 1
+        d_word[rows[:len(word)], word] -= 1
         g.wc[:], g.bc[:] = top.T @ d_class, d_class.sum(0)
         d_top = d_class @ w.wc.T
-        for k, rows, word, d_word in inner:
-            d_word[np.arange(len(rows)), word] -= 1
-            g.ww[k], g.bw[k] = top[rows].T @ d_word, d_word.sum(0)
-            d_top[rows] += d_word @ w.ww[k].T
-        d_states = np.zeros((steps * n, h), np.float32)
-        d_states[used] = d_top
-        d_states = d_states.reshape(steps, n, h)
-        d_gx = np.empty((steps, n, 3 * h), np.float32)
-        carry = np.zeros((n, h), np.float32)
+        for k in range(self.classes):
+            a, b = edges[k], edges[k + 1]
+            if b > a:
+                g.ww[k], g.bw[k] = top[a:b].T @ d_word[a:b], d_word[a:b].sum(0)
+                d_top[a:b] += d_word[a:b] @ w.ww[k].T
+        d_after = np.zeros((total, h), top.dtype)
+        d_after[used] = d_top
+        d_after = d_after.reshape(steps, n, h)
+        # what multiplies the state's gradient, for all steps at once
+        left = 1 - z
+        to_z = (before - c) * z * left
+        to_c = (1 - c * c) * left
+        to_r = q * r * (1 - r)
+        d_gates, d_q = np.empty((steps, n, 3 * h), top.dtype), np.empty_like(z)
+        back, back_q = np.ascontiguousarray(w.wh[:, :2 * h].T), np.ascontiguousarray(w.wh[:, 2 * h:].T)
+        carry, part = np.zeros((n, h), top.dtype), np.empty((n, h), top.dtype)
         for t in range(steps - 1, -1, -1):
-            state, z, r, c, ghc = kept[t]
-            d = d_states[t] + carry
-            d_c = d * (1 - z) * (1 - c * c)
-            d_z = d * (state - c) * z * (1 - z)
-            d_r = d_c * ghc * r * (1 - r)
-            d_gh = np.concatenate([d_z, d_r, d_c * r], axis=1)
-            d_gx[t] = np.concatenate([d_z, d_r, d_c], axis=1)
-            g.wh += state.T @ d_gh
-            carry = d * z + d_gh @ w.wh.T
-            if fresh[t].any():
-                carry = np.where(fresh[t][:, None], np.float32(0), carry)
-        flat = d_gx.reshape(-1, 3 * h)
-        g.b[:] = flat.sum(0)
-        g.wx[:] = w.embed[x.ravel()].T @ flat
-        d_embed = flat @ w.wx.T
-        order = np.argsort(x.ravel(), kind="stable")
-        ids, first = np.unique(x.ravel()[order], return_index=True)
-        g.embed[ids] = np.add.reduceat(d_embed[order], first, axis=0)
-        return g, len(used)
-
-    def _laid_out(self, docs: list[np.ndarray], most: int):
-        """(inputs, targets, fresh, lanes) of whole documents side by side; empty places have target -1."""
-        lengths = np.array([len(d) for d in docs])
-        dealt = lanes(lengths, most)
-        longest = max(int(lengths[lane].sum()) for lane in dealt)
-        y = np.full((longest, len(dealt)), -1, np.int32)
-        x = np.full((longest, len(dealt)), self.start, np.int32)
-        fresh = np.zeros((longest, len(dealt)), bool)
-        for i, lane in enumerate(dealt):
-            at = 0
-            for doc in lane:
-                n = lengths[doc]
-                y[at:at + n, i] = docs[doc]
-                x[at + 1:at + n, i] = docs[doc][:-1]
-                fresh[at, i] = True
-                at += n
-        return x, y, fresh, dealt, lengths
-
-    def score(self, docs: list[np.ndarray], most: int = 256, span: int = 128) -> np.ndarray:
-        """Natural log-likelihood of each whole document (arrays of word numbers, each at least one long)."""
-        if not docs:
-            return np.zeros(0)
-        x, y, fresh, dealt, lengths = self._laid_out(docs, most)
-        state = np.zeros((x.shape[1], self.h), np.float32)
-        logs = np.empty(x.shape, np.float32)
-        for t in range(0, len(x), span):
-            logs[t:t + span], state, _ = self.window(x[t:t + span], y[t:t + span], fresh[t:t + span], state, False)
-        out = np.empty(len(docs))
-        for i, lane in enumerate(dealt):
-            ends = np.cumsum(lengths[lane])
-            out[lane] = np.add.reduceat(logs[:ends[-1], i].astype(np.float64), ends - lengths[lane])
-        return out
-
-    def train(self, docs: list[np.ndarray], squares: Weights, rate: float, most: int = 64, span: int = 32) -> int:
-        """One pass of truncated backpropagation with Adagrad steps; returns the tokens seen.
-
-        The state runs through all windows of a text.
-        """
-        if not docs:
-            return 0
-        x, y, fresh, _, _ = self._laid_out(docs, most)
-        state, seen = np.zeros((x.shape[1], self.h), np.float32), 0
-        for t in range(0, len(x), span):
-            _, state, saved = self.window(x[t:t + span], y[t:t + span], fresh[t:t + span], state, True)
-            g, n = self.gradient(saved)
-            seen += n
-            for f in fields(g):
-                d = getattr(g, f.name)
-                d /= max(n, 1)
-                np.clip(d, -0.1, 0.1, out=d)
-                s = getattr(squares, f.name)
-                s += d * d
-                getattr(self.w, f.name)[...] -= rate * d / np.sqrt(s + np.float32(1e-7))
-        return seen
+            d, gates = d_after[t], d_gates[t]
+            d += carry
+            d_c = np.multiply(d, to_c[t], out=gates[:, 2 * h:])
+            np.multiply(d, to_z[t], out=gates[:, :h])
+            np.multiply(d_c, to_r[t], out=gates[:, h:2 * h])
+            np.multiply(d_c, r[t], out=d_q[t])
+            np.multiply(d, z[t], out=carry)
+            np.matmul(gates[:, :2 * h], back, out=part)
+            carry += part
+            np.matmul(d_q[t], back_q, out=part)
+            carry += part
+            carry *= stays[t]
+        flat, states = d_gates.reshape(-1, 3 * h), before.reshape(-1, h)
+        g.wh[:, :2 * h], g.wh[:, 2 * h:] = states.T @ flat[:, :2 * h], states.T @ d_q.reshape(-1, h)
+        g.b[:], g.wx[:] = flat.sum(0), w.embed.take(x.ravel(), axis=0).T @ flat
+        g.embed = np.add.reduceat((flat @ w.wx.T).take(order, axis=0), first, axis=0)
+        return g, ids, len(used)
+
+
+def _shares(logits: np.ndarray, rows: np.ndarray, goal: np.ndarray, keep: bool) -> tuple[np.ndarray | None, np.ndarray]:
+    """(softmax of each row if kept, log share of each row's goal)."""
+    np.clip(logits, *LOGITS, out=logits)
+    at = logits[rows, goal].astype(np.float64)
+    np.exp(logits, out=logits)
+    total = logits @ np.ones(logits.shape[1], logits.dtype)
+    if keep:
+        logits *= (1 / total)[:, None]
+    return (logits if keep else None), at - np.log(total)
+
+
+class Scorer:
+    """Natural log-likelihoods of whole documents."""
+
+    def __init__(self, model: Model, most: int = 256, span: int = 32):
+        self.model, self.lanes = model, Lanes(most, span)
+        self.state = np.zeros((most, model.h), model.w.wh.dtype)
+        self.total: dict = {}
+
+    def add(self, keys: list, docs: list[np.ndarray], final: bool = False) -> list[tuple]:
+        """(key, log-likelihood) of the documents that are done by now (arrays of word numbers, each at least one long)."""
+        self.lanes.add(keys, docs)
+        self.total.update(dict.fromkeys(keys, 0.0))
+        found = []
+        for lanes, x, y, fresh, runs, starts, done in self.lanes.blocks(final):
+            state, logs = self.state[lanes], np.empty(x.shape)
+            for t in range(0, x.shape[1], self.lanes.span):
+                cut = slice(t, t + self.lanes.span)
+                out, state, _ = self.model.window(x[:, cut].T, y[:, cut].T, fresh[:, cut].T, state, False)
+                logs[:, cut] = out.T
+            self.state[lanes] = state
+            for key, value in zip(runs, np.add.reduceat(logs.ravel(), starts).tolist()):
+                if key is not None:
+                    self.total[key] += value
+            found += [(key, self.total.pop(key)) for key in done]
+        return found
+
+
+class Trainer:
+    """Truncated backpropagation with Adagrad steps; the state runs through all windows of a text."""
+
+    def __init__(self, model: Model, rate: float, most: int = 256, span: int = 32):
+        self.model, self.rate, self.lanes = model, rate, Lanes(most, span)
+        self.state = np.zeros((most, model.h), model.w.wh.dtype)
+        self.squares = model.w.zeros()
+        self.seen = 0  # tokens
+
+    def add(self, docs: list[np.ndarray], final: bool = False) -> None:
+        self.lanes.add([0] * len(docs), docs)
+        for lanes, x, y, fresh, *_ in self.lanes.blocks(final):
+            state = self.state[lanes]
+            for t in range(0, x.shape[1], self.lanes.span):
+                cut = slice(t, t + self.lanes.span)
+                _, state, saved = self.model.window(x[:, cut].T, y[:, cut].T, fresh[:, cut].T, state, True)
+                self._step(*self.model.gradient(saved))
+            self.state[lanes] = state
+
+    def _step(self, gradient: Weights, ids: np.ndarray, n: int) -> None:
+        self.seen += n
+        for f in fields(gradient):
+            d, s, v = (getattr(o, f.name) for o in (gradient, self.squares, self.model.w))
+            rows = ids if f.name == "embed" else slice(None)
+            d *= 1 / max(n, 1)
+            np.clip(d, -0.1, 0.1, out=d)
+            s[rows] += d * d
+            d /= np.sqrt(s[rows] + np.float32(1e-7))
+            d *= self.rate
+            v[rows] -= d

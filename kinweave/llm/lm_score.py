@@ -31,7 +31,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -44,16 +44,16 @@ from kinweave.llm import gru
 from kinweave.llm.arrow import slices, tree_sum, unsliced
 from kinweave.sources.shared import materialize
 
-HEAD_WORDS = 65_536
+HEAD_WORDS = 262_144
 HEAD_BYTES = 64
-CLASSES = 32
+CLASSES = 64
 WIDTH = 64
 EMBED = 16
-STATE = 16
+STATE = 32
 ROUNDS = 2
 TRAIN_PARTS = 2
 RATE = 0.1
-SLICE = 12 << 20
+SLICE = 4 << 20
 END = ""  # no word is empty
 
 
@@ -61,16 +61,16 @@ def held_out(doc_id: Column) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))), F.lit(7)) == 2
 
 
-def _words(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+def _words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """(distinct words, number of each word in order, index of its text)."""
     split = pc.ascii_split_whitespace(pc.ascii_lower(unsliced(pc.fill_null(texts.cast(pa.large_string()), ""))))
     coded = split.flatten().dictionary_encode()
     doc = np.repeat(np.arange(len(texts), dtype=np.int32), np.diff(split.offsets.to_numpy()))
-    index, words = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_pylist()
-    if END in words:  # leading and trailing white space
-        real = index != words.index(END)
-        index, doc = index[real], doc[real]
-    return words, index, doc
+    index = coded.indices.to_numpy(zero_copy_only=False)
+    empty = pc.index(coded.dictionary, END).as_py()  # leading and trailing white space
+    if empty >= 0:
+        index, doc = index[index != empty], doc[index != empty]
+    return coded.dictionary, index, doc
 
 
 def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -79,27 +79,37 @@ def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             words, index, _ = _words(part.column(0))
             n = np.bincount(index, minlength=len(words))
             seen = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array([*(words[i] for i in seen.tolist()), END], pa.string()), pa.array([*n[seen].tolist(), part.num_rows], pa.int64())], ["word", "n"])
+            words = pa.concat_arrays([words.take(pa.array(seen)).cast(pa.string()), pa.array([END])])
+            yield pa.RecordBatch.from_arrays([words, pa.array(np.append(n[seen], part.num_rows))], ["word", "n"])
 
 
 @dataclass(frozen=True)
 class Head:
     """Frequent words with their counts, and the corpus's totals."""
 
-    known: dict[str, int]  # words of the network's classes, the end first
-    counts: dict[str, int]
+    words: pa.Array  # the end, then by count
+    counts: np.ndarray
+    known: int  # of them in the network's classes
     tokens: int
     types: int
-    other_tokens: int  # of words outside the classes
-    other_types: int
 
     @property
     def base(self) -> float:
         return self.tokens + self.types + 1.0
 
+    @property
+    def other_tokens(self) -> int:
+        """Of words outside the classes."""
+        return self.tokens - int(self.counts[:self.known].sum())
+
     @property
     def other(self) -> float:
-        return self.other_tokens + self.other_types + 1.0
+        return self.other_tokens + self.types - int((self.counts[:self.known] > 0).sum()) + 1.0
+
+    def places(self, words: pa.Array) -> np.ndarray:
+        """Of each word among the head's; -1 outside."""
+        found = pc.index_in(words.cast(pa.string()), value_set=self.words)
+        return pc.fill_null(found, -1).to_numpy()
 
 
 def count_words(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -120,38 +130,33 @@ def frequent(counts: DataFrame, head_words: int = HEAD_WORDS, head_bytes: int =
             least = row.c
             break
         taken += row.words
-    rows = (short if least is None else short.filter(F.col("c") > least)).filter(F.col("word") != END).collect()
-    ranked = sorted(((r.word, r.c) for r in rows), key=lambda x: (-x[1], x[0]))
+    rows = (short if least is None else short.filter(F.col("c") > least)).filter(F.col("word") != END).select("word", "c").toArrow()
+    rows = rows.sort_by([("c", "descending"), ("word", "ascending")])
     ends = counts.filter(F.col("word") == END).agg(F.sum("c")).first()[0] or 0
-    table = {END: ends, **dict(ranked)}
-    top = dict(zip(list(table)[:known], range(known)))
-    n, v = total.n or 0, total.v
-    return Head(top, table, n, v, n - sum(table[w] for w in top), v - sum(table[w] > 0 for w in top))
-
+    words = pa.concat_arrays([pa.array([END]), *(c.cast(pa.string()) for c in rows.column("word").chunks)])
+    return Head(words, np.append(np.int64(ends), rows.column("c").to_numpy()), min(known, len(words)), total.n or 0, total.v)
 
-def _numbered(words: list[str], known: dict[str, int], other: int) -> np.ndarray:
-    return np.fromiter((known.get(w, other) for w in words), dtype=np.int32, count=len(words))
 
+def _documents(number: np.ndarray, index: np.ndarray, doc: np.ndarray, n: int) -> list[np.ndarray]:
+    """Word numbers of each text with the end, whose number is 0."""
+    cut = np.searchsorted(doc, np.arange(1, n))
+    ended = np.insert(number[index], np.append(cut, len(index)), 0)
+    return np.split(ended, cut + np.arange(1, n))
 
-def _documents(number: np.ndarray, index: np.ndarray, doc: np.ndarray, n: int, end: int) -> list[np.ndarray]:
-    """Word numbers of each text with the end."""
-    cut = np.searchsorted(doc, np.arange(n + 1))
-    y = number[index]
-    tail = np.array([end], dtype=y.dtype)
-    return [np.concatenate([y[cut[i]:cut[i + 1]], tail]) for i in range(n)]
 
-
-def _train_batches(weights: gru.Weights, known: dict[str, int], rate: float):
+def _train_batches(weights: gru.Weights, head: Head, rate: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, seen = gru.Model(weights.from_vector(weights.vector())), 0
-        squares = model.w.zeros()
+        trainer = gru.Trainer(gru.Model(weights.from_vector(weights.vector())), rate)
+        known = replace(head, words=head.words[:head.known])
         for batch in batches:
             for part in slices(batch, 0, SLICE):
                 words, index, doc = _words(part.column(0))
-                docs = _documents(_numbered(words, known, model.other), index, doc, part.num_rows, known[END])
-                seen += model.train(docs, squares, rate)
-        if seen:
-            yield pa.RecordBatch.from_arrays([pa.array([(model.w.vector() * seen).tobytes()], pa.binary()), pa.array([seen])], ["vector", "total"])
+                number = known.places(words)
+                trainer.add(_documents(np.where(number < 0, trainer.model.other, number), index, doc, part.num_rows))
+            pa.default_memory_pool().release_unused()
+        trainer.add([], final=True)
+        if trainer.seen:
+            yield pa.RecordBatch.from_arrays([pa.array([(trainer.model.w.vector() * trainer.seen).tobytes()], pa.binary()), pa.array([trainer.seen])], ["vector", "total"])
 
     return run
 
@@ -161,13 +166,12 @@ def train(docs: DataFrame, head: Head, doc_id: str, text: str, classes: int = CL
     if rounds < train_parts:
         raise ValueError("the rounds must cover every part of the training documents")
     counts = np.zeros(classes * width)
-    for word, i in head.known.items():
-        counts[i] = head.counts[word]
+    counts[:head.known] = head.counts[:head.known]
     weights = gru.initial(counts, head.other_tokens, classes, width, embed, state)
     part = F.pmod(F.xxhash64(F.col(doc_id)), F.lit(train_parts))
     for k in range(rounds):
         chosen = docs.filter(~held_out(F.col(doc_id)) & (part == k % train_parts)).select(F.col(text).cast("string").alias("text"))
-        total, tokens = tree_sum(chosen.mapInArrow(_train_batches(weights, head.known, rate / (1 + k)), "vector binary, total long"))
+        total, tokens = tree_sum(chosen.mapInArrow(_train_batches(weights, head, rate / (1 + k)), "vector binary, total long"))
         if tokens:
             weights = weights.from_vector(total / tokens)
     return weights
@@ -177,37 +181,48 @@ _PARTS = "row long, doc_id long, held_out boolean, n_tokens long, known long, ba
 
 
 def _score_batches(weights: gru.Weights, head: Head):
+    names = [c.split()[0] for c in _PARTS.split(", ")]
+    facts = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+
+    def scored(done: list[tuple], facts_of: dict) -> pa.RecordBatch:
+        rows = [(row, *first, more + log / math.log(10)) for row, log in done for *first, more in [facts_of.pop(row)]]
+        columns = [pa.array(c, t) for c, t in zip(zip(*rows), [pa.int64(), *facts])]
+        return pa.RecordBatch.from_arrays([*columns, pa.nulls(len(rows), pa.string()), pa.nulls(len(rows), pa.int64())], names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [c.split()[0] for c in _PARTS.split(", ")]
         model, row = gru.Model(weights), TaskContext.get().partitionId() << 33
-        end, base, other = head.counts[END], math.log10(head.base), math.log10(head.other)
+        scorer, facts_of = gru.Scorer(model), {}
+        end, base, other = int(head.counts[0]), math.log10(head.base), math.log10(head.other)
+        value = np.log10(head.counts + 1.0)
         for batch in batches:
             for part in slices(batch, 2, SLICE):
                 n = part.num_rows
                 words, index, doc = _words(part.column(2))
-                number = _numbered(words, head.known, model.other)
-                count = np.fromiter((head.counts.get(w, -1) for w in words), dtype=np.int64, count=len(words))
-                logs = model.score(_documents(number, index, doc, n, head.known[END])) / math.log(10)
-                held, value = count >= 0, np.log10(np.maximum(count, 0) + 1.0)  # of each distinct word
+                place = head.places(words)
+                held = place >= 0
+                outside = (place < 0) | (place >= head.known)
+                worth = np.where(held, value[place], 0)  # of each distinct word
 
                 def per_text(of_word: np.ndarray) -> np.ndarray:
                     return np.bincount(doc, weights=of_word[index], minlength=n)
 
-                tokens = np.bincount(doc, minlength=n) + 1
                 known = per_text(held).astype(np.int64) + (end > 0)
-                bases = per_text(np.where(held, value - base, 0)) + math.log10(end + 1) - base
-                scores = logs + per_text(np.where(held & (number == model.other), value - other, 0))
-                rows = row + np.arange(n)
+                bases = per_text(np.where(held, worth - base, 0)) + math.log10(end + 1) - base
+                more = per_text(np.where(held & outside, worth - other, 0))
+                rows = list(range(row, row + n))
                 row += n
-                nulls = [pa.nulls(n, pa.string()), pa.nulls(n, pa.int64())]
-                yield pa.RecordBatch.from_arrays([pa.array(rows), part.column(0), part.column(1), pa.array(tokens), pa.array(known), pa.array(bases), pa.array(scores), *nulls], names)
+                facts_of.update(zip(rows, zip(part.column(0).to_pylist(), part.column(1).to_pylist(), (np.bincount(doc, minlength=n) + 1).tolist(), known.tolist(), bases.tolist(), more.tolist())))
                 rare = ~held[index]
                 pairs, times = np.unique(doc[rare].astype(np.int64) * len(words) + index[rare], return_counts=True)
                 if len(pairs):
                     at, word = np.divmod(pairs, len(words))
-                    m, taken = len(pairs), pa.array(words, pa.string()).take(pa.array(word))
-                    blank = [pa.nulls(m, t) for t in (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())]
-                    yield pa.RecordBatch.from_arrays([pa.array(rows[at]), *blank, taken, pa.array(times)], names)
+                    blank = [pa.nulls(len(pairs), t) for t in facts]
+                    yield pa.RecordBatch.from_arrays([pa.array(at + rows[0]), *blank, words.take(pa.array(word)).cast(pa.string()), pa.array(times)], names)
+                if done := scorer.add(rows, _documents(np.where(outside, model.other, place), index, doc, n)):
+                    yield scored(done, facts_of)
+            pa.default_memory_pool().release_unused()
+        if done := scorer.add([], [], final=True):
+            yield scored(done, facts_of)
 
     return run
 

@@ -66,10 +66,12 @@ def test_network_learns_from_every_training_token(spark, monkeypatch):
 
 def test_training_carries_the_state_through_long_texts(monkeypatch):
     model, r = small()
-    starts, plain = [], model.window
-    monkeypatch.setattr(model, "window", lambda x, y, fresh, state, keep: starts.append(int(fresh.sum())) or plain(x, y, fresh, state, keep))
-    assert model.train([r.integers(0, 21, 3000), r.integers(0, 21, 5)], model.w.zeros(), 0.1) == 3005
-    assert sum(starts) == 2
+    starts, plain, trainer = [], model.window, gru.Trainer(model, 0.1, most=2)
+    monkeypatch.setattr(model, "window", lambda x, y, fresh, state, keep: starts.append((int(fresh.sum()), state.copy())) or plain(x, y, fresh, state, keep))
+    trainer.add([r.integers(0, 21, 3000), r.integers(0, 21, 5)])
+    trainer.add([r.integers(0, 21, 40)], final=True)
+    assert trainer.seen == 3045 and sum(n for n, _ in starts) == 3
+    assert all(np.abs(state).max() > 0 for _, state in starts[1:])
 
 
 def test_words_of_slices():
@@ -80,7 +82,7 @@ def test_words_of_slices():
         words, index, doc = lm_score._words(texts.slice(at, n))
         got = [[] for _ in range(n)]
         for i, d in zip(index.tolist(), doc.tolist()):
-            got[d].append(words[i])
+            got[d].append(words[i].as_py())
         assert got == [tokens(t)[:-1] for t in texts.slice(at, n).to_pylist()]
 
 
@@ -95,6 +97,7 @@ def test_words_of_large_slices():
     assert len(parts) > 3 and sum(p.num_rows for p in parts) == 300
     for part in parts:
         words, index, _ = lm_score._words(part.column(0))
+        words = words.to_pylist()
         assert Counter(words[i] for i in index.tolist()) == Counter(t for x in part.column(0).to_pylist() for t in tokens(x)[:-1])
 
 
@@ -106,15 +109,56 @@ def small(seed=1):
     return gru.Model(weights), r
 
 
+def logs(model, docs, most=256, span=32):
+    scorer = gru.Scorer(model, most, span)
+    found = scorer.add(range(len(docs)), docs, final=True)
+    assert not scorer.total
+    return [value for _, value in sorted(found)]
+
+
+def plain_log(w, doc):
+    """One word after another, by the equations."""
+    h, (classes, _, width) = w.wh.shape[0], w.ww.shape
+    sigmoid, softmax = (lambda v: 1 / (1 + np.exp(-v))), (lambda v: np.exp(v) / np.exp(v).sum())
+    state, before, total = np.zeros(h), classes * width + 1, 0.0
+    for word in doc.tolist():
+        gx, gh = w.embed[before] @ w.wx + w.b, state @ w.wh
+        z, r = sigmoid(gx[:h] + gh[:h]), sigmoid(gx[h:2 * h] + gh[h:2 * h])
+        state = z * state + (1 - z) * np.tanh(gx[2 * h:] + r * gh[2 * h:])
+        cls = min(word // width, classes)
+        total += math.log(softmax(state @ w.wc + w.bc)[cls])
+        if cls < classes:
+            total += math.log(softmax(state @ w.ww[cls] + w.bw[cls])[word % width])
+        before = word
+    return total
+
+
+def test_scores_match_the_equations():
+    model, r = small()
+    docs = [r.integers(0, 21, n) for n in (1, 2, 70, 33, 5, 400, 1, 1, 90)]
+    assert np.allclose(logs(model, docs, most=3, span=7), [plain_log(model.w, d) for d in docs], rtol=1e-5)
+
+
+def test_lanes_take_documents_as_they_come():
+    model, r = small()
+    docs = [r.integers(0, 21, n) for n in (400, 3, 1, 64, 64, 9, 700, 2, 1, 33)]
+    scorer, found = gru.Scorer(model, most=4, span=8), {}
+    for i in range(0, 10, 2):
+        found.update(scorer.add([i, i + 1], docs[i:i + 2]))
+    assert len(found) < 10
+    found.update(scorer.add([], [], final=True))
+    assert np.allclose([found[i] for i in range(10)], [plain_log(model.w, d) for d in docs], rtol=1e-5)
+
+
 def test_probabilities_sum_to_one_and_state_is_carried():
     model, r = small()
     before = r.integers(0, 21, 9)
-    total = sum(math.exp(model.score([np.append(before, w)])[0] - model.score([before])[0]) for w in range(21))
+    total = sum(math.exp(logs(model, [np.append(before, w)])[0] - logs(model, [before])[0]) for w in range(21))
     assert abs(total - 1) < 1e-4
     docs = [r.integers(0, 21, n) for n in (1, 2, 70, 33, 5, 400, 1)]
-    alone = [model.score([d], span=1000)[0] for d in docs]
-    assert np.allclose(model.score(docs, most=3, span=7), alone, rtol=1e-5)
-    assert np.allclose(model.score(docs, most=256, span=32), alone, rtol=1e-5)
+    alone = [logs(model, [d], span=1000)[0] for d in docs]
+    assert np.allclose(logs(model, docs, most=3, span=7), alone, rtol=1e-5)
+    assert np.allclose(logs(model, docs), alone, rtol=1e-5)
 
 
 def test_gradient_matches_differences():
@@ -122,25 +166,37 @@ def test_gradient_matches_differences():
     w = model.w
     for name in ("embed", "wx", "wh", "b", "wc", "bc", "ww", "bw"):
         setattr(w, name, getattr(w, name).astype(np.float64))
-    x, y, fresh = r.integers(0, 22, (7, 3)), r.integers(-1, 21, (7, 3)), r.random((7, 3)) < 0.2
+    x, y, fresh = r.integers(0, 21, (7, 3)), r.integers(-1, 21, (7, 3)), r.random((7, 3)) < 0.2
+    x[3, 1], fresh[3, 1] = 5, False
     state = r.normal(size=(3, 6)) * 0.5
     _, _, saved = model.window(x, y, fresh, state, True)
-    g, n = model.gradient(saved)
+    g, ids, n = model.gradient(saved)
     assert n == (y >= 0).sum()
+    whole = np.zeros_like(w.embed)
+    whole[ids] = g.embed
+    g.embed = whole
     for name in ("embed", "wx", "wh", "b", "wc", "bc", "ww", "bw"):
         a = getattr(w, name)
         k = (int(x[3, 1]), 2) if name == "embed" else tuple(int(r.integers(0, s)) for s in a.shape)
         kept, values = a[k], []
         for e in (1e-3, -1e-3):
             a[k] = kept + e
-            values.append(model.window(x, y, fresh, state, False)[0].sum())
+            values.append(model.window(x, y, fresh, state, True)[0].sum())
         a[k] = kept
         assert math.isclose(-(values[0] - values[1]) / 2e-3, getattr(g, name)[k], rel_tol=0.02, abs_tol=2e-3), name
 
 
 def test_lanes_hold_every_document_once():
-    lengths = np.array([5, 1, 900, 3, 3, 40])
-    dealt = gru.lanes(lengths, 256)
-    assert sorted(d for lane in dealt for d in lane) == list(range(6)) and len(dealt) == 1
-    dealt = gru.lanes(np.full(100, 4), 16)
-    assert len(dealt) == 16 and max(map(len, dealt)) - min(map(len, dealt)) <= 1
+    lanes = gru.Lanes(16, 4)
+    docs = [np.full(4, i) for i in range(100)] + [np.full(900, 100), np.full(1, 101)]
+    lanes.add(list(range(102)), docs)
+    held, ended = [[] for _ in docs], []
+    for _, x, y, fresh, keys, starts, done in lanes.blocks(True):
+        for key, run, new in zip(keys, np.split(y.ravel(), starts[1:]), np.split(fresh.ravel(), starts[1:])):
+            if key is None:
+                assert (run == -1).all()
+            else:
+                assert new[0] == (not held[key]) and not new[1:].any()
+                held[key] += run.tolist()
+        ended += done
+    assert held == [d.tolist() for d in docs] and sorted(ended) == list(range(102))
