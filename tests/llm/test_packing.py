@@ -4,6 +4,7 @@ import zlib
 import numpy as np
 import pytest
 import public_tokenizers
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from kinweave.llm import packing, token_counts
@@ -66,24 +67,52 @@ def test_copies_far_apart_share_windows(spark):
 
 def test_neighbours_match_plain_bm25():
     r = np.random.default_rng(2)
-    ids = [r.integers(0, 30, r.integers(5, 60)) for _ in range(25)]
-    idf = r.random(30) + 0.1
-    mean = 31.0
-    shard = packing.Shard(ids, idf, mean)
-    unused = r.random(25) < 0.7
-    for seed in range(25):
-        def weight(d, t):
-            c = int((ids[d] == t).sum())
-            return idf[t] * c * 2.2 / (c + 1.2 * (0.25 + 0.75 * len(ids[d]) / mean))
-        terms = sorted(set(ids[seed].tolist()), key=lambda t: (-weight(seed, t), t))[:6]
-        scores = {d: sum(weight(d, t) for t in terms) for d in range(25) if unused[d]}
-        want = [d for d in sorted(scores, key=lambda d: (-round(scores[d], 9), d)) if scores[d] > 0]
-        got = shard.neighbours(seed, unused, 6).tolist()
-        assert [round(scores[d], 9) for d in got] == [round(scores[d], 9) for d in want] and sorted(got) == sorted(want)
+    for n in (1, 25, 400):
+        ids = [r.integers(0, 30, r.integers(5, 60)) for _ in range(n)]
+        idf, stop = r.random(30) + 0.1, r.random(30) < 0.3
+        mean = 31.0
+        shard = packing.Shard(ids, idf, mean, stop)
+        unused = r.random(n) < 0.7
+        for seed in range(min(n, 25)):
+            def weight(d, t):
+                c = int((ids[d] == t).sum())
+                return idf[t] * c * 2.2 / (c + 1.2 * (0.25 + 0.75 * len(ids[d]) / mean))
+            terms = sorted(set(t for t in ids[seed].tolist() if not stop[t]))
+            scores = {d: sum(weight(d, t) for t in terms) for d in range(n) if unused[d]}
+            want = [round(scores[d], 9) for d in sorted(scores, key=lambda d: (-scores[d], d)) if scores[d] > 0]
+            got = shard.neighbours(seed, unused).tolist()
+            assert [round(scores[d], 9) for d in got] == want and len(set(got)) == len(got)
+            for room in (1, 100, 2000, 10**6):
+                few = shard.neighbours(seed, unused, room).tolist()
+                assert few == got[:len(few)]
+                assert len(few) == len(got) or sum(len(ids[d]) for d in few) >= room > sum(len(ids[d]) for d in few[:-1])
+
+
+def test_positions_follow_the_order_of_the_table(spark, tmp_path):
+    r = random.Random(8)
+    rows = [(i, " ".join(r.choice(["alpha", "beta", "gamma", "delta"]) for _ in range(r.choice([20, 90, 300]))), 1) for i in range(60)]
+    path = str(tmp_path / "mixed")
+    spark.createDataFrame(rows, SCHEMA).repartition(7).orderBy(F.desc("doc_id")).write.parquet(path)
+    docs = spark.read.parquet(path)
+    pieces = packing.pack(docs, PATH, order=packing.file_order(docs)).collect()
+    place = {p.doc_id: p.position for p in pieces}
+    assert [d for d, _ in sorted(place.items(), key=lambda x: x[1])] == list(range(59, -1, -1))
+    assert all(place[p.doc_id] == p.position for p in pieces)
+    assert packing.file_order(spark.createDataFrame(rows, SCHEMA)) is None
+
+
+def test_seeds_are_taken_in_order():
+    r = np.random.default_rng(5)
+    ids = [r.integers(1, 40, 16) for _ in range(30)]
+    packer = packing.Packer(0, 16)  # every document fills a window: all are seeds
+    packer.shard(range(30), range(30), ids, packing.Shard(ids, np.ones(40), 16.0, np.zeros(40, bool)))
+    assert [row[7] for row in packer.rows] == list(range(30))
 
 
 def test_packing_empty_and_repeats(spark):
     assert packing.pack(spark.createDataFrame([], SCHEMA), PATH).count() == 0
+    clash = spark.createDataFrame([(1, "a b", 2, 3, "x")], "doc_id long, text string, position int, row int, ids string").coalesce(1)
+    assert [(r.doc_id, r.length, r.position) for r in packing.pack(clash, PATH).collect()] == [(1, 3, 0)]
     twice = spark.createDataFrame([(1, "a b", 1), (1, "a b", 1), (None, None, 1)], SCHEMA).coalesce(1)
     got = packing.pack(twice, PATH).collect()
     assert sorted((r.doc_id or 0, r.length, r.offset) for r in got) == [(0, 1, 6), (1, 3, 0), (1, 3, 3)]
