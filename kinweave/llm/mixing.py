@@ -3,20 +3,24 @@
 Native: DataFrame functions only. Each source's documents form blocks of
 ``block_docs``. With integer weights r out of R = sum(r), block i (from 1) of a
 source gets release floor((i-1)R/r) and deadline ceil(iR/r); earliest deadline
-first among released blocks fills one slot after another, and each source's
-count of slots differs from its share by less than one block at every time. The
-schedule repeats after R slots, so one period is computed (a fold over R slots,
-R <= resolution * sources) and every block's slot follows by arithmetic.
+first among released blocks fills one slot after another (ties go to the
+smaller source name), and each source's count of slots differs from its share
+by less than one block at every time. The schedule repeats after R slots, so
+one period is computed and every block's slot follows by arithmetic. Sources of
+one weight have the same releases and deadlines and take turns by name, so the
+fold over the R slots holds one counter per distinct weight, not per source.
 
 A source that runs out leaves its further slots empty; they are skipped, and
 all documents appear exactly once. Within a source, documents go in order of
 md5(doc_id), doc_id, hash of text: ranks come from per-prefix counts and windows over
 (source, prefix), so a source with a third of all rows is ranked by many tasks.
+Blocks are made in ranges of ``RANGE_BLOCKS``, and positions come from sums of
+about as many slots as there are sums, so no task holds all blocks.
 
 Defined cases: a null source is a source of its own; null or repeated ids are
-kept as they are; empty table, empty result; extra columns pass through.
-Sources are limited to ``max_sources`` (the fold is over them) and exceeding
-that raises an error.
+kept as they are; empty table, empty result; extra columns pass through, and
+where one has the name of a column that ``schedule`` adds, the added one is
+called ``mix_<name>``.
 """
 
 from __future__ import annotations
@@ -31,10 +35,10 @@ from kinweave.sources.shared import materialize
 
 BLOCK_DOCS = 8
 RESOLUTION = 64
-MAX_SOURCES = 10_000
 RANK_ROWS = 50_000
-SLOT_CHUNK = 4096
+RANGE_BLOCKS = 1 << 16
 _NONE = "\u0000"
+_ADDED = ("block", "release", "deadline", "slot", "position")
 
 
 def tempered_weights(counts: DataFrame, resolution: int = RESOLUTION) -> DataFrame:
@@ -47,51 +51,48 @@ def tempered_weights(counts: DataFrame, resolution: int = RESOLUTION) -> DataFra
 
 def _period(weights: DataFrame) -> DataFrame:
     """(src, weight, period, turn, slot): slots of each source's turns within one period."""
-    sources = weights.agg(F.array_sort(F.collect_list(F.struct("src", "weight"))).alias("s"))
-    r, src, total = F.col("w"), F.col("src"), F.col("period")
-    sized = sources.select(
-        F.col("s.src").alias("src"), F.col("s.weight").alias("w"),
-        F.aggregate("s", F.lit(0).cast("long"), lambda a, x: a + x["weight"]).alias("period"),
+    alike = weights.groupBy("weight").agg(F.array_sort(F.collect_list("src")).alias("members"))
+    one = alike.agg(F.array_sort(F.collect_list(F.struct("weight", "members"))).alias("s")).select(
+        "s", F.aggregate("s", F.lit(0).cast("long"), lambda a, x: a + x["weight"] * F.size(x["members"])).alias("period")
     ).filter("period > 0")
-
-    def step(state: Column, t: Column) -> Column:
-        # the next turn of source i has release (n*R) div r and deadline ceil((n+1)*R/r)
-        keys = F.zip_with(
-            F.zip_with(state["n"], r, lambda n, w: F.when(F.floor(n * total / w) <= t, F.ceil((n + 1) * total / w)).otherwise(F.lit(2**40))),
-            F.sequence(F.lit(0), F.size(r) - 1),
-            lambda d, i: F.struct(d.cast("long").alias("d"), i.alias("i")),
-        )
-        pick = F.array_min(keys)["i"]
+    s, total, far = F.col("s"), F.col("period"), F.lit(2**62)
+    run = F.ceil(F.sqrt(total.cast("double"))).cast("long")
+
+    def pick(state: Column, t: Column) -> Column:
+        # of each weight: turns taken by all its sources so far; the next one's release and deadline
+        def due(x: Column, taken: Column, k: Column) -> Column:
+            size = F.size(x["members"]).cast("long")
+            turn = F.floor(taken / size).cast("long")
+            released = F.floor(turn * total / x["weight"]) <= t
+            deadline = F.when(released, F.ceil((turn + 1) * total / x["weight"]).cast("long")).otherwise(far)
+            return F.struct(deadline.alias("deadline"), F.get(x["members"], (taken % size).cast("int")).alias("src"), k.alias("k"), turn.alias("turn"))
+
+        places = F.transform(s, lambda x, k: F.struct(x["weight"].alias("weight"), x["members"].alias("members"), k.alias("k")))
+        first = F.array_min(F.zip_with(places, state["taken"], lambda x, n: due(x, n, x["k"])))
         return F.struct(
-            F.transform(state["n"], lambda n, i: F.when(i == pick, n + 1).otherwise(n)).alias("n"),
-            F.concat(state["picked"], F.array(pick)).alias("picked"),
+            F.transform(state["taken"], lambda n, k: F.when(k == first["k"], n + 1).otherwise(n)).alias("taken"),
+            F.concat(state["picked"], F.array(F.struct(first["src"].alias("src"), first["turn"].alias("turn"), F.get(s, first["k"])["weight"].alias("weight")))).alias("picked"),
         )
 
-    start = F.struct(F.transform(r, lambda w: F.lit(0).cast("long")).alias("n"), F.array().cast("array<int>").alias("picked"))
-    slots = sized.select(src, r, total, F.posexplode(F.aggregate(F.sequence(F.lit(0).cast("long"), total - 1), start, step)["picked"]).alias("slot", "i"))
-    turns = Window.partitionBy("src").orderBy("slot")
-    one = slots.select(F.get(src, F.col("i")).alias("src"), F.get(r, F.col("i")).alias("weight"), "period", "slot")
-    return one.withColumn("turn", (F.row_number().over(turns) - 1).cast("long"))
+    kind = "array<struct<src:string,turn:bigint,weight:bigint>>"
+    none = F.array().cast(kind)
 
+    def pick_run(state: Column, i: Column) -> Column:
+        # short lists are appended to one by one, then whole ones to the list of lists
+        inner = F.aggregate(F.sequence(i * run, F.least((i + 1) * run, total) - 1), F.struct(state["taken"].alias("taken"), none.alias("picked")), pick)
+        return F.transform(F.array(inner), lambda x: F.struct(x["taken"].alias("taken"), F.concat(state["runs"], F.array(x["picked"])).alias("runs")))[0]
 
-def schedule(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source",
-    weights: dict[str, int] | None = None, block_docs: int = BLOCK_DOCS,
-    resolution: int = RESOLUTION, max_sources: int = MAX_SOURCES,
-) -> DataFrame:
-    """(docs' columns, block, release, deadline, slot, position), one row per row of ``docs``.
+    start = F.struct(F.transform(s, lambda x: F.lit(0).cast("long")).alias("taken"), F.array().cast(f"array<{kind}>").alias("runs"))
+    runs = F.aggregate(F.sequence(F.lit(0).cast("long"), F.ceil(total / run) - 1), start, pick_run)["runs"]
+    return one.select(total, F.posexplode(F.flatten(runs)).alias("slot", "one")).select("one.src", "one.weight", "period", "one.turn", F.col("slot").cast("long").alias("slot"))
 
-    ``weights`` maps sources to integer targets (absent sources weigh 1); by
-    default they are the tempered ones. ``position`` counts from 0 over all rows.
-    """
-    names = ("block", "release", "deadline", "slot", "position")
-    spark, src = docs.sparkSession, F.coalesce(F.col(source).cast("string"), F.lit(_NONE))
-    digest = F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit("")))
+
+def _ranked(docs: DataFrame, doc_id: str, text: str, source: str, weights: dict[str, int] | None, block_docs: int, resolution: int):
+    """(rows with their slots, counts, period): columns d_0, d_1, ... of ``docs``, src, rank, block, release, deadline, slot."""
+    spark, src = docs.sparkSession, F.coalesce(F.col(f"`{source}`").cast("string"), F.lit(_NONE))
+    digest = F.md5(F.coalesce(F.col(f"`{doc_id}`").cast("string"), F.lit("")))
     counts = materialize(docs.groupBy(src.alias("src")).agg(F.count(F.lit(1)).alias("n")), "mix-counts")
-    seen = counts.agg(F.count(F.lit(1)).alias("sources"), F.sum("n").alias("docs")).first()
-    if seen["sources"] > max_sources:
-        raise ValueError(f"{seen['sources']} sources; max_sources is {max_sources}")
-    total = seen["docs"] or 0
+    total = counts.agg(F.sum("n")).first()[0] or 0
     if weights is None:
         weighted = tempered_weights(counts, resolution)
     else:
@@ -101,51 +102,79 @@ def schedule(
 
     # rank within the source, from counts by md5 prefix and windows over (source, prefix)
     digits = max(1, math.ceil(math.log(max(total, 1) / RANK_ROWS, 16))) if total > RANK_ROWS else 1
-    keyed = docs.select(*[F.col(f"`{c}`").alias(f"d_{i}") for i, c in enumerate(docs.columns)], src.alias("src"), digest.alias("digest"), F.xxhash64(F.col(text)).alias("tie"))
-    keyed = keyed.withColumn("prefix", F.substring("digest", 1, digits))
     at = {c: f"d_{i}" for i, c in enumerate(docs.columns)}
+    keyed = docs.select(*[F.col(f"`{c}`").alias(d) for c, d in at.items()], src.alias("src"), digest.alias("digest"), F.xxhash64(F.col(f"`{text}`")).alias("tie"))
+    keyed = keyed.withColumn("prefix", F.substring("digest", 1, digits))
     by_prefix = keyed.groupBy("src", "prefix").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("src").orderBy("prefix").rowsBetween(Window.unboundedPreceding, -1)
     offsets = by_prefix.select("src", "prefix", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
     order = Window.partitionBy("src", "prefix").orderBy("digest", at[doc_id], "tie")
     ranked = keyed.withColumn("k", F.row_number().over(order) - 1).join(offsets, ["src", "prefix"])
     ranked = ranked.withColumn("rank", F.col("k") + F.col("offset")).withColumn("block", F.floor(F.col("rank") / block_docs))
+    return _slotted(ranked, period).drop("digest", "tie", "prefix", "k", "offset"), counts, period, at
+
 
-    # slots of the blocks: the period table has at most resolution * sources rows
-    sized = counts.select("src", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / block_docs))).alias("block"))
+def _slotted(rows: DataFrame, period: DataFrame) -> DataFrame:
+    """``rows`` (src, block) with release, deadline, slot; the period has at most resolution * sources rows."""
     per = period.groupBy("src").agg(F.max("weight").alias("weight"), F.max("period").alias("period"))
-    blocks = (
-        sized.join(F.broadcast(per), "src")
-        .withColumn("turn", F.col("block") % F.col("weight"))
-        .join(F.broadcast(period.select("src", "turn", F.col("slot").alias("in_period"))), ["src", "turn"])
-        .select(
-            "src", "block",
-            F.least(F.lit(block_docs), F.col("n") - F.col("block") * block_docs).cast("long").alias("size"),
-            F.expr("block * period div weight").alias("release"),
-            F.expr("((block + 1) * period + weight - 1) div weight").alias("deadline"),
-            (F.expr("block div weight") * F.col("period") + F.col("in_period")).cast("long").alias("slot"),
-        )
-        .withColumn("chunk", F.expr(f"slot div {SLOT_CHUNK}"))
+    turns = period.select("src", "turn", F.col("slot").alias("in_period"))
+    return (
+        rows.join(per, "src").withColumn("turn", F.col("block") % F.col("weight")).join(turns, ["src", "turn"])
+        .withColumns({
+            "release": F.expr("block * period div weight"),
+            "deadline": F.expr("((block + 1) * period + weight - 1) div weight"),
+            "slot": (F.expr("block div weight") * F.col("period") + F.col("in_period")).cast("long"),
+        })
+        .drop("weight", "period", "turn", "in_period")
     )
+
+
+def _block_starts(counts: DataFrame, period: DataFrame, block_docs: int) -> DataFrame:
+    """(src, block, first): documents before each block in the order of slots."""
+    ends = F.floor((F.col("n") - 1) / block_docs)
+    ranges = counts.withColumn("last", ends).select("src", "n", "last", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("last") / RANGE_BLOCKS))).alias("range"))
+    in_range = F.sequence(F.col("range") * RANGE_BLOCKS, F.least(F.col("last"), (F.col("range") + 1) * RANGE_BLOCKS - 1))
+    blocks = ranges.repartition("src", "range").select("src", "n", F.explode(in_range).alias("block"))
+    blocks = _slotted(blocks, period).select("src", "block", "slot", F.least(F.lit(block_docs), F.col("n") - F.col("block") * block_docs).cast("long").alias("size"))
+    made = counts.agg(F.sum(ends + 1)).first()[0] or 0
+    chunk = max(16, math.isqrt(made))
+    blocks = blocks.withColumn("chunk", F.expr(f"slot div {chunk}"))
     chunks = blocks.groupBy("chunk").agg(F.sum("size").alias("n"))
-    earlier = Window.orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)  # one row per SLOT_CHUNK blocks
+    earlier = Window.orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)  # about the square root of the blocks
     chunks = chunks.select("chunk", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("start"))
     inside = Window.partitionBy("chunk").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.withColumn("in_chunk", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(chunks, "chunk")
-    blocks = blocks.select("src", "block", "release", "deadline", "slot", (F.col("start") + F.col("in_chunk")).alias("first"))
-    placed = ranked.join(blocks, ["src", "block"])
-    position = (F.col("first") + F.col("rank") % block_docs).cast("long").alias("position")
-    plain = [F.col(at[c]).alias(c) for c in docs.columns if c not in names]
-    return placed.select(*plain, F.col("block").cast("long").alias("block"), "release", "deadline", "slot", position)
-
-
-def interleave(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with its own columns, sorted by scheduled position."""
-    hidden = {c: f"__{i}" for i, c in enumerate(docs.columns)}
-    renamed = docs.select(*[F.col(f"`{c}`").alias(h) for c, h in hidden.items()])
-    keys = {k: hidden[options.pop(k, k)] for k in ("doc_id", "text", "source")}
-    mixed = schedule(renamed, **keys, **options)
-    return mixed.orderBy("position").select(*[F.col(h).alias(c) for c, h in hidden.items()])
+    return blocks.select("src", "block", (F.col("start") + F.col("in_chunk")).alias("first"))
+
+
+def schedule(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source",
+    weights: dict[str, int] | None = None, block_docs: int = BLOCK_DOCS, resolution: int = RESOLUTION,
+) -> DataFrame:
+    """(docs' columns, block, release, deadline, slot, position), one row per row of ``docs``.
+
+    ``weights`` maps sources to integer targets (absent sources weigh 1); by
+    default they are the tempered ones. ``position`` counts from 0 over all rows.
+    """
+    ranked, counts, period, at = _ranked(docs, doc_id, text, source, weights, block_docs, resolution)
+    placed = ranked.join(_block_starts(counts, period, block_docs), ["src", "block"])
+    placed = placed.withColumn("position", F.col("first") + F.col("rank") % block_docs)
+    added = []
+    for name in _ADDED:
+        free = name
+        while free in docs.columns:
+            free = f"mix_{free}"
+        added.append(F.col(name).cast("long").alias(free))
+    return placed.select(*[F.col(d).alias(c) for c, d in at.items()], *added)
+
+
+def interleave(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source",
+    weights: dict[str, int] | None = None, block_docs: int = BLOCK_DOCS, resolution: int = RESOLUTION,
+) -> DataFrame:
+    """``docs`` with its own columns, in the order of the schedule's positions."""
+    ranked, *_, at = _ranked(docs, doc_id, text, source, weights, block_docs, resolution)
+    return ranked.orderBy("slot", "rank").select(*[F.col(d).alias(c) for c, d in at.items()])
 
 
 ORACLE = f"""

@@ -1,9 +1,11 @@
+import random
 import re
 import zlib
 from collections import Counter
 
 import numpy as np
 import public_tokenizers
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -112,8 +114,9 @@ def test_pfair_schedule(spark):
     names = {s or "\0": n for s, n in counts.items()}
     slots = brute_schedule(names, {**weights, "\0": 1}, 4)
     assert {(r.source or "\0", r.block): r.slot for r in got} == slots
-    assert sorted(r.position for r in got) == list(range(len(rows) + 1))
-    assert [r.slot for r in sorted(got, key=lambda r: r.position)] == sorted(r.slot for r in got)
+    assert all(r.position == 0 for r in got)  # the table's own column
+    assert sorted(r.mix_position for r in got) == list(range(len(rows) + 1))
+    assert [r.slot for r in sorted(got, key=lambda r: r.mix_position)] == sorted(r.slot for r in got)
     assert all(r.release <= r.slot < r.deadline for r in got)
     shares, seen = {"a": 5 / 9, "b": 2 / 9, "c": 1 / 9, "\0": 1 / 9}, Counter()
     for (s, _), t in sorted(slots.items(), key=lambda x: x[1]):
@@ -122,5 +125,22 @@ def test_pfair_schedule(spark):
             assert all(abs(seen[x] - shares[x] * (t + 1)) < 1 for x in shares)
     mixed = mixing.interleave(df, weights=weights)
     assert mixed.columns == df.columns and mixed.count() == len(rows) + 1
-    assert mixing.schedule(df.limit(0)).count() == 0
+    want = [(r.doc_id, r.source) for r in sorted(got, key=lambda r: r.mix_position)]
+    assert [(r.doc_id, r.source) for r in mixing.interleave(df, weights=weights, block_docs=4).collect()] == want
+    assert mixing.schedule(df.limit(0)).count() == 0 and mixing.interleave(df.limit(0)).count() == 0
     assert mixing.schedule(df).count() == len(rows) + 1
+
+
+def test_pfair_many_sources(spark):
+    """Weights that many sources share, against slot-by-slot simulation; then 5,000 sources at once."""
+    r = random.Random(3)
+    for sources in (1, 7, 40):
+        weights = {f"s{i:02d}": r.choice([1, 2, 3, 7]) for i in range(sources)}
+        counts = {s: r.randrange(1, 40) for s in weights}
+        df = spark.createDataFrame([(i, "t", s) for i, s in enumerate(x for s, n in counts.items() for x in [s] * n)], "doc_id long, text string, source string")
+        got = mixing.schedule(df, weights=weights, block_docs=3).collect()
+        assert {(x.source, x.block): x.slot for x in got} == brute_schedule(counts, weights, 3)
+        assert sorted(x.position for x in got) == list(range(sum(counts.values())))
+    many = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"), F.concat(F.lit("s"), F.col("id") % 5000).alias("source"))
+    found = mixing.schedule(many)
+    assert found.agg(F.count_distinct("position"), F.max("position"), F.count_distinct("slot")).first()[:] == (20_000, 19_999, 5000)
