@@ -89,6 +89,33 @@ def test_line_dedup_cases(spark):
     assert counted[1] == (4, 2) and counted[0] == (4, 0) and counted[20] == (0, 0) and counted[21] == (1, 0)
     assert line_dedup.remove_lines(df.limit(0)).count() == 0
     assert line_dedup.remove_lines(df).columns == df.columns
+    for hot in (0, 3, 100):
+        got = Counter((r.doc_id, r.text) for r in line_dedup.remove_lines(df, min_sites=6, hot_rows=hot).collect())
+        assert got == Counter(zip([d for d, _, _ in rows], brute_lines(rows, 6)))
+
+
+def test_line_dedup_names_and_null_ids(spark):
+    rows = [(i, "same\nown %d" % i, s, 1, "k", 7) for i, s in enumerate("abcde")] + [(None, "same\nown 0", "f", 1, "k", 7), (None, "same\nown 0", "g", 2, "k", 8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, cuts int, d_0 string, n_lines int")
+    got = line_dedup.remove_lines(df, n_lines="n_lines", n_removed="cut_doc")
+    assert got.columns == ["doc_id", "text", "source", "cuts", "d_0", "n_lines", "cut_doc"]
+    assert Counter((r.doc_id, r.text, r.source, r.cuts, r.d_0, r.n_lines, r.cut_doc) for r in got.collect()) == Counter(
+        [(0, "same\nown 0", "a", 1, "k", 2, 0), *[(i, f"own {i}", s, 1, "k", 2, 1) for i, s in enumerate("abcde") if i], (None, "own 0", "f", 1, "k", 2, 1), (None, "own 0", "g", 2, "k", 2, 1)])
+
+
+def test_a_line_in_every_row(spark):
+    """One line in every row, another on too few sites, blank lines everywhere, and no broadcast but the hot lines."""
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = [(i, f"every row\n\nrare {i}\n" + "two sites\n" * 2 + "end" * (i % 3), "abcde"[i % 5] if i % 2 else "a") for i in range(600)]
+        rows = [(i, t if s in "ab" else t.replace("two sites", f"own {i}"), s) for i, t, s in rows]
+        df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(6)
+        for hot in (None, 50):
+            got = sorted((r.doc_id, r.text) for r in line_dedup.remove_lines(df, hot_rows=hot).collect())
+            assert got == list(zip(range(600), brute_lines(rows, 5)))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
 
 
 def brute_schedule(counts, weights, block):
