@@ -2,8 +2,9 @@
 
 At each threshold the components of at most ``max_sz`` nodes are final; the
 nodes of larger ones go on to the next threshold t + (1 - t) step, starting from
-the smallest score (the first round uses all edges). What is left after
-``max_iter`` rounds becomes one cluster, connected or not.
+the smallest score. A first round uses all edges and is not counted; what is
+left after ``max_iter`` rounds with a threshold (one at least) becomes one
+cluster, connected or not.
 
 Oversized components are independent of one another, so all whose edges number
 at most ``local_edges`` finish their remaining rounds inside grouped tasks; only
@@ -38,7 +39,7 @@ def bounded_components(pairs: DataFrame, max_sz: int, th: float | None = None, l
 
 
 def rounds_within(a: np.ndarray, b: np.ndarray, score: np.ndarray, th: float, done: int, max_sz: int, step: float, max_iter: int):
-    """(ids, comps, leftover) after rounds ``done + 1`` to ``max_iter``; ``th`` is the last threshold used."""
+    """(ids, comps, leftover) after the thresholds ``done + 1`` to ``max_iter``; ``th`` is the last one used."""
     nodes = np.unique(np.concatenate([a, b]))
     ids, comps = [], []
     while len(nodes) and done < max_iter:
@@ -60,7 +61,7 @@ def rounds_within(a: np.ndarray, b: np.ndarray, score: np.ndarray, th: float, do
 def propagate(pairs: DataFrame, max_sz: int, step: float = 0.1, max_iter: int = 100, local_edges: int = LOCAL_EDGES) -> DataFrame:
     """(id, comp) of every node of ``pairs`` (a, b, score); comp is the smallest member.
 
-    Pairs must be unique. With ``max_iter`` 0 or 1 a single round takes place.
+    Pairs must be unique. With ``max_iter`` 0 or 1 a single threshold follows the first round.
     """
     columns = "id long, comp long, leftover boolean"
     pairs = materialize(pairs.select("a", "b", F.col("score").cast("double").alias("score")).filter("a <> b"), "scored-pairs")
@@ -70,11 +71,7 @@ def propagate(pairs: DataFrame, max_sz: int, step: float = 0.1, max_iter: int =
     final, current, done = [], pairs, 0
     last = max(max_iter, 1)
     while True:
-        # the first round has no threshold; later rounds raise it first
-        if done:
-            th = th + (1 - th) * step
         found = materialize(bounded_components(current, max_sz, th if done else None, local_edges), "bounded")
-        done += 1
         final.append(found.filter("kept").select("id", "comp", F.lit(False).alias("leftover")))
         large = found.filter("not kept").select("id", "comp")
         if large.isEmpty():
@@ -97,6 +94,7 @@ def propagate(pairs: DataFrame, max_sz: int, step: float = 0.1, max_iter: int =
         if rest.isEmpty():
             break
         current = materialize(ends.join(rest.select("comp"), "comp", "left_semi").select("a", "b", "score"), "oversized-rest")
+        th, done = th + (1 - th) * step, done + 1
     every = final[0]
     for part in final[1:]:
         every = every.unionByName(part)

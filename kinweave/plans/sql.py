@@ -57,8 +57,9 @@ def components(edges: str, name: str = "comp", nodes: str | None = None) -> str:
     )
 
 
-def propagation(pairs: str, rounds: int, max_sz: int = MAX_SZ, step: float = STEP) -> str:
-    """CTEs that give prop(id, comp) after ``rounds`` rounds, what is left merged."""
+def propagation(pairs: str, max_iter: int, max_sz: int = MAX_SZ, step: float = STEP) -> str:
+    """CTEs that give prop(id, comp) after a round with all edges and ``max_iter`` with a threshold, what is left merged."""
+    rounds = max_iter + 1
     parts = [f"t0 AS (SELECT min(score) AS t FROM {pairs})", f"d0 AS MATERIALIZED (SELECT a, b, score FROM {pairs})", "n0 AS MATERIALIZED (SELECT a AS v FROM d0 UNION SELECT b FROM d0)"]
     for r in range(rounds):
         parts.append(components(f"d{r}", f"c{r}", f"n{r}"))
@@ -100,3 +101,22 @@ def dbscan(edges: str, least: int) -> str:
         f"border AS (SELECT g.id, min(cc.comp) AS comp FROM {edges} g JOIN cc ON g.nbr = cc.id WHERE g.id NOT IN (SELECT id FROM core) GROUP BY g.id), "
         "dens AS (SELECT e.id, coalesce(cc.comp, border.comp) AS comp, cc.id IS NOT NULL AS core FROM emb e LEFT JOIN cc ON e.id = cc.id LEFT JOIN border ON e.id = border.id)"
     )
+
+
+def soft(pairs: str, depth: int = 5, decay: float = 0.6, max_sz: int = MAX_SZ) -> str:
+    """CTEs after ``propagation`` that give soft(id, label, weight): labels carried level by level from oversized first-round components."""
+    parts = [
+        f"links AS MATERIALIZED (SELECT a AS u, b AS v, score FROM {pairs} UNION ALL SELECT b, a, score FROM {pairs})",
+        f"l0 AS MATERIALIZED (SELECT p.id AS root, p.comp AS label, p.id, 1::DOUBLE AS value FROM prop p JOIN z0 ON p.id = z0.id WHERE z0.size > {max_sz})",
+        "s0 AS (SELECT root, id FROM l0)",
+    ]
+    for i in range(1, depth + 1):
+        parts.append(
+            f"l{i} AS MATERIALIZED (SELECT * FROM (SELECT l.root, l.label, k.v AS id, max(l.value * k.score * {decay}::DOUBLE) AS value FROM l{i - 1} l JOIN links k ON l.id = k.u GROUP BY l.root, l.label, k.v) t"
+            f" WHERE NOT EXISTS (SELECT 1 FROM s{i - 1} s WHERE s.root = t.root AND s.id = t.id))"
+        )
+        parts.append(f"s{i} AS MATERIALIZED (SELECT root, id FROM s{i - 1} UNION ALL SELECT root, id FROM l{i})")
+    every = " UNION ALL ".join(["SELECT id, comp AS label, 1::DOUBLE AS value FROM prop", *(f"SELECT id, label, value FROM l{i}" for i in range(1, depth + 1))])
+    parts.append(f"raw AS MATERIALIZED (SELECT id, label, sum(value) AS weight FROM ({every}) GROUP BY id, label)")
+    parts.append("soft AS (SELECT id, label, weight / sum(weight) OVER (PARTITION BY id) AS weight FROM raw)")
+    return ", ".join(parts)

@@ -30,17 +30,16 @@ def plain_propagation(edges, max_sz, step, max_iter):
     nodes = {n for a, b, _ in edges for n in (a, b)}
     th, found, done = min(s for *_, s in edges), [], 0
     keep = edges
-    while nodes:
-        if done:
-            th += (1 - th) * step
-            keep = [e for e in edges if e[2] >= th and e[0] in nodes and e[1] in nodes]
-        done += 1
+    while True:
         groups = plain_components(nodes, [(a, b) for a, b, _ in keep])
         found += [g for g in groups if len(g) <= max_sz]
         nodes = set().union(*[g for g in groups if len(g) > max_sz])
-        if nodes and done >= max(max_iter, 1):
-            found.append(nodes)
+        if not nodes or done and done >= max_iter:  # the round with all edges does not count
             break
+        th, done = th + (1 - th) * step, done + 1
+        keep = [e for e in edges if e[2] >= th and e[0] in nodes and e[1] in nodes]
+    if nodes:
+        found.append(nodes)
     return {n: min(g) for g in found for n in g}
 
 
@@ -50,8 +49,9 @@ FIXTURES = {
     "late_singletons": ([(0, 1, .6), (1, 2, .6), (2, 3, .9)], dict(max_sz=2, step=.5), [{0}, {1}, {2, 3}]),
     "inclusive_edge": ([(0, 1, .75), (1, 2, .5), (2, 3, .75)], dict(max_sz=2, step=.5), [{0, 1}, {2, 3}]),
     "leftover_merge": ([(0, 1, 1.), (1, 2, 1.), (0, 2, 1.), (3, 4, 1.), (4, 5, 1.), (3, 5, 1.)], dict(max_sz=2, max_iter=3), [{0, 1, 2, 3, 4, 5}]),
-    "bound_one": ([(0, 1, .9)], dict(max_sz=1, max_iter=1, step=.5), [{0, 1}]),
-    "bound_one_two_rounds": ([(0, 1, .9)], dict(max_sz=1, max_iter=2, step=.5), [{0}, {1}]),
+    "bound_one": ([(0, 1, .9)], dict(max_sz=1, max_iter=1, step=.5), [{0}, {1}]),
+    "no_threshold_left_out": ([(0, 1, .9)], dict(max_sz=1, max_iter=0, step=.5), [{0}, {1}]),
+    "merged_after_one": ([(0, 1, .9), (2, 3, .96), (4, 5, .97)], dict(max_sz=1, max_iter=1, step=.5), [{0}, {1}, {2, 3, 4, 5}]),
 }
 
 
@@ -59,8 +59,6 @@ FIXTURES = {
 @pytest.mark.parametrize("local_edges", [500_000, 0])
 def test_fixtures(spark, name, local_edges):
     edges, options, want = FIXTURES[name]
-    if local_edges == 0 and name not in ("chain_split", "leftover_merge"):
-        pytest.skip("distributed rounds: two fixtures are enough")
     df = spark.createDataFrame(edges, "a long, b long, score double")
     got = {r.id: r.comp for r in propagate.propagate(df, local_edges=local_edges, **options).collect()}
     assert got == {n: min(g) for g in want for n in g}
@@ -100,7 +98,7 @@ def test_local_rounds_match_plain_search(raw, max_sz, max_iter):
     left = []
     for root in {r for r in roots.tolist() if sizes[r] > max_sz}:
         inside = np.isin(a, linked[roots == root])
-        ids, comps, leftover = rounds_within(a[inside], b[inside], s[inside], float(s.min()), 1, max_sz, 0.1, max_iter)
+        ids, comps, leftover = rounds_within(a[inside], b[inside], s[inside], float(s.min()), 0, max_sz, 0.1, max_iter)
         got.update(zip(ids[~leftover].tolist(), comps[~leftover].tolist()))
         left += ids[leftover].tolist()
     got.update(dict.fromkeys(left, min(left, default=None)))
