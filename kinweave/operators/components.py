@@ -23,11 +23,13 @@ _CHUNK = 1_000_000
 
 
 def _forest_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Replace every run of about a million edges by its spanning forest (u > v, v its root)."""
+    """Replace every run of about a million edges by its spanning forest (u > v, v its root) and its self edges."""
     us, vs, n = [], [], 0
 
     def flush() -> pa.RecordBatch:
-        u, v = star_forest(np.concatenate(us), np.concatenate(vs))
+        u, v = np.concatenate(us), np.concatenate(vs)
+        loops = np.unique(u[u == v])
+        u, v = (np.concatenate([x, loops]) for x in star_forest(u, v))
         return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
     for batch in batches:
@@ -63,8 +65,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", local_edg
     A node whose only edge is a self edge is its own component.
     """
     plain = edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).filter("u is not null and v is not null")
-    current = materialize(_forests(plain), "forest")
-    loops = plain.filter("u = v").select(F.col("u").alias("id"), F.col("u").alias("comp"))
+    reduced = materialize(_forests(plain), "forest")
+    loops = reduced.filter("u = v").select(F.col("u").alias("id"), F.col("u").alias("comp"))
+    current = reduced.filter("u <> v")
     n = current.count()
     if n <= local_edges:
         current = materialize(_forests(current.coalesce(1)), "forest") if n else current

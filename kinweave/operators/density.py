@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinweave.operators.components import connected_components
-from kinweave.operators.neighbours import floor_graph, knn, radius_pairs
+from kinweave.operators.neighbours import floor_graph, knn, radius_counts, radius_links
 from kinweave.sources.shared import materialize
 
 #: Edges that one task may hold for a spanning tree.
@@ -26,17 +26,30 @@ def dbscan_edges(ids: DataFrame, edges: DataFrame, min_samples: int) -> DataFram
     core = edges.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_samples).select("id")
     core = materialize(core, "core")
     inside = edges.join(core, "id", "left_semi").join(core.select(F.col("id").alias("nbr")), "nbr", "left_semi")
-    clusters = materialize(connected_components(inside, "id", "nbr"), "core-clusters")
+    return _placed(ids, core, inside, edges.join(core, "id", "left_anti"))
+
+
+def _placed(ids: DataFrame, core: DataFrame, inside: DataFrame, outside: DataFrame) -> DataFrame:
+    """Clusters of the core rows by the edges ``inside``, and of other rows by their edges (id, nbr) ``outside``."""
+    loops = core.select("id", F.col("id").alias("nbr"))
+    clusters = materialize(connected_components(inside.select("id", "nbr").unionByName(loops), "id", "nbr"), "core-clusters")
     border = (
-        edges.join(core, "id", "left_anti").join(clusters.select(F.col("id").alias("nbr"), "comp"), "nbr")
+        outside.join(clusters.select(F.col("id").alias("nbr"), "comp"), "nbr")
         .groupBy("id").agg(F.min("comp").alias("comp")).withColumn("core", F.lit(False))
     )
     placed = clusters.withColumn("core", F.lit(True)).unionByName(border)
     return ids.select("id").join(placed, "id", "left").select("id", "comp", F.coalesce("core", F.lit(False)).alias("core"))
 
 
-def dbscan(df: DataFrame, eps: float, min_samples: int, id_col: str = "id", vec: str = "embedding", metric: str = "l2") -> DataFrame:
-    return dbscan_edges(df.select(F.col(id_col).cast("long").alias("id")), radius_pairs(df, eps, metric, id_col, vec), min_samples)
+def dbscan(df: DataFrame, eps: float, min_samples: int, id_col: str = "id", vec: str = "embedding", metric: str = "l2", **blocks) -> DataFrame:
+    """(id, comp, core) over all vectors within ``eps`` of one another.
+
+    Two passes over the distances, one for counts and one for links; only
+    spanning forests and the few core neighbours of other rows are written.
+    """
+    core = materialize(radius_counts(df, eps, metric, id_col, vec, **blocks).filter(F.col("n") >= min_samples).select("id"), "core")
+    links = materialize(radius_links(df, core, eps, metric, id_col, vec, **blocks), "density-links")
+    return _placed(df.select(F.col(id_col).cast("long").alias("id")), core, links.filter("not border"), links.filter("border"))
 
 
 def knn_dbscan(lists: DataFrame, eps: float, min_samples: int, least: float = 0.7) -> DataFrame:
@@ -49,7 +62,7 @@ def knn_dbscan(lists: DataFrame, eps: float, min_samples: int, least: float = 0.
 
 def single_linkage(df: DataFrame, cut: float, id_col: str = "id", vec: str = "embedding", metric: str = "l2") -> DataFrame:
     """(id, comp): single-linkage clusters at distance ``cut``, which are the components of the graph d <= cut."""
-    found = connected_components(radius_pairs(df, cut, metric, id_col, vec), "id", "nbr")
+    found = connected_components(radius_links(df, df.select(F.col(id_col).cast("long").alias("id")).distinct(), cut, metric, id_col, vec), "id", "nbr")
     return df.select(F.col(id_col).cast("long").alias("id")).join(found, "id", "left").select("id", F.coalesce("comp", "id").alias("comp"))
 
 
@@ -112,33 +125,38 @@ def condensed_clusters(tree: list[tuple[float, int, int]], min_size: int) -> dic
                 stack += x["kids"]
         return out
 
-    chosen: list[list[int]] = []
-
-    def settle(start: dict, birth: float) -> tuple[float, list[list[int]]]:
-        """(stability, clusters) of the best choice inside a cluster that begins at density ``birth``."""
-        members, stability, n = ids_of(start), 0.0, start
+    def walked(start: dict, birth: float) -> tuple[float, list[tuple[dict, float]]]:
+        """(stability of a cluster that begins at density ``birth``, the two clusters it splits into with their births)."""
+        stability, n = 0.0, start
         while n["kids"] is not None:
             density = 1 / max(n["w"], 1e-12)
-            left, right = n["kids"]
-            big = [k for k in (left, right) if k.get("n", 1) >= min_size]
+            big = [k for k in n["kids"] if k.get("n", 1) >= min_size]
             if len(big) == 2:
-                stability += n["n"] * (density - birth)
-                inner = [settle(k, density) for k in big]
-                if sum(s for s, _ in inner) > stability:
-                    return sum(s for s, _ in inner), [c for _, cs in inner for c in cs]
-                return stability, [members]
-            fallen = sum(k.get("n", 1) for k in (left, right) if k.get("n", 1) < min_size)
-            stability += fallen * (density - birth)
+                return stability + n["n"] * (density - birth), [(k, density) for k in big]
+            stability += sum(k.get("n", 1) for k in n["kids"] if k.get("n", 1) < min_size) * (density - birth)
             if not big:
                 break
             n = big[0]
-        return stability, [members]
-
-    for r in roots:
-        whole = top.get(r)
-        if whole and whole["n"] >= min_size:
-            stack_limit = whole["n"]
-            chosen += settle(whole, 0.0)[1] if stack_limit else []
+        return stability, []
+
+    # clusters in order of their walk: every one comes after the one it splits from
+    found: list[list] = [[whole, 0.0, None] for r in roots if (whole := top.get(r)) and whole["n"] >= min_size]
+    for at, (start, birth, _) in enumerate(found):  # grows while it is read
+        stability, kids = walked(start, birth)
+        found[at] += [stability, kids]
+        found += [[kid, density, at] for kid, density in kids]
+    inner = [0.0] * len(found)
+    for at in range(len(found) - 1, -1, -1):
+        _, _, parent, stability, kids = found[at]
+        split = bool(kids) and inner[at] > stability
+        found[at].append(split)
+        if parent is not None:
+            inner[parent] += inner[at] if split else stability
+    chosen, covered = [], [False] * len(found)
+    for at, (start, _, parent, _, _, split) in enumerate(found):
+        covered[at] = parent is not None and (covered[parent] or not found[parent][-1])
+        if not split and not covered[at]:
+            chosen.append(ids_of(start))
     return {i: min(c) for c in chosen for i in c}
 
 

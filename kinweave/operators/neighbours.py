@@ -1,15 +1,17 @@
 """k-nearest-neighbour lists and radius graphs of vectors.
 
-Vectors are packed into blocks (ids and a matrix as binary), and pairs of blocks
-are compared by matrix products in Arrow functions. Where the packed table is
-at most ``BROADCAST_BYTES`` (its size is counted first), every task gets all of
-it and each query block meets all vectors in one step; beyond, block pairs meet
-in a join and their short lists are cut again by a window, so no task holds
-more than two blocks.
+Vectors are packed into blocks (ids and a matrix as arrays), and pairs of blocks
+are compared by matrix products in Arrow functions, ``TILE_ROWS`` by
+``TILE_ROWS`` distances at once. Where the packed table is at most
+``BROADCAST_BYTES`` (its size is counted first), every task gets all of it and
+each query block meets all vectors in one step; beyond, block pairs (of about
+``BLOCK_BYTES`` each) meet in a join and their short lists are cut again by a
+window, so no task holds more than two blocks.
 
 ``strategy="ivf"`` is the approximate form for large tables: vectors are dealt
-to the cells of centroids fitted on a bounded sample, large cells are split,
-and every query meets the ``probes`` nearest cells only. Where ``probes`` is not
+to the cells of centroids fitted on a bounded sample, cells are split into
+parts, and every query meets the parts of the ``probes`` nearest cells only,
+each in the task of that part. Where ``probes`` is not
 given, it is the least number with which ``QUERY_ROWS`` rows find ``RECALL`` of
 their exact neighbours among all rows.
 
@@ -27,10 +29,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from kinweave.functions.forest import star_forest
 from kinweave.functions.vectors import METRICS
 from kinweave.sources.shared import materialize
 
-BLOCK_ROWS = 2048
+TILE_ROWS = 2048
+BLOCK_BYTES = 16 << 20
 BROADCAST_BYTES = 64 << 20
 SAMPLE_ROWS = 20_000
 QUERY_ROWS = 256
@@ -72,27 +76,42 @@ def _distances(x: np.ndarray, y: np.ndarray, metric: str) -> np.ndarray:
     return out
 
 
+def _least(d: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the k least of each row, ties to the earlier column."""
+    if k >= d.shape[1]:
+        return tuple(a.ravel() for a in np.indices(d.shape))
+    edge = np.partition(d, k - 1, axis=1)[:, k - 1:k]
+    near = d <= edge
+    many = np.flatnonzero(near.sum(1) > 2 * k)  # rows with many ties at the edge
+    if len(many):
+        near[many] = False
+        near[many[:, None], np.argsort(d[many], axis=1, kind="stable")[:, :k]] = True
+    return np.nonzero(near)
+
+
 def _nearest(ids: np.ndarray, x: np.ndarray, base_ids: np.ndarray, y: np.ndarray, k: int, metric: str):
     """(id, rank, neighbour, distance) arrays of the k nearest; base ids ascend."""
-    k = min(k, len(base_ids))
-    d = _distances(x, y, metric).astype(np.float64)
-    if k < len(base_ids):
-        edge = np.partition(d, k - 1, axis=1)[:, k - 1:k]
-        row, col = np.nonzero(d <= edge)
-    else:
-        row, col = (a.ravel() for a in np.indices(d.shape))
-    value = d[row, col]
-    order = np.lexsort((base_ids[col], value, row))
-    row, col, value = row[order], col[order], value[order]
-    rank = np.arange(len(row)) - np.searchsorted(row, row) + 1
-    kept = rank <= k
-    return ids[row[kept]], rank[kept], base_ids[col[kept]], value[kept]
+    row, nbr, value = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    for at in range(0, len(base_ids), TILE_ROWS):
+        d = _distances(x, y[at:at + TILE_ROWS], metric).astype(np.float64)
+        r, c = _least(d, k)
+        row, nbr, value = np.concatenate([row, r]), np.concatenate([nbr, base_ids[at + c]]), np.concatenate([value, d[r, c]])
+        order = np.lexsort((nbr, value, row))
+        row, nbr, value = row[order], nbr[order], value[order]
+        rank = np.arange(len(row)) - np.searchsorted(row, row) + 1
+        kept = rank <= k
+        row, nbr, value, rank = row[kept], nbr[kept], value[kept], rank[kept]
+    return ids[row], rank, nbr, value
 
 
 def _within(ids, x, base_ids, y, radius: float, metric: str):
-    d = _distances(x, y, metric)
-    row, col = np.nonzero(d <= radius)
-    return ids[row], np.zeros(len(row), dtype=np.int64), base_ids[col], d[row, col].astype(np.float64)
+    """(id, 0, neighbour, distance) of all pairs within the radius."""
+    found = []
+    for at in range(0, len(base_ids), TILE_ROWS):
+        d = _distances(x, y[at:at + TILE_ROWS], metric)
+        row, col = np.nonzero(d <= radius)
+        found.append((ids[row], np.zeros(len(row), dtype=np.int64), base_ids[at + col], d[row, col].astype(np.float64)))
+    return tuple(np.concatenate(part) for part in zip(*found))
 
 
 _LIST = "id long, rank int, nbr long, dist double"
@@ -106,8 +125,8 @@ def _list_batch(found) -> pa.RecordBatch:
 def _against(base_ids: np.ndarray, base: np.ndarray, compare: Callable):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, BLOCK_ROWS):
-                part = batch.slice(at, BLOCK_ROWS)
+            for at in range(0, batch.num_rows, TILE_ROWS):
+                part = batch.slice(at, TILE_ROWS)
                 yield _list_batch(compare(part.column(0).to_numpy(), _matrix(part.column(1)), base_ids, base))
 
     return run
@@ -128,12 +147,14 @@ def _pair_batches(compare: Callable):
         for batch in batches:
             for i in range(batch.num_rows):
                 ids, vs, base_ids, base_vs = (batch.column(c)[i].values.to_numpy() for c in range(4))
-                yield _list_batch(compare(ids, matrix(ids, vs), base_ids, matrix(base_ids, base_vs)))
+                x, y = matrix(ids, vs), matrix(base_ids, base_vs)
+                for at in range(0, len(ids), TILE_ROWS):
+                    yield _list_batch(compare(ids[at:at + TILE_ROWS], x[at:at + TILE_ROWS], base_ids, y))
 
     return run
 
 
-def _compared(rows: DataFrame, compare: Callable, block_rows: int, broadcast_bytes: int) -> tuple[DataFrame, bool]:
+def _compared(rows: DataFrame, compare: Callable, block_rows: int | None, broadcast_bytes: int) -> tuple[DataFrame, bool]:
     """(lists, whether each list is already final)."""
     size = rows.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("v")).alias("values"), F.count_distinct(F.size("v")).alias("widths")).first()
     if size.n == 0:
@@ -144,6 +165,7 @@ def _compared(rows: DataFrame, compare: Callable, block_rows: int, broadcast_byt
         table = rows.orderBy("id").toArrow()
         base_ids, base = table.column(0).to_numpy(), _matrix(table.column(1).combine_chunks())
         return rows.mapInArrow(_against(base_ids, base, compare), _LIST), True
+    block_rows = block_rows or max(1, BLOCK_BYTES // max(8 * (size["values"] // size.n), 1))
     blocks = materialize(_blocks(rows, size.n, block_rows), "vector-blocks")
     count = -(-size.n // block_rows)
     left = blocks.select("ids", "vs", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long"))).alias("block"))
@@ -159,7 +181,7 @@ def _cut(lists: DataFrame, k: int) -> DataFrame:
 
 def knn(
     df: DataFrame, k: int, metric: str = "cosine", id_col: str = "id", vec: str = "embedding", strategy: str = "exact",
-    block_rows: int = BLOCK_ROWS, broadcast_bytes: int = BROADCAST_BYTES, cells: int | None = None, probes: int | None = None, scaled: bool = False,
+    block_rows: int | None = None, broadcast_bytes: int = BROADCAST_BYTES, cells: int | None = None, probes: int | None = None, scaled: bool = False,
 ) -> DataFrame:
     """(id, rank, nbr, dist): the k nearest of each vector, itself included.
 
@@ -182,17 +204,61 @@ def knn(
     return lists.select("id", "rank", "nbr", "dist")
 
 
-def radius_pairs(df: DataFrame, radius: float, metric: str = "l2", id_col: str = "id", vec: str = "embedding", block_rows: int = BLOCK_ROWS, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def radius_pairs(df: DataFrame, radius: float, metric: str = "l2", id_col: str = "id", vec: str = "embedding", block_rows: int | None = None, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """(id, nbr, dist) of all directed pairs within ``radius``, self included."""
     lists, _ = _compared(_plain(df, id_col, vec, metric), lambda i, x, j, y: _within(i, x, j, y, radius, metric), block_rows, broadcast_bytes)
     return lists.select("id", "nbr", "dist")
 
 
+def radius_counts(df: DataFrame, radius: float, metric: str = "l2", id_col: str = "id", vec: str = "embedding", block_rows: int | None = None, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """(id, n): how many vectors are within ``radius`` of each, itself included; pairs do not leave their task."""
+
+    def count(ids, x, base_ids, y):
+        n = np.zeros(len(ids), dtype=np.int64)
+        for at in range(0, len(base_ids), TILE_ROWS):
+            n += (_distances(x, y[at:at + TILE_ROWS], metric) <= radius).sum(1)
+        return ids, np.zeros(len(ids)), n, np.zeros(len(ids))
+
+    lists, _ = _compared(_plain(df, id_col, vec, metric), count, block_rows, broadcast_bytes)
+    return lists.groupBy("id").agg(F.sum("nbr").alias("n"))
+
+
+def radius_links(df: DataFrame, core: DataFrame, radius: float, metric: str = "l2", id_col: str = "id", vec: str = "embedding", block_rows: int | None = None, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """(id, nbr, border): edges that connect what pairs of ``core`` rows within ``radius`` connect, and of every other row the core rows near it.
+
+    Each tile of distances leaves a spanning forest of its core pairs.
+    """
+    rows = _plain(df, id_col, vec, metric)
+    flag = F.when(F.col("core"), 1).otherwise(0).cast("long" if metric == "hamming" else "double")
+    rows = rows.join(core.select("id", F.lit(True).alias("core")), "id", "left").select("id", F.concat("v", F.array(flag)).alias("v"))
+
+    def link(ids, x, base_ids, y):
+        found = []
+        for at in range(0, len(base_ids), TILE_ROWS):
+            tile, near_ids = y[at:at + TILE_ROWS], base_ids[at:at + TILE_ROWS]
+            row, col = np.nonzero((_distances(x[:, :-1], tile[:, :-1], metric) <= radius) & (tile[:, -1] > 0))
+            inside = x[row, -1] > 0
+            u, v = star_forest(ids[row[inside]], near_ids[col[inside]])
+            found += [(u, v, np.zeros(len(u))), (ids[row[~inside]], near_ids[col[~inside]], np.ones(int((~inside).sum())))]
+        u, v, border = (np.concatenate(part) for part in zip(*found))
+        return u, np.zeros(len(u)), v, border
+
+    lists, _ = _compared(rows, link, block_rows, broadcast_bytes)
+    return lists.select("id", "nbr", (F.col("dist") > 0).alias("border"))
+
+
+def _closest(x: np.ndarray, centre: np.ndarray, n: int) -> np.ndarray:
+    """The ``n`` centres nearest to each row, nearest first, in tiles of rows."""
+    rows = max(1, (TILE_ROWS * TILE_ROWS) // len(centre))
+    found = [np.argsort(_distances(x[at:at + rows], centre, "l2"), axis=1, kind="stable")[:, :n] for at in range(0, len(x), rows)]
+    return np.concatenate(found) if found else np.zeros((0, n), dtype=np.int64)
+
+
 def _centroids(sample: np.ndarray, cells: int, steps: int = 8) -> np.ndarray:
     r = np.random.default_rng(11)
     centre = sample[r.choice(len(sample), min(cells, len(sample)), replace=False)].astype(np.float64)
     for _ in range(steps):
-        near = _distances(sample, centre, "l2").argmin(1)
+        near = _closest(sample, centre, 1)[:, 0]
         size = np.bincount(near, minlength=len(centre))
         total = np.zeros_like(centre)
         np.add.at(total, near, sample)
@@ -202,15 +268,15 @@ def _centroids(sample: np.ndarray, cells: int, steps: int = 8) -> np.ndarray:
 
 def _enough_probes(rows: DataFrame, ids: np.ndarray, queries: np.ndarray, centre: np.ndarray, shape: Callable, k: int, metric: str) -> int:
     """Least number of probed cells with which the queries find ``RECALL`` of their exact neighbours."""
-    nearest = np.argsort(_distances(shape(queries), centre, "l2"), axis=1, kind="stable")
+    nearest = _closest(shape(queries), centre, len(centre))
     place = np.argsort(nearest, axis=1)  # of each cell in each query's order
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, BLOCK_ROWS):
-                part = batch.slice(at, BLOCK_ROWS)
+            for at in range(0, batch.num_rows, TILE_ROWS):
+                part = batch.slice(at, TILE_ROWS)
                 base, x = part.column(0).to_numpy(), _matrix(part.column(1))
-                cell = np.argsort(_distances(shape(x), centre, "l2"), axis=1, kind="stable")[:, 0]
+                cell = _closest(shape(x), centre, 1)[:, 0]
                 order = np.argsort(base, kind="stable")
                 row, _, at_base, dist = _nearest(np.arange(len(ids)), queries, np.arange(len(base)), x[order], k, metric)
                 need = place[row, cell[order][at_base]] + 1
@@ -221,9 +287,9 @@ def _enough_probes(rows: DataFrame, ids: np.ndarray, queries: np.ndarray, centre
     return found[int(np.searchsorted(reached, RECALL * reached[-1]))].need
 
 
-def _ivf(rows: DataFrame, k: int, metric: str, cells: int | None, probes: int | None, block_rows: int) -> DataFrame:
-    """Candidate lists from the cells nearest to each vector; large cells are split over tasks."""
-    n = rows.count()
+def _ivf(rows: DataFrame, k: int, metric: str, cells: int | None, probes: int | None, block_rows: int | None) -> DataFrame:
+    """Candidate lists from the cells nearest to each vector; every part of a cell meets its queries in a task of its own."""
+    n, block_rows = rows.count(), block_rows or TILE_ROWS
     if n == 0:
         return rows.select("id", F.lit(0).alias("rank"), F.col("id").alias("nbr"), F.lit(0.0).alias("dist"))
     cells = cells or max(1, int(n**0.5) // 4)
@@ -240,9 +306,9 @@ def _ivf(rows: DataFrame, k: int, metric: str, cells: int | None, probes: int |
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, BLOCK_ROWS):
-                part = batch.slice(at, BLOCK_ROWS)
-                near = np.argsort(_distances(shape(_matrix(part.column(1))), centre, "l2"), axis=1, kind="stable")[:, :probes]
+            for at in range(0, batch.num_rows, TILE_ROWS):
+                part = batch.slice(at, TILE_ROWS)
+                near = _closest(shape(_matrix(part.column(1))), centre, probes)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(near.astype(np.int64).tolist(), pa.list_(pa.int64()))], ["id", "v", "cells"])
 
     kind = rows.schema["v"].dataType.simpleString()
@@ -252,12 +318,13 @@ def _ivf(rows: DataFrame, k: int, metric: str, cells: int | None, probes: int |
     sizes = materialize(sizes, "ivf-cells")  # one row per cell
 
     def packed(rows: DataFrame, name: str) -> DataFrame:
-        salted = rows.join(F.broadcast(sizes.select("cell", "parts")), "cell").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
+        salted = rows.join(F.broadcast(sizes.select("cell", "parts")), "cell").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))  # one row per cell
         grouped = salted.groupBy("cell", "part").agg(F.array_sort(F.collect_list(F.struct("id", "v"))).alias("m"))
-        return grouped.select("cell", F.col("m.id").alias(f"{name}ids"), F.flatten("m.v").alias(f"{name}vs"))
+        return grouped.select("cell", "part", F.col("m.id").alias(f"{name}ids"), F.flatten("m.v").alias(f"{name}vs"))
 
-    asking = probed.select("id", "v", F.explode("cells").alias("cell"))
-    pairs = packed(asking, "").join(packed(home, "base_"), "cell").select("ids", "vs", "base_ids", "base_vs")
+    asking = packed(probed.select("id", "v", F.explode("cells").alias("cell")), "").drop("part")
+    asking = asking.join(F.broadcast(sizes.select("cell", "parts")), "cell").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    pairs = asking.join(packed(home, "base_"), ["cell", "part"]).select("ids", "vs", "base_ids", "base_vs")
     return pairs.mapInArrow(_pair_batches(lambda i, x, j, y: _nearest(i, x, j, y, k, metric)), _LIST)
 
 

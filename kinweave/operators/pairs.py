@@ -54,16 +54,27 @@ def relationship(pairs: DataFrame, committee: dict[str, DataFrame]) -> DataFrame
     return out
 
 
+def _wide(tables: dict[str, DataFrame], value: str) -> DataFrame:
+    """(k, m): of each id an array with its ``value`` in every table (null: none), by one shuffle of all tables."""
+    long = None
+    for i, table in enumerate(tables.values()):
+        part = table.select("k", F.lit(i).alias("i"), value)
+        long = part if long is None else long.unionByName(part)
+    return long.groupBy("k").agg(F.array(*[F.first(F.when(F.col("i") == i, F.col(value)), ignorenulls=True) for i in range(len(tables))]).alias("m"))
+
+
+def _both(pairs: DataFrame, wide: DataFrame, how: str) -> DataFrame:
+    """``pairs`` with ma and mb, the arrays of both ends."""
+    of = lambda end: wide.select(F.col("k").alias(end), F.col("m").alias(f"m{end}"))
+    return pairs.join(of("a"), "a", how).join(of("b"), "b", how)
+
+
 def affinity(pairs: DataFrame, models: dict[str, DataFrame], id_col: str = "id", vec: str = "embedding") -> DataFrame:
-    """``pairs`` with aff_<m>: cosine of the two vectors of every model, in order."""
-    out = pairs
-    for name, features in models.items():
-        f = features.select(F.col(id_col).alias("k"), doubles(vec).alias("v"))
-        out = (
-            out.join(f.select(F.col("k").alias("a"), F.col("v").alias("va")), "a").join(f.select(F.col("k").alias("b"), F.col("v").alias("vb")), "b")
-            .withColumn(f"aff_{name}", cosine(F.col("va"), F.col("vb"))).drop("va", "vb")
-        )
-    return out
+    """``pairs`` with aff_<m>: cosine of the two vectors of every model, in order; both ends must be in all models."""
+    wide = _wide({name: features.select(F.col(id_col).alias("k"), doubles(vec).alias("v")) for name, features in models.items()}, "v")
+    wide = wide.filter(~F.exists("m", lambda x: x.isNull()))
+    out = _both(pairs, wide, "inner")
+    return out.select(*pairs.columns, *[cosine(F.col("ma")[i], F.col("mb")[i]).alias(f"aff_{name}") for i, name in enumerate(models)])
 
 
 def intersection(x: Column, y: Column) -> Column:
@@ -73,14 +84,10 @@ def intersection(x: Column, y: Column) -> Column:
 
 def structure(pairs: DataFrame, models: dict[str, DataFrame]) -> DataFrame:
     """``pairs`` with str_<m>: size of the intersection of the two lists of every model."""
-    out = pairs
-    for name, lists in models.items():
-        w = lists.groupBy("id").agg(F.collect_list("nbr").alias("nbrs"))
-        out = (
-            out.join(w.select(F.col("id").alias("a"), F.col("nbrs").alias("na")), "a", "left").join(w.select(F.col("id").alias("b"), F.col("nbrs").alias("nb")), "b", "left")
-            .withColumn(f"str_{name}", F.coalesce(intersection(F.col("na"), F.col("nb")), F.lit(0)).cast("int")).drop("na", "nb")
-        )
-    return out
+    wide = _wide({name: lists.groupBy(F.col("id").alias("k")).agg(F.collect_list("nbr").alias("v")) for name, lists in models.items()}, "v")
+    out = _both(pairs, wide, "left")
+    counts = [F.coalesce(intersection(F.col("ma")[i], F.col("mb")[i]), F.lit(0)).cast("int").alias(f"str_{name}") for i, name in enumerate(models)]
+    return out.select(*pairs.columns, *counts)
 
 
 def labelled(pairs: DataFrame, truth: DataFrame, id_col: str = "id", label: str = "label") -> DataFrame:
