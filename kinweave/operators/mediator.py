@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinweave.functions.vectors import affine, relu, softmax
+from kinweave.operators.evaluate import pair_metrics
 
 
 def train(pairs: DataFrame, features: list[str], label: str = "label", max_iter: int = 60, seed: int = 0) -> PipelineModel:
@@ -27,6 +28,25 @@ def train(pairs: DataFrame, features: list[str], label: str = "label", max_iter:
     ]).fit(pairs)
 
 
+def train_rounds(pairs: DataFrame, held_out: DataFrame, features: list[str], th: float, rounds: int = 3, label: str = "label", max_iter: int = 60, seed: int = 0) -> tuple[PipelineModel, list[dict]]:
+    """``train`` in ``rounds`` that go on from one another; the classifier metrics on ``held_out`` after each."""
+    d, history, weights = len(features), [], None
+    inputs = Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features"), StandardScaler(inputCol="features", outputCol="scaled", withMean=True)]).fit(pairs)
+    ready = inputs.transform(pairs).select("scaled", label)
+    for _ in range(rounds):
+        net = MultilayerPerceptronClassifier(featuresCol="scaled", labelCol=label, layers=[d, 3 * d, 3 * d, 2], maxIter=max(1, max_iter // rounds), seed=seed)
+        fitted = (net if weights is None else net.setInitialWeights(weights)).fit(ready)
+        weights = fitted.weights
+        model = PipelineModel(stages=[*inputs.stages, fitted])
+        history.append(validate(model, held_out, th, label).first().asDict())
+    return model, history
+
+
+def validate(model: PipelineModel, held_out: DataFrame, th: float, label: str = "label") -> DataFrame:
+    """Classifier metrics (acc, abs_recall, rel_recall, false_pos, false_neg) of ``model`` at ``th`` on labelled pairs."""
+    return pair_metrics(infer(model, held_out).withColumn("label", F.col(label)), th)
+
+
 def infer(model: PipelineModel, pairs: DataFrame) -> DataFrame:
     """``pairs`` with score: the probability of one class."""
     scored = model.transform(pairs)

@@ -39,8 +39,8 @@ def _moment_batches(batches):
         yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([total.tolist()], pa.list_(pa.float64())), pa.array([square.ravel().tolist()], pa.list_(pa.float64()))], ["n", "total", "square"])
 
 
-def fit_whitening(df: DataFrame, vec: str = "embedding", dims: int = 256, eigen_power: float = -0.5, eps: float = 1e-12) -> tuple[np.ndarray, np.ndarray]:
-    """(mean, projection): eigenvectors of the covariance scaled by eigenvalue ** eigen_power.
+def moments(df: DataFrame, vec: str = "embedding") -> tuple[np.ndarray, np.ndarray]:
+    """(mean, population covariance) of all vectors.
 
     Moments are added in the tasks and summed by position, so the driver gets one matrix of the vectors' width.
     """
@@ -54,7 +54,12 @@ def fit_whitening(df: DataFrame, vec: str = "embedding", dims: int = 256, eigen_
         return np.array([r.x for r in rows])
 
     mean = summed("total") / n
-    covariance = summed("square").reshape(len(mean), -1) / n - np.outer(mean, mean)
+    return mean, summed("square").reshape(len(mean), -1) / n - np.outer(mean, mean)
+
+
+def fit_whitening(df: DataFrame, vec: str = "embedding", dims: int = 256, eigen_power: float = -0.5, eps: float = 1e-12) -> tuple[np.ndarray, np.ndarray]:
+    """(mean, projection): eigenvectors of the covariance scaled by eigenvalue ** eigen_power."""
+    mean, covariance = moments(df, vec)
     values, vectors = np.linalg.eigh(covariance)
     order = np.argsort(-values)[:dims]
     return mean, vectors[:, order] * np.maximum(values[order], eps) ** eigen_power

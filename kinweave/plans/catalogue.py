@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,10 +12,12 @@ from kinweave.functions import vectors
 from kinweave.operators import centroids, density, evaluate, labels, mediator, neighbours, pairs, propagate, rank_order, transform
 from kinweave.operators.components import connected_components
 from kinweave.plans import sql
-from kinweave.plans.cluster import GraphClusterer, Clusters, clusters_of, whitened_kmeans
+from kinweave.plans.baselines import run_baseline
+from kinweave.plans.cluster import Clusters, GraphClusterer, clusters_of, run_config, whitened_kmeans
+from kinweave.plans.config import Config
 from kinweave.plans.sql import K, MAX_SZ, MEMBERS, STEP, TH
 from kinweave.sources import files, toys
-from kinweave.sources.shared import materialize
+from kinweave.sources.shared import materialize, scratch
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _ORACLES: dict[str, str] = {}
@@ -110,6 +113,14 @@ def knn_recall_ivf(spark, sf_dir):
     return neighbours.recall(neighbours.knn(emb, K, strategy="ivf"), neighbours.knn(emb, K), K)
 
 
+@_query(f"SELECT count(*) AS vectors, {K} AS k, true AS reached FROM embeddings")
+def knn_recall_floor(spark, sf_dir):
+    """Whether the index finds at least 0.9 of all neighbours of all vectors."""
+    emb = _emb(spark, sf_dir)
+    found = neighbours.recall(neighbours.knn(emb, K, strategy="ivf"), neighbours.knn(emb, K), K)
+    return found.crossJoin(emb.agg(F.count(F.lit(1)).alias("vectors"))).select("vectors", F.lit(K).alias("k"), (F.col("recall") >= 0.9).alias("reached"))  # one row each
+
+
 @_query(f"WITH {sql.EMB}, {sql.knn()} SELECT id, string_agg(nbr::VARCHAR, ',' ORDER BY rank) || ',-1,-1' AS nbrs FROM knn GROUP BY id")
 def knn_padded(spark, sf_dir):
     return neighbours.wide(neighbours.knn(_emb(spark, sf_dir), K), K + 2).select("id", F.array_join("nbrs", ",").alias("nbrs"))
@@ -269,9 +280,9 @@ def propagate_distributed_rounds(spark, sf_dir):
     return propagate.propagate(_pairs(_emb(spark, sf_dir)), 8, STEP, max_iter=8, local_edges=20)
 
 
-@_query()
+@_query(f"WITH RECURSIVE {sql.PAIRS}, {sql.propagation('pairs', 5)}, {sql.soft('pairs')} SELECT id, label, round(weight, 6) AS weight FROM soft")
 def propagate_soft(spark, sf_dir):
-    return propagate.propagate_soft(_pairs(_emb(spark, sf_dir)), MAX_SZ, STEP, max_depth=2)[1]
+    return propagate.propagate_soft(_pairs(_emb(spark, sf_dir)), MAX_SZ, STEP)[1].withColumn("weight", F.round("weight", 6))
 
 
 @_query(f"WITH RECURSIVE {sql.CLUSTERED} SELECT id, label FROM lab")
@@ -319,12 +330,36 @@ def _scores(scores: DataFrame) -> DataFrame:
     return scores.select("tk", "pk", "qk", *[F.round(c, 6).alias(c) for c in ("prec", "recall", "fscore")])
 
 
-@_query(f"WITH RECURSIVE {sql.VOTES}, passed AS (SELECT * FROM votes WHERE votes >= 3), pairs AS MATERIALIZED ({sql.canonical('passed')}), {sql.propagation('pairs', 5)}, {sql.LABELS} SELECT id, label FROM lab")
+_AGREED = f"WITH RECURSIVE {sql.VOTES}, passed AS (SELECT * FROM votes WHERE votes >= 3), pairs AS MATERIALIZED ({sql.canonical('passed')}), {sql.propagation('pairs', 5)}, {sql.LABELS} SELECT id, label FROM lab"
+
+
+@_query(_AGREED)
 def cluster_vote_end_to_end(spark, sf_dir):
     emb = _emb(spark, sf_dir)
     return GraphClusterer(k=K, th=TH, max_sz=MAX_SZ, step=STEP).fit_many([emb, *[_member(emb, m) for m in MEMBERS]]).labels
 
 
+@_query(f"WITH RECURSIVE {sql.CLUSTERED} SELECT id, label FROM lab")
+def estimator_fit(spark, sf_dir):
+    return GraphClusterer(k=K, th=TH, max_sz=MAX_SZ, step=STEP).fit(_emb(spark, sf_dir)).labels
+
+
+@_query(_AGREED)
+def config_run_cached(spark, sf_dir):
+    """A configured run, and again from the tables that the first one kept."""
+    emb = _emb(spark, sf_dir)
+    config = Config(base="base", committee=tuple(MEMBERS), k=K, th=TH, max_sz=MAX_SZ, step=STEP)
+    features, cache = {"base": emb, **{m: _member(emb, m) for m in MEMBERS}}, scratch(spark, "config")
+    first = run_config(config, features, cache=cache).labels
+    again = run_config(config, {m: t.limit(0) for m, t in features.items()} | {"base": emb}, cache=cache).labels
+    return first.join(again, ["id", "label"])
+
+
+@_query(f"WITH {sql.EMB}, firsts AS (SELECT label, min(id) AS f FROM emb GROUP BY label), n AS (SELECT label, dense_rank() OVER (ORDER BY f) - 1 AS new FROM firsts) SELECT e.id, n.new::INTEGER AS label FROM emb e JOIN n ON e.label = n.label")
+def relabelled(spark, sf_dir):
+    return labels.relabel(_emb(spark, sf_dir).select("id", (9 - F.col("label")).alias("label")))
+
+
 @_query(f"WITH RECURSIVE {sql.ALL}, pairs AS MATERIALIZED (SELECT a, b, 1.0 AS score FROM ({_LABELLED}) WHERE label = 1), {sql.propagation('pairs', 1)}, {sql.LABELS} SELECT id, label FROM lab")
 def cluster_ground_truth(spark, sf_dir):
     emb = _emb(spark, sf_dir)
@@ -352,6 +387,20 @@ def dbscan(spark, sf_dir):
     return density.dbscan(_emb(spark, sf_dir), 1.12, 3)
 
 
+@_query(f"WITH RECURSIVE {_radius(1.12)}, {sql.dbscan('g', 3)}, firsts AS (SELECT comp, min(id) AS f FROM dens WHERE comp IS NOT NULL GROUP BY comp), n AS (SELECT comp, dense_rank() OVER (ORDER BY f) - 1 AS label FROM firsts) SELECT d.id, coalesce(n.label, -1)::INTEGER AS label FROM dens d LEFT JOIN n ON d.comp = n.comp")
+def baseline_driver(spark, sf_dir):
+    """A baseline by name, its labels written, and read again by a second run."""
+    emb, out = _emb(spark, sf_dir), scratch(spark, "baselines")
+    run_baseline(emb, "dbscan", out, eps=1.12, min_samples=3)
+    return run_baseline(emb.limit(0), "dbscan", out, eps=1.12, min_samples=3)[0]
+
+
+@_query(f"WITH RECURSIVE {_radius(1.12)}, {sql.dbscan('g', 3)} SELECT id, comp, core FROM dens")
+def dbscan_block_join(spark, sf_dir):
+    """The form for tables too large to give to every task."""
+    return density.dbscan(_emb(spark, sf_dir), 1.12, 3, block_rows=128, broadcast_bytes=0)
+
+
 @_query(f"WITH RECURSIVE {sql.EMB}, {sql.knn()}, one AS (SELECT id, nbr FROM knn WHERE id <> nbr AND 1 - dist >= 0.3 AND dist <= 0.66), g AS MATERIALIZED (SELECT id, nbr FROM one UNION SELECT nbr, id FROM one UNION SELECT id, id FROM emb), {sql.dbscan('g', 6)} SELECT id, comp, core FROM dens")
 def knn_dbscan(spark, sf_dir):
     return density.knn_dbscan(_lists(_emb(spark, sf_dir)), 0.66, 6, least=0.3)
@@ -433,11 +482,34 @@ def standardised(spark, sf_dir):
     return transform.standardise(_emb(spark, sf_dir)).select("id", F.round(F.col("embedding")[0], 6).alias("first"))
 
 
-@_query(f"WITH {sql.EMB} SELECT id, 1.0::DOUBLE AS norm FROM emb")
-def pca_whiten_norms(spark, sf_dir):
-    emb = _emb(spark, sf_dir)
-    white = transform.whiten(emb, *transform.fit_whitening(emb, dims=32))
-    return white.select("id", F.round(vectors.norm(F.col("embedding")), 6).alias("norm"))
+@_query(f"WITH {sql.EMB}, d AS (SELECT unnest(range(64)) AS i) SELECT x.i, y.i AS j, round(covar_pop(e[x.i + 1], e[y.i + 1]), 9) AS cov FROM emb, d x, d y GROUP BY x.i, y.i")
+def embedding_covariance(spark, sf_dir):
+    """What whitening is fitted on."""
+    _, covariance = transform.moments(_emb(spark, sf_dir))
+    rows = [(i, j, round(float(v), 9) + 0.0) for i, row in enumerate(covariance) for j, v in enumerate(row)]
+    return spark.createDataFrame(rows, "i long, j long, cov double")
+
+
+# A mean and a projection to two dimensions.
+_MEAN = [((i * 3) % 7 - 3) / 100 for i in range(64)]
+_PROJECTION = [[((i * 5 + 2 * j) % 11 - 5) / 10 for j in range(2)] for i in range(64)]
+
+
+def _sql_projected(j: int) -> str:
+    return " + ".join(f"(e[{i + 1}] - ({_MEAN[i]})::DOUBLE) * ({_PROJECTION[i][j]})::DOUBLE" for i in range(64))
+
+
+@_query(f"WITH {sql.EMB}, p AS (SELECT id, {_sql_projected(0)} AS x, {_sql_projected(1)} AS y FROM emb) SELECT id, round(x / sqrt(x * x + y * y), 6) AS x, round(y / sqrt(x * x + y * y), 6) AS y FROM p")
+def whiten_given_projection(spark, sf_dir):
+    white = transform.whiten(_emb(spark, sf_dir), np.array(_MEAN), np.array(_PROJECTION))
+    return white.select("id", F.round(F.col("embedding")[0], 6).alias("x"), F.round(F.col("embedding")[1], 6).alias("y"))
+
+
+@_query(f"WITH {sql.EMB} SELECT row_number() OVER (ORDER BY id) - 1 AS id, label::INTEGER AS label FROM emb")
+def labels_round_trip(spark, sf_dir):
+    path = f"{scratch(spark, 'labels')}/meta"
+    files.write_labels(_emb(spark, sf_dir).select("id", "label"), path)
+    return files.read_labels(spark, path)
 
 
 @_query(f"WITH {sql.EMB} SELECT id, label FROM emb WHERE id < 100")

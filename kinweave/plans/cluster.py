@@ -12,7 +12,8 @@ from kinweave.operators import centroids, density, evaluate, labels, mediator, p
 from kinweave.operators.neighbours import knn
 from kinweave.operators.propagate import propagate
 from kinweave.operators.rank_order import rank_order_clusters
-from kinweave.plans.config import Config, timed
+from kinweave.plans.config import Config, log, timed
+from kinweave.sources import files
 from kinweave.sources.shared import materialize
 
 
@@ -69,37 +70,69 @@ class GraphClusterer:
         return clusters_of(items, chosen, self.max_sz, self.step, self.max_iter)
 
 
-def run_config(config: Config, features: dict[str, DataFrame], truth: DataFrame | None = None, train_features: dict[str, DataFrame] | None = None, train_truth: DataFrame | None = None) -> Clusters:
+def run_config(
+    config: Config, features: dict[str, DataFrame], truth: DataFrame | None = None, train_features: dict[str, DataFrame] | None = None,
+    train_truth: DataFrame | None = None, cache: str | None = None,
+) -> Clusters:
     """The configured run over (id, embedding) tables by model.
 
     ``mediator`` learns from ``train_features`` with ``train_truth``;
-    ``groundtruth`` links pairs of one class of ``truth``.
+    ``groundtruth`` links pairs of one class of ``truth``. ``cache`` names a
+    folder for this data: neighbour lists, vote pairs, pair sets and the trained
+    mediator found there under the hash of their settings are taken as they
+    are, others are made and kept (``force_retrain`` trains again).
     """
     names = [config.base, *config.committee]
+    spark = features[config.base].sparkSession
 
-    def lists_of(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
-        return {m: materialize(knn(tables[m], config.k, config.metric, strategy=config.knn_strategy, scaled=config.metric != "cosine"), f"knn-{m}") for m in names}
+    def kept(name: str, key: str, make) -> DataFrame:
+        with timed(name):
+            return materialize(make(), name) if cache is None else files.cached(spark, cache, f"{name}-{key}", make)
 
-    with timed("neighbour lists"):
-        lists = lists_of(features)
+    def lists_of(tables: dict[str, DataFrame], phase: str) -> dict[str, DataFrame]:
+        def of(m: str) -> DataFrame:
+            key = config.key("k", "metric", "knn_strategy", model=m, phase=phase)
+            return kept(f"knn-{m}", key, lambda: knn(tables[m], config.k, config.metric, strategy=config.knn_strategy, scaled=config.metric != "cosine"))
+
+        return {m: of(m) for m in names}
+
+    lists = lists_of(features, "apply")
     base, committee = lists[config.base], {m: lists[m] for m in config.committee}
+    graph = ("base", "committee", "k", "metric", "knn_strategy")
     if config.strategy == "vote":
-        chosen = pairs.vote_pairs(base, list(committee.values()), len(committee) if config.accept is None else config.accept, config.th)
+        accept = len(committee) if config.accept is None else config.accept
+        chosen = kept("vote-pairs", config.key(*graph, "accept", "th"), lambda: pairs.vote_pairs(base, list(committee.values()), accept, config.th))
     elif config.strategy == "groundtruth":
         if truth is None:
             raise ValueError("groundtruth needs the true labels")
         chosen = pairs.ground_truth(pairs.labelled(pairs.all_pairs(base), truth))
     elif config.strategy == "mediator":
-        if train_features is None or train_truth is None:
-            raise ValueError("mediator needs a labelled set")
-        with timed("mediator"):
-            columns = pairs.feature_columns(config.base, list(config.committee), config.inputs)
-            t = lists_of(train_features)
-            ordered = lambda tables: {m: tables[m] for m in names}
-            train_set = materialize(pairs.pair_set(t[config.base], {m: t[m] for m in config.committee}, ordered(train_features), config.base, train_truth, config.inputs), "train-pairs")
-            model = mediator.train(train_set, columns)
-            scored = mediator.infer(model, pairs.pair_set(base, committee, ordered(features), config.base, None, config.inputs))
-            chosen = mediator.select(scored, config.th)
+        columns = pairs.feature_columns(config.base, list(config.committee), config.inputs)
+
+        def pair_set(tables: dict[str, DataFrame], found: dict[str, DataFrame], phase: str, labelled: DataFrame | None) -> DataFrame:
+            ordered = {m: tables[m] for m in names}
+            make = lambda: pairs.pair_set(found[config.base], {m: found[m] for m in config.committee}, ordered, config.base, labelled, config.inputs)
+            return kept(f"pair-set-{phase}", config.key(*graph, "inputs"), make)
+
+        path = cache and f"{cache.rstrip('/')}/mediator-{config.key(*graph, 'inputs')}"
+        if path and not config.force_retrain and files.exists(spark, f"{path}/metadata"):
+            log.info("mediator found: %s", path)
+            model = mediator.load(path)
+        else:
+            if train_features is None or train_truth is None:
+                raise ValueError("mediator needs a labelled set")
+            train_set = pair_set(train_features, lists_of(train_features, "train"), "train", train_truth)
+            with timed("mediator"):
+                if config.validate:
+                    out = F.pmod(F.xxhash64("a", "b"), F.lit(1 << 20)) < int(config.validate * (1 << 20))
+                    model, history = mediator.train_rounds(train_set.filter(~out), train_set.filter(out), columns, config.th)
+                    for i, metrics in enumerate(history):
+                        log.info("mediator, round %d: %s", i, metrics)
+                else:
+                    model = mediator.train(train_set, columns)
+            if path:
+                mediator.save(model, path)
+        chosen = mediator.select(mediator.infer(model, pair_set(features, lists, "apply", None)), config.th)
     else:
         raise ValueError(f"unknown strategy {config.strategy!r}")
     with timed("propagation"):

@@ -3,13 +3,19 @@
 from __future__ import annotations
 
 import hashlib
+import io
 import json
 import logging
+import sys
 import time
 from collections.abc import Iterator
 from contextlib import contextmanager
 from dataclasses import asdict, dataclass, fields, replace
 
+from pyspark.sql import SparkSession
+
+from kinweave.sources.files import write_text
+
 log = logging.getLogger("kinweave")
 
 
@@ -29,10 +35,13 @@ class Config:
     max_sz: int = 600
     step: float = 0.05
     max_iter: int = 100
+    force_retrain: bool = False  # also where a trained mediator is kept
+    validate: float = 0.0  # share of the labelled pairs held out to report on the mediator
 
-    def key(self) -> str:
-        """A stable hash, for tables kept between runs."""
-        return hashlib.sha256(json.dumps(asdict(self), sort_keys=True).encode()).hexdigest()[:16]
+    def key(self, *names: str, **more) -> str:
+        """A stable hash of the settings ``names`` (by default all) and of ``more``, for tables kept between runs."""
+        values = {n: v for n, v in asdict(self).items() if not names or n in names}
+        return hashlib.sha256(json.dumps({**values, **more}, sort_keys=True).encode()).hexdigest()[:16]
 
     @classmethod
     def from_dict(cls, values: dict) -> Config:
@@ -72,6 +81,25 @@ def timed(phase: str) -> Iterator[None]:
         log.info("%s: %.1f s", phase, time.perf_counter() - began)
 
 
+@contextmanager
+def run_log(spark: SparkSession, path: str) -> Iterator[None]:
+    """Lines of this library's log go to standard output, and in the end to the file ``path`` of any file system."""
+    held = io.StringIO()
+    handlers = [logging.StreamHandler(sys.stdout), logging.StreamHandler(held)]
+    before = log.level
+    log.setLevel(logging.INFO)
+    for handler in handlers:
+        handler.setFormatter(logging.Formatter("%(asctime)s %(message)s"))
+        log.addHandler(handler)
+    try:
+        yield
+    finally:
+        for handler in handlers:
+            log.removeHandler(handler)
+        log.setLevel(before)
+        write_text(spark, path, held.getvalue())
+
+
 class RunningMean:
     """Mean of the last ``length`` values (of all, for 0)."""
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import Any
 
 import numpy as np
@@ -13,20 +13,25 @@ from pyspark.sql import functions as F
 
 
 def read_features(spark: SparkSession, path: str, dims: int = 256, model: str | None = None) -> DataFrame:
-    """(id, embedding) of a flat little-endian float32 file, ids by place; raises if its size is no multiple of a row."""
+    """(id, embedding) of a flat little-endian float32 file, ids by place; raises if its size is no multiple of a row.
+
+    The file is split at rows, so its size does not matter.
+    """
+    width = 4 * dims
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    size = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p).getLen()
+    if size % width:
+        raise ValueError(f"{size} bytes are no multiple of {width}")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for content in batch.column(0):
-                x = np.frombuffer(content.as_buffer(), dtype="<f4")
-                if len(x) % dims:
-                    raise ValueError(f"{len(x)} values are no multiple of {dims}")
-                for at in range(0, len(x), dims * 4096):
-                    part = x[at:at + dims * 4096]
-                    ids = np.arange(at // dims, at // dims + len(part) // dims)
-                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.ListArray.from_arrays(np.arange(0, len(part) + 1, dims, dtype=np.int32), pa.array(part))], ["id", "embedding"])
-
-    out = spark.read.format("binaryFile").load(path).select("content").mapInArrow(rows, "id long, embedding array<float>")
+            x = np.frombuffer(b"".join(batch.column(0).to_pylist()), dtype="<f4")
+            vectors = pa.ListArray.from_arrays(np.arange(0, len(x) + 1, dims, dtype=np.int32), pa.array(x))
+            yield pa.RecordBatch.from_arrays([batch.column(1), vectors], ["id", "embedding"])
+
+    # the only source of fixed-length records that Spark has
+    records = spark.sparkContext.binaryRecords(path, width).zipWithIndex()
+    out = spark.createDataFrame(records, "content binary, id long").mapInArrow(rows, "id long, embedding array<float>")
     return out if model is None else out.select(F.lit(model).alias("model"), "id", "embedding")
 
 
@@ -75,12 +80,20 @@ def write_table(df: DataFrame, path: str, by: list[str] | None = None) -> DataFr
     return df.sparkSession.read.parquet(path)
 
 
+def cached(spark: SparkSession, folder: str, key: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """The table stored under ``key`` (a hash of what it was made from); ``make`` is called if it is absent."""
+    path = f"{folder.rstrip('/')}/{key}"
+    return spark.read.parquet(path) if exists(spark, f"{path}/_SUCCESS") else write_table(make(), path)
+
+
 def cached_table(df: DataFrame, folder: str, key: str) -> DataFrame:
-    """The table stored under ``key`` (a hash of what it was made from), made if absent."""
-    spark, path = df.sparkSession, f"{folder.rstrip('/')}/{key}"
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    done = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    return spark.read.parquet(path) if done.getFileSystem(conf).exists(done) else write_table(df, path)
+    """``cached`` for a table at hand."""
+    return cached(df.sparkSession, folder, key, lambda: df)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
 def head(df: DataFrame, n: int, id_col: str = "id") -> DataFrame:
@@ -103,16 +116,19 @@ def _plain(value: Any) -> Any:
     raise TypeError(type(value).__name__)
 
 
-def dump_json(spark: SparkSession, path: str, data: Any, force: bool = False) -> bool:
-    """Write ``data`` as one JSON document; an existing one stays unless ``force``. True if written."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(conf)
-    if fs.exists(p) and not force:
-        return False
-    out = fs.create(p, True)
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Write ``text`` as one file."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(p, True)
     try:
-        out.write(bytearray(json.dumps(data, default=_plain, sort_keys=True).encode()))
+        out.write(bytearray(text.encode()))
     finally:
         out.close()
+
+
+def dump_json(spark: SparkSession, path: str, data: Any, force: bool = False) -> bool:
+    """Write ``data`` as one JSON document; an existing one stays unless ``force``. True if written."""
+    if exists(spark, path) and not force:
+        return False
+    write_text(spark, path, json.dumps(data, default=_plain, sort_keys=True))
     return True

@@ -1,12 +1,13 @@
 """Tables written to the folder that driver and executors share.
 
 ``spark.checkpoint.dir`` names that folder. It is read from the session; only
-where it is unset (tests, a laptop) a folder of our own takes its place. A
-written table cuts lineage and survives the loss of any executor.
+where it is unset and the master is local (tests, a laptop) a folder of our own
+takes its place. A written table cuts lineage and survives the loss of any executor.
 """
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -21,6 +22,8 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL:
         _LOCAL[app] = "file://" + tempfile.mkdtemp(prefix="kinweave-")
@@ -28,25 +31,31 @@ def shared_dir(spark: SparkSession) -> str:
     return _LOCAL[app]
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Make ``DataFrame.checkpoint`` usable, without touching a folder that is set."""
-    folder = shared_dir(spark)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder's path below the shared folder, deleted with this application's tables."""
+    path = f"{shared_dir(spark)}/kinweave/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet below the shared folder and read it back."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/kinweave/{name}-{uuid.uuid4().hex}"
+    path = scratch(spark, name)
     df.write.parquet(path)
-    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> int:
-    """Delete every table that this application materialized; returns how many."""
-    paths = _WRITTEN.pop(spark.sparkContext.applicationId, [])
+def written(spark: SparkSession) -> int:
+    """How many tables this application holds in the shared folder."""
+    return len(_WRITTEN.get(spark.sparkContext.applicationId, ()))
+
+
+def release(spark: SparkSession, first: int = 0, last: int | None = None) -> int:
+    """Delete the tables that this application materialized, from the ``first`` to before the ``last``; returns how many."""
+    held = _WRITTEN.get(spark.sparkContext.applicationId, [])
+    paths = held[first:last]
+    del held[first:last]
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     for path in paths:
         p = jvm.org.apache.hadoop.fs.Path(path)

@@ -9,7 +9,10 @@ import __spark_entry__
 from kinweave.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
-CHECKED = ["knn_cosine", "vote_pairs", "feat_structure", "propagate_bounded", "fscore_kept", "dbscan", "rank_order_clusters", "cluster_sizes"]
+CHECKED = [
+    "knn_cosine", "knn_block_join", "knn_recall_floor", "vote_pairs", "feat_affinity", "feat_structure", "propagate_bounded", "propagate_max_iter_merge", "propagate_soft", "fscore_kept", "dbscan", "dbscan_block_join",
+    "radius_components", "rank_order_clusters", "cluster_sizes", "config_run_cached", "baseline_driver", "relabelled", "embedding_covariance", "whiten_given_projection", "labels_round_trip",
+]
 
 
 def plain(v):
