@@ -107,5 +107,9 @@ class Encoder:
 
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
-    """The encoder of ``path``, one per worker process."""
+    """The encoder of ``path``, one per worker process; a bare name is that of a public tokenizer, looked up by the worker."""
+    if "/" not in path:
+        import public_tokenizers
+
+        path = public_tokenizers.path(path)
     return Encoder(path)

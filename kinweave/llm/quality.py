@@ -37,6 +37,8 @@ MIN_SHARE = 0.5
 EPOCHS = 150
 RATE = 0.3
 PENALTY = 1e-3
+#: Beyond so many words windows are compared as numbers (same result, less memory).
+_FEW_WORDS = 100_000
 _SYMBOLS = b"#*$%&|<>"
 _SPACE = b" \t\n\x0b\x0c\r"
 N_FEATURES = 14
@@ -72,11 +74,18 @@ def repeat_words(words: list[bytes], width: int = 5) -> int:
     n = len(words) - width + 1
     if n < 2:
         return 0
-    windows = list(zip(*(words[i:] for i in range(width))))
-    if len(set(windows)) == n:
-        return 0
-    number: dict[tuple, int] = {}
-    ids = np.fromiter((number.setdefault(w, len(number)) for w in windows), dtype=np.int64, count=n)
+    if n <= _FEW_WORDS:
+        windows = list(zip(*(words[i:] for i in range(width))))
+        if len(set(windows)) == n:
+            return 0
+        number: dict[tuple, int] = {}
+        ids = np.fromiter((number.setdefault(w, len(number)) for w in windows), dtype=np.int64, count=n)
+    else:  # numbers of words, then of ever longer windows, instead of tuples
+        of_word: dict[bytes, int] = {}
+        word = np.fromiter((of_word.setdefault(w, len(of_word)) for w in words), dtype=np.int64, count=len(words))
+        ids = word[:n]
+        for i in range(1, width):
+            ids = np.unique(ids * len(of_word) + word[i:i + n], return_inverse=True)[1]
     twice = np.bincount(ids)[ids] > 1
     edge = np.zeros(len(words) + 1, dtype=np.int64)
     starts = np.flatnonzero(twice)
@@ -160,38 +169,41 @@ def _padded(chains: list[np.ndarray], fill: float = 0.0) -> np.ndarray:
     return out
 
 
+def likelihood_gradient(unary: np.ndarray, steps: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Gradient of the summed conditional log-likelihood of padded chains (states -1: padding), by forward-backward."""
+    mask = y >= 0
+    docs, length, _ = x.shape
+    u = x @ unary.T
+    forward, backward = np.zeros((docs, length, 2)), np.zeros((docs, length, 2))
+    forward[:, 0] = u[:, 0]
+    for t in range(1, length):
+        step = np.logaddexp.reduce(forward[:, t - 1, :, None] + steps, axis=1) + u[:, t]
+        forward[:, t] = np.where(mask[:, t, None], step, forward[:, t - 1])
+    for t in range(length - 2, -1, -1):
+        step = np.logaddexp.reduce(steps + (u[:, t + 1] + backward[:, t + 1])[:, None, :], axis=2)
+        backward[:, t] = np.where(mask[:, t + 1, None], step, 0)
+    total = np.logaddexp.reduce(forward[:, -1], axis=1)
+    marginal = np.exp(forward + backward - total[:, None, None]) * mask[:, :, None]
+    target = np.stack([y == 0, y == 1], axis=2)
+    grad_u, grad_s = np.einsum("dts,dtf->sf", target - marginal, x), np.zeros((2, 2))
+    if length > 1:
+        both = mask[:, 1:]
+        pair = np.exp(forward[:, :-1, :, None] + steps + (u[:, 1:] + backward[:, 1:])[:, :, None, :] - total[:, None, None, None])
+        grad_s = np.einsum("dts,dtr->sr", target[:, :-1].astype(float) * both[:, :, None], target[:, 1:].astype(float)) - (pair * both[:, :, None, None]).sum((0, 1))
+    return grad_u, grad_s
+
+
 def fit_chain(features: list[np.ndarray], states: list[np.ndarray], epochs: int = EPOCHS, rate: float = RATE, penalty: float = PENALTY) -> Chain:
     """Full-batch Adagrad on the penalised conditional log-likelihood."""
     order = np.argsort([len(f) for f in features])
-    packs = []
-    for part in np.array_split(order, max(1, len(order) // 256)):
-        x, y = _padded([features[i] for i in part]), _padded([states[i] for i in part], -1).astype(np.int64)
-        packs.append((x, y, y >= 0))
+    packs = [(_padded([features[i] for i in part]), _padded([states[i] for i in part], -1).astype(np.int64)) for part in np.array_split(order, max(1, len(order) // 256))]
     unary, steps = np.zeros((2, features[0].shape[1])), np.zeros((2, 2))
     square_u, square_s = np.full_like(unary, 1e-6), np.full_like(steps, 1e-6)
-    n = sum(int(m.sum()) for _, _, m in packs)
+    n = sum(map(len, features))
     for _ in range(epochs):
-        grad_u, grad_s = -penalty * unary * n, -penalty * steps * n
-        for x, y, mask in packs:
-            docs, length, _ = x.shape
-            u = x @ unary.T
-            forward, backward = np.zeros((docs, length, 2)), np.zeros((docs, length, 2))
-            forward[:, 0] = u[:, 0]
-            for t in range(1, length):
-                step = np.logaddexp.reduce(forward[:, t - 1, :, None] + steps, axis=1) + u[:, t]
-                forward[:, t] = np.where(mask[:, t, None], step, forward[:, t - 1])
-            for t in range(length - 2, -1, -1):
-                step = np.logaddexp.reduce(steps + (u[:, t + 1] + backward[:, t + 1])[:, None, :], axis=2)
-                backward[:, t] = np.where(mask[:, t + 1, None], step, 0)
-            total = np.logaddexp.reduce(forward[:, -1], axis=1)
-            marginal = np.exp(forward + backward - total[:, None, None]) * mask[:, :, None]
-            target = np.stack([y == 0, y == 1], axis=2)
-            grad_u += np.einsum("dts,dtf->sf", target - marginal, x)
-            if length > 1:
-                both = mask[:, 1:]
-                pair = np.exp(forward[:, :-1, :, None] + steps + (u[:, 1:] + backward[:, 1:])[:, :, None, :] - total[:, None, None, None])
-                grad_s += np.einsum("dts,dtr->sr", target[:, :-1].astype(float) * both[:, :, None], target[:, 1:].astype(float)) - (pair * both[:, :, None, None]).sum((0, 1))
-        grad_u, grad_s = grad_u / n, grad_s / n
+        parts = [likelihood_gradient(unary, steps, x, y) for x, y in packs]
+        grad_u = sum(u for u, _ in parts) / n - penalty * unary
+        grad_s = sum(s for _, s in parts) / n - penalty * steps
         square_u, square_s = square_u + grad_u**2, square_s + grad_s**2
         unary, steps = unary + rate * grad_u / np.sqrt(square_u), steps + rate * grad_s / np.sqrt(square_s)
     return Chain(unary, steps)

@@ -6,15 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from kinweave.llm import licenses, line_dedup, lm_score, media, mixing, packing, quality, simhash, token_counts, toxicity
 
+#: A bare name: every worker looks up its own file.
 TOKENIZER = "byte_bpe_50k.json"
 
 
-def tokenizer_path(name: str = TOKENIZER) -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
-
-
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -34,7 +29,7 @@ def op3_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_bm25_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(_table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path())
+    return packing.pack(_table(spark, sf_dir, "documents").select("doc_id", "text"), TOKENIZER)
 
 
 def op5_media_sniffing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,7 +42,7 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_token_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.token_counts(_table(spark, sf_dir, "documents").select("text"), tokenizer_path())
+    return token_counts.token_counts(_table(spark, sf_dir, "documents").select("text"), TOKENIZER)
 
 
 def op8_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

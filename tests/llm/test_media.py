@@ -1,5 +1,7 @@
 import hashlib
+import io
 import struct
+import wave
 import zlib
 
 import pytest
@@ -42,6 +44,41 @@ def test_carving_and_damage():
     assert [i.kind for i in media.sniff(held)] == ["image/x-portable-graymap", "image/gif"]
 
 
+def plain_samples(blob):
+    """Samples of a stored payload, read without the module under test."""
+    if blob[:4] == b"RIFF":
+        with wave.open(io.BytesIO(blob)) as w:
+            assert (w.getnchannels(), w.getsampwidth()) == (1, 1)
+            return w.readframes(w.getnframes())
+    if blob[:2] == b"BM":
+        return blob[int.from_bytes(blob[10:14], "little"):]
+    if blob[:2] == b"P5":
+        return blob.split(b"\n", 3)[3]
+    at, data = 8, b""
+    while at < len(blob):
+        size = int.from_bytes(blob[at:at + 4], "big")
+        data += blob[at + 8:at + 8 + size] if blob[at + 4:at + 8] == b"IDAT" else b""
+        at += size + 12
+    raw = zlib.decompress(data)
+    return b"".join(raw[i + 1:i + 193] for i in range(0, len(raw), 193))
+
+
+def test_features_by_plain_loops(spark):
+    texts = [None, "", "a", "é" * 300, "some words " * 70, "zz\n" * 500, "x" * 192, "payload 7", "payload 8", "payload 9"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    stored = {r.doc_id: bytes(r.media) for r in media.store_payloads(df).collect()}
+    kinds = set()
+    for r in media.digest_media(media.store_payloads(df)).collect():
+        data = (texts[r.doc_id] or "").encode()
+        payload = data + b" " * (max(1, -(-len(data) // 192)) * 192 - len(data))
+        assert plain_samples(stored[r.doc_id]) == payload
+        steps = sum(abs(a - b) for a, b in zip(payload, payload[1:]))
+        want = f"sum={sum(payload)};squares={sum(b * b for b in payload)};steps={steps};distinct={len(set(payload))}"
+        assert r.feature == f"type={r.media_type};{want}" and r.payload_sha256 == hashlib.sha256(payload).hexdigest()
+        kinds.add(r.media_type)
+    assert len(kinds) > 2
+
+
 def test_columns(spark):
     docs = [(1, "abc", 0), (2, None, 0), (3, "", 0), (4, "é" * 96, 0), (5, "abc", 0), (5, "abc", 0), (6, "w " * 50000, 0)]
     df = spark.createDataFrame(docs, "doc_id long, text string, media int").repartition(3)

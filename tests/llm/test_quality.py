@@ -63,6 +63,43 @@ def test_viterbi_matches_every_path():
         assert value(tuple(int(s) for s in chain.decode(x))) >= value(best) - 1e-9
 
 
+def test_gradient_matches_every_path():
+    """Differences of the log-likelihood, whose normaliser sums over all paths."""
+    r = np.random.default_rng(4)
+    chains = [r.normal(size=(n, 3)) for n in (1, 4, 6)]
+    states = [r.integers(0, 2, len(c)) for c in chains]
+
+    def likelihood(unary, steps):
+        total = 0.0
+        for x, y in zip(chains, states):
+            u = x @ unary.T
+
+            def value(path):
+                return sum(u[i, s] for i, s in enumerate(path)) + sum(steps[a, b] for a, b in zip(path, path[1:]))
+
+            total += value(y) - np.log(sum(np.exp(value(p)) for p in product((0, 1), repeat=len(x))))
+        return total
+
+    unary, steps = r.normal(size=(2, 3)), r.normal(size=(2, 2))
+    grads = Q.likelihood_gradient(unary, steps, Q._padded(chains), Q._padded(states, -1).astype(np.int64))
+    for weights, grad in zip((unary, steps), grads):
+        for k in np.ndindex(weights.shape):
+            kept, values = weights[k], []
+            for e in (1e-5, -1e-5):
+                weights[k] = kept + e
+                values.append(likelihood(unary, steps))
+            weights[k] = kept
+            assert abs((values[0] - values[1]) / 2e-5 - grad[k]) < 1e-6
+
+
+def test_windows_of_long_texts(monkeypatch):
+    r = random.Random(2)
+    texts = [[r.choice([b"a", b"b", b"c"]) for _ in range(n)] for n in (5, 6, 7, 50, 400)] + [[b"%d" % i for i in range(300)] + [b"1", b"2", b"3", b"4", b"5"]]
+    want = [Q.repeat_words(t) for t in texts]
+    monkeypatch.setattr(Q, "_FEW_WORDS", 0)
+    assert [Q.repeat_words(t) for t in texts] == want and want[-1] == 10
+
+
 def test_gradient_fit_separates_held_out_pages(spark):
     rows = pages()
     docs = spark.createDataFrame([(i, t, "s") for i, t, _ in rows] + [(0, rows[0][1], "s")], "doc_id long, text string, quality string").repartition(4)

@@ -49,6 +49,68 @@ def test_out_of_fold_probabilities_feed_later_models():
     assert first == chain.models[0].probability(words, []) and second == chain.models[1].probability(words, [first])
 
 
+def plain_logistic(rows, words, earlier, y):
+    """The same descent on a dense matrix: (probabilities as a function of (word set, earlier probabilities))."""
+    x = np.array([[w in row for w in words] for row in rows], dtype=float).reshape(len(rows), len(words))
+    x = np.column_stack([x, earlier, np.ones(len(rows))])
+    balance = np.where(y == 1, 0.5 / y.sum(), 0.5 / (len(y) - y.sum()))
+    penalty = np.append(np.full(x.shape[1] - 1, T.PENALTY), 0)
+    w, square = np.zeros(x.shape[1]), np.full(x.shape[1], 1e-8)
+    for _ in range(T.STEPS):
+        grad = x.T @ ((1 / (1 + np.exp(-x @ w)) - y) * balance) + penalty * w
+        square += grad**2
+        w -= 0.5 * grad / np.sqrt(square)
+    return lambda row, before: 1 / (1 + np.exp(-(np.array([*[v in row for v in words], *before, 1.0], dtype=float) @ w)))
+
+
+def chosen_words(rows, y):
+    """Words of three documents or more, by chi-square from a plain table of counts."""
+    every = sorted(set().union(*rows))
+    found = []
+    for w in every:
+        a = sum(w in r and v == 1 for r, v in zip(rows, y))
+        b = sum(w in r and v == 0 for r, v in zip(rows, y))
+        c, d = y.sum() - a, len(y) - y.sum() - b
+        if a + b >= 3 and (a + b) * (c + d):
+            chi2 = len(y) * (a * d - b * c) ** 2 / ((a + b) * (c + d) * (a + c) * (b + d))
+            if chi2 >= T.LEAST_CHI2:
+                found.append(w)
+    return found
+
+
+def test_chain_matches_a_dense_fit():
+    """Two categories, out-of-fold inputs and all, against plain dense models."""
+    data = corpus(260, seed=9)
+    rows, a, b = [T.words_of(t.encode()) for _, t, _, _ in data], np.array([r[2] for r in data]), np.array([r[3] for r in data])
+    common = [w for w in set().union(*rows) if sum(w in r for r in rows) >= 3]
+    kept = [r & set(common) for r in rows]
+    none = np.zeros((len(rows), 0))
+    first = plain_logistic(rows, chosen_words(kept, a), none, a)
+    out = np.zeros(len(rows))
+    for f in range(T.FOLDS):
+        train, test = [i for i in range(len(rows)) if i % T.FOLDS != f], [i for i in range(len(rows)) if i % T.FOLDS == f]
+        held = plain_logistic([rows[i] for i in train], [w for w in common if w in chosen_fold(kept, a, train)], none[train], a[train])
+        out[test] = [held(rows[i], []) for i in test]
+    second = plain_logistic(rows, chosen_words(kept, b), out[:, None], b)
+    chain = T.fit_chain([(t.encode(), (x, y)) for _, t, x, y in data], ["a", "b"])
+    for row in rows[:80]:
+        p = first(row, [])
+        assert np.allclose(chain.probabilities(row), [p, second(row, [p])], atol=1e-6)
+
+
+def chosen_fold(rows, y, train):
+    """Words chosen within a fold; only words of three documents in the whole sample count."""
+    some, labels = [rows[i] for i in train], y[train]
+    found = set()
+    for w in set().union(*some):
+        a = sum(w in r and v == 1 for r, v in zip(some, labels))
+        b = sum(w in r and v == 0 for r, v in zip(some, labels))
+        c, d = labels.sum() - a, len(labels) - labels.sum() - b
+        if (a + b) * (c + d) and len(labels) * (a * d - b * c) ** 2 / ((a + b) * (c + d) * (a + c) * (b + d)) >= T.LEAST_CHI2:
+            found.add(w)
+    return found
+
+
 def test_sample_is_bounded_and_ignores_partitions(spark):
     rows = corpus(400)
     docs = spark.createDataFrame([(i, t) for i, t, _, _ in rows] + [(1000 + i, rows[5][1]) for i in range(200)], "doc_id long, text string")
@@ -56,3 +118,7 @@ def test_sample_is_bounded_and_ignores_partitions(spark):
     one = labelled_sample(docs.repartition(1), labels, ["a"], 50, 10_000)
     assert one == labelled_sample(docs.repartition(7), labels, ["a"], 50, 10_000)
     assert 0 < len(one) <= 50 and len({t for t, _ in one}) == len(one)
+    few = labelled_sample(docs, labels, ["a"], 50, 10_000, all_bytes=2000)
+    assert 0 < len(few) < len(one) and sum(len(t) for t, _ in few) <= 2000 and few == one[:len(few)]
+    many = spark.createDataFrame([(1, f"text {i}") for i in range(300)], "doc_id long, text string")
+    assert len(labelled_sample(many, labels, ["a"], 20, 10_000)) <= 20
