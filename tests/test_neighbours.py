@@ -107,6 +107,36 @@ def test_dbscan_single_linkage_and_hdbscan(spark):
     assert len(groups) == 3 and all(len(g) == 1 for g in groups.values()) and sum(c is None for c in found.values()) < 40
     with pytest.raises(ValueError):
         density.hdbscan(blobs, 10, graph_k=20, tree_edges=10)
+    rounds = {r.id: r.comp for r in density.hdbscan(blobs, 10, graph_k=150, tree_edges=700).collect()}  # of 11,175 edges
+    assert rounds == found
+
+
+def test_spanning_forest_and_deep_trees():
+    r = np.random.default_rng(6)
+    for n, m in ((2, 1), (30, 60), (80, 400), (50, 30)):
+        a, b = r.integers(0, n, m), r.integers(0, n, m)
+        a, b = np.minimum(a, b), np.maximum(a, b)
+        real = a != b
+        a, b, w = a[real] * 7, b[real] * 7, r.integers(0, 9, int(real.sum())).astype(float)
+        parent, want = {int(x): int(x) for x in np.concatenate([a, b])}, 0.0
+
+        def find(i):
+            while parent[i] != i:
+                i = parent[i]
+            return i
+
+        count = 0
+        for k in np.lexsort((b, a, w)).tolist():
+            x, y = find(int(a[k])), find(int(b[k]))
+            if x != y:
+                parent[x], want, count = y, want + w[k], count + 1
+        got = density.spanning_forest(a, b, w)
+        assert len(got) == count and w[got].sum() == want and (np.diff(w[got]) >= 0).all()
+    n = 20_000  # a chain of single rows falling off, far deeper than the recursion limit
+    ids, comps = density.condensed_clusters(np.arange(n), np.arange(1, n + 1), np.linspace(1, 2, n), 5)
+    assert len(ids) == n + 1 and set(comps) == {0}
+    none, _ = density.condensed_clusters(np.array([0]), np.array([1]), np.array([1.0]), 5)
+    assert len(none) == 0
 
 
 def test_rank_order_fixtures(spark):
