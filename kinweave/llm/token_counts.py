@@ -13,6 +13,7 @@ an empty table has an empty histogram and zero totals; extra columns are unused.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,9 +26,6 @@ from kinweave.llm.arrow import slices
 from kinweave.llm.bpe import encoder
 from kinweave.sources.shared import materialize
 
-BLOCK = 1024
-
-
 def _length_batches(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path)
@@ -46,12 +44,14 @@ def histogram(docs: DataFrame, tokenizer: str, text: str = "text") -> DataFrame:
     return counted.groupBy("n_tokens").agg(F.sum("n_docs").alias("n_docs"))
 
 
-def suffix_sums(hist: DataFrame, block: int = BLOCK) -> DataFrame:
+def suffix_sums(hist: DataFrame, block: int | None = None) -> DataFrame:
     """Per length L: docs_at_least, tokens_at_least, truncated_tokens (sum of min(length, L)), docs_below, share_at_most."""
+    if block is None:
+        block = max(16, math.isqrt(hist.agg(F.max("n_tokens")).first()[0] or 0))
     tokens = (F.col("n_tokens") * F.col("n_docs")).alias("t")
     rows = hist.select("n_tokens", "n_docs", tokens, F.floor(F.col("n_tokens") / block).alias("block"))
     blocks = rows.groupBy("block").agg(F.sum("n_docs").alias("d"), F.sum("t").alias("t"))
-    after = Window.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)  # one row per `block` lengths
+    after = Window.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)  # one row per block
     beyond = blocks.select("block", F.coalesce(F.sum("d").over(after), F.lit(0)).alias("d_after"), F.coalesce(F.sum("t").over(after), F.lit(0)).alias("t_after"))
     total = blocks.agg(F.sum("d").alias("all_docs"), F.sum("t").alias("all_tokens"))
     inside = Window.partitionBy("block").orderBy(F.desc("n_tokens")).rowsBetween(Window.unboundedPreceding, 0)

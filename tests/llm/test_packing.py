@@ -118,7 +118,7 @@ def test_packing_empty_and_repeats(spark):
     assert sorted((r.doc_id or 0, r.length, r.offset) for r in got) == [(0, 1, 6), (1, 3, 0), (1, 3, 3)]
 
 
-@pytest.mark.parametrize("block", [1024, 5])
+@pytest.mark.parametrize("block", [None, 1024, 5])
 def test_histogram_against_brute_force(spark, block):
     docs = texts() + ["a b", "a b"]
     df = spark.createDataFrame([(i, t, 1) for i, t in enumerate(docs)], SCHEMA).repartition(4)
