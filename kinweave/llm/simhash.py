@@ -213,8 +213,9 @@ def _classes(prints: DataFrame, max_bits: int, blocks: int | None, max_trie: int
     """(fp, component_id) of every fingerprint."""
     distinct = materialize(prints.groupBy("fp").agg(F.min("doc").alias("first")), "distinct-fingerprints")
     comps = connected_components(links(distinct.select("fp"), max_bits, blocks, max_trie), local_edges=0)
-    rooted = distinct.join(comps, distinct.fp == comps.id, "left").select("fp", "first", F.coalesce("comp", "fp").alias("comp"))
-    smallest = rooted.groupBy("comp").agg(F.min("first").alias("component_id"))
+    rooted = materialize(distinct.join(comps, distinct.fp == comps.id, "left").select("fp", "first", F.coalesce("comp", "fp").alias("comp")), "near-roots")
+    # written first, so that the join may split a large component
+    smallest = materialize(rooted.groupBy("comp").agg(F.min("first").alias("component_id")), "near-first")
     return rooted.join(smallest, "comp").select("fp", "comp", "component_id")
 
 
@@ -236,7 +237,7 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_bi
     rows = prints.groupBy("fp", "doc", "tie").agg(F.count(F.lit(1)).alias("copies"))
     rows = materialize(rows.join(_classes(prints, max_bits, blocks, max_trie).select("fp", "comp"), "fp"), "near-classes")
     rank = F.struct(F.col("doc").isNull(), "doc", "tie")
-    best = rows.groupBy("comp").agg(F.min(rank).alias("best"))
+    best = materialize(rows.groupBy("comp").agg(F.min(rank).alias("best")), "near-best")
     decided = materialize(rows.join(best, "comp").select("doc", "tie", "copies", rank.eqNullSafe(F.col("best")).alias("stays")), "near-decided")
 
     hidden = {c: f"d_{i}" for i, c in enumerate(docs.columns)}
