@@ -47,6 +47,11 @@ def test_anchor_counts(spark):
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
 
+def test_anchor_of_one_threshold(spark):
+    found = catalogue.queries()["propagate_max_iter_merge"](spark, "/root/testdata/sf0.01").groupBy("comp").count()
+    assert (found.count(), found.agg({"count": "max"}).first()[0]) == (119, 311)
+
+
 def test_entry_works_without_the_corpus_operators(tmp_path):
     """The entry, as it is, beside a library from which the corpus operators are gone."""
     here = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
