@@ -204,15 +204,15 @@ class Model:
         order = np.argsort(cls, kind="stable")
         used, cls = used[order], cls[order]
         edges = np.searchsorted(cls, np.arange(self.classes + 1))
-        top, rows = states[used], np.arange(len(used))
-        of_class, logs = _shares(top @ w.wc + w.bc, rows, cls, keep)
+        top, rows = np.ones((len(used), self.h + 1), states.dtype), np.arange(len(used))  # the last column meets the biases
+        top[:, :-1] = states.take(used, axis=0)
+        of_class, logs = _shares(top @ np.vstack([w.wc, w.bc]), rows, cls, keep)
         known = int(edges[-1])
         word = target[used[:known]] % self.width
-        logits = np.empty((known, self.width), top.dtype)
+        logits, by_class = np.empty((known, self.width), top.dtype), np.concatenate([w.ww, w.bw[:, None]], axis=1)
         for k in range(self.classes):
             a, b = edges[k], edges[k + 1]
-            np.matmul(top[a:b], w.ww[k], out=logits[a:b])
-            logits[a:b] += w.bw[k]
+            np.matmul(top[a:b], by_class[k], out=logits[a:b])
         of_word, more = _shares(logits, rows[:known], word, keep)
         logs[:known] += more
         found = np.zeros(len(target))
@@ -226,12 +226,14 @@ class Model:
         steps, n = x.shape
         d_class[rows, cls] -= 1
         d_word[rows[:len(word)], word] -= 1
-        g.wc[:], g.bc[:] = top.T @ d_class, d_class.sum(0)
+        d_class_weights = top.T @ d_class
+        g.wc[:], g.bc[:] = d_class_weights[:-1], d_class_weights[-1]
         d_top = d_class @ w.wc.T
         for k in range(self.classes):
             a, b = edges[k], edges[k + 1]
             if b > a:
-                g.ww[k], g.bw[k] = top[a:b].T @ d_word[a:b], d_word[a:b].sum(0)
+                d_weights = top[a:b].T @ d_word[a:b]
+                g.ww[k], g.bw[k] = d_weights[:-1], d_weights[-1]
                 d_top[a:b] += d_word[a:b] @ w.ww[k].T
         d_after = np.zeros((total, h), top.dtype)
         d_after[used] = d_top
