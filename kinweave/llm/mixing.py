@@ -37,6 +37,8 @@ BLOCK_DOCS = 8
 RESOLUTION = 64
 RANK_ROWS = 50_000
 RANGE_BLOCKS = 1 << 16
+#: Rows of a period (of some 50 bytes) that go to every task; longer ones are joined.
+BROADCAST_ROWS = 500_000
 _NONE = "\u0000"
 _ADDED = ("block", "release", "deadline", "slot", "position")
 
@@ -116,8 +118,10 @@ def _ranked(docs: DataFrame, doc_id: str, text: str, source: str, weights: dict[
 
 def _slotted(rows: DataFrame, period: DataFrame) -> DataFrame:
     """``rows`` (src, block) with release, deadline, slot; the period has at most resolution * sources rows."""
-    per = period.groupBy("src").agg(F.max("weight").alias("weight"), F.max("period").alias("period"))
+    per = period.filter("turn = 0").select("src", "weight", "period")
     turns = period.select("src", "turn", F.col("slot").alias("in_period"))
+    if period.count() <= BROADCAST_ROWS:
+        per, turns = F.broadcast(per), F.broadcast(turns)
     return (
         rows.join(per, "src").withColumn("turn", F.col("block") % F.col("weight")).join(turns, ["src", "turn"])
         .withColumns({
