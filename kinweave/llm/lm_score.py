@@ -46,8 +46,8 @@ from kinweave.sources.shared import materialize
 
 HEAD_WORDS = 262_144
 HEAD_BYTES = 64
-CLASSES = 64
-WIDTH = 64
+CLASSES = 48
+WIDTH = 48
 EMBED = 16
 STATE = 32
 ROUNDS = 2
