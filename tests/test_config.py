@@ -118,7 +118,13 @@ def test_shared_folder_needs_a_name_off_local_masters(spark, monkeypatch):
 
     with pytest.raises(RuntimeError, match="checkpoint"):
         shared.shared_dir(Other())
-    first = shared.written(spark)
-    for i in range(3):
-        shared.materialize(spark.range(i + 1), "t")
-    assert shared.release(spark, first, first + 2) == 2 and shared.written(spark) == first + 1
+    outside = shared.materialize(spark.range(9), "t")
+    with shared.recorded() as paths:
+        tables = [shared.materialize(spark.range(i + 1), "t") for i in range(3)]
+        with shared.recorded() as inner:
+            tables.append(shared.materialize(spark.range(4), "t"))
+    assert [t.kinweave_path for t in tables] == paths and paths[3:] == inner
+    assert shared.release(spark, paths[:2]) == 2 and shared.release(spark, paths[:3]) == 1  # what is gone does not count
+    assert tables[3].count() == 4 and outside.count() == 9
+    shared.discard(tables[3], outside)
+    assert shared.release(spark, paths) == 0
