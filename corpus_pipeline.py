@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from kinweave.llm import line_dedup, mixing, packing, quality, simhash
 from kinweave.llm.queries import TOKENIZER
-from kinweave.sources.shared import materialize, release, written
+from kinweave.sources.shared import materialize, recorded, release
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,14 +56,14 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of ``sf_dir``; what only an ended stage needed is deleted."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    kept = 0  # tables of ours: the last stage's result
+    kept: list[str] = []  # the last stage's result
     for i, (name, stage) in enumerate(STAGES):
-        before = written(spark)
-        docs = stage(spark, docs, sf_dir)
-        if i + 1 < len(STAGES):
-            docs = materialize(docs, name.replace(" ", "-"))
-            release(spark, before - kept, written(spark) - 1)
-            kept = 1
+        with recorded() as paths:
+            docs = stage(spark, docs, sf_dir)
+            if i + 1 < len(STAGES):
+                docs = materialize(docs, name.replace(" ", "-"))
+                release(spark, kept + paths[:-1])
+                kept = paths[-1:]
     return docs
 
 
