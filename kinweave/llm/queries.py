@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinweave.llm import licenses, line_dedup, lm_score, media, mixing, packing, quality, simhash, token_counts, toxicity
+from kinweave.llm import chat, delta_lloyd, licenses, line_dedup, lm_score, media, mixing, packing, phrases, quality, simhash, token_counts, toxicity
 
 #: A bare name: every worker looks up its own file.
 TOKENIZER = "byte_bpe_50k.json"
@@ -58,13 +58,28 @@ def op10_license_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_delta_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = delta_lloyd.quantise(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    return delta_lloyd.cluster_digests(delta_lloyd.delta_lloyd(vectors), vectors)
+
+
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.top_collocations(_table(spark, sf_dir, "documents").select("lang", "text"))
+
+
+def op13_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = chat.with_hostile(_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+    return chat.read_back(chat.windows(turns, TOKENIZER))
+
+
 def queries() -> dict:
     all_ = (
         op1_toxicity_chain, op2_quality_crf, op3_simhash_trie, op4_bm25_packing, op5_media_sniffing,
         op6_line_dedup, op7_token_histogram, op8_pfair_mixing, op9_gru_scores, op10_license_sentences,
+        op11_delta_lloyd, op12_phrases, op13_chat_windows,
     )
     return {f.__name__: f for f in all_}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_line_dedup": line_dedup.ORACLE, "op8_pfair_mixing": mixing.ORACLE}
+    return {"op6_line_dedup": line_dedup.ORACLE, "op8_pfair_mixing": mixing.ORACLE, "op11_delta_lloyd": delta_lloyd.ORACLE, "op12_phrases": phrases.ORACLE}
