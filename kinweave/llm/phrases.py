@@ -38,7 +38,7 @@ from pyspark.sql.window import Window
 from kinweave.llm.arrow import unsliced
 from kinweave.sources.shared import materialize
 
-SHARD_WORDS = 1 << 21
+SHARD_WORDS = 1 << 19
 SLICE_BYTES = 4 << 20
 MOST_BITS = 1 << 29
 SEPARATORS = ".,;:!?\n\x0b\x0c\r"
