@@ -35,11 +35,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from kinweave.llm.arrow import unsliced
+from kinweave.llm.arrow import slices, unsliced
 from kinweave.sources.shared import materialize
 
-SHARD_WORDS = 1 << 19
-SLICE_BYTES = 4 << 20
+SHARD_WORDS = 1 << 18
+SLICE_BYTES = 1 << 20
 MOST_BITS = 1 << 29
 SEPARATORS = ".,;:!?\n\x0b\x0c\r"
 _COUNTS = "lang string, phrase string, f long"
@@ -211,15 +211,18 @@ def _count_batches(low: int, high: int, shard_words: int, bitmap=None):
         bits = None if bitmap is None else bitmap.value
         shard = _Shard()
         for batch in batches:
-            langs = batch.column(0).dictionary_encode()
-            index, names = langs.indices.to_numpy(), langs.dictionary.to_pylist()
-            for row, data, starts in _slices(batch.column(1)):
-                words, piece, at = _words(data, starts)
-                shard.add(words, piece, index[row + at], names)
-                if shard.size >= shard_words:
-                    for found in shard.counts(low, high, bits):
-                        yield from _split(found)
-                    shard = _Shard()
+            for part in slices(batch, 1):
+                langs = part.column(0).dictionary_encode()
+                index, names = langs.indices.to_numpy(), langs.dictionary.to_pylist()
+                for row, data, starts in _slices(part.column(1)):
+                    words, piece, at = _words(data, starts)
+                    shard.add(words, piece, index[row + at], names)
+                    del words, piece, at, data
+                    if shard.size >= shard_words:
+                        for found in shard.counts(low, high, bits):
+                            yield from _split(found)
+                        shard = _Shard()
+                        pa.default_memory_pool().release_unused()
         if shard.size:
             for found in shard.counts(low, high, bits):
                 yield from _split(found)
