@@ -1,22 +1,14 @@
-"""Density clustering: DBSCAN on radius or neighbour graphs, single linkage, HDBSCAN."""
+"""Density clustering on radius or neighbour graphs: DBSCAN and single linkage."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinweave.functions.forest import min_roots
 from kinweave.operators.components import connected_components
-from kinweave.operators.neighbours import floor_graph, knn, radius_counts, radius_links
+from kinweave.operators.neighbours import floor_graph, radius_counts, radius_links
 from kinweave.sources.shared import materialize
 
-#: Edges that one task may hold for a spanning tree.
-TREE_EDGES = 10_000_000
-
 
 def dbscan_edges(ids: DataFrame, edges: DataFrame, min_samples: int) -> DataFrame:
     """(id, comp, core) of every id over directed edges (id, nbr) that include self; comp is null for noise.
@@ -65,141 +57,3 @@ def single_linkage(df: DataFrame, cut: float, id_col: str = "id", vec: str = "em
     """(id, comp): single-linkage clusters at distance ``cut``, which are the components of the graph d <= cut."""
     found = connected_components(radius_links(df, df.select(F.col(id_col).cast("long").alias("id")).distinct(), cut, metric, id_col, vec), "id", "nbr")
     return df.select(F.col(id_col).cast("long").alias("id")).join(found, "id", "left").select("id", F.coalesce("comp", "id").alias("comp"))
-
-
-def spanning_forest(a: np.ndarray, b: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """Places of a minimum spanning forest's edges, in order of (w, a, b).
-
-    Every component takes its first edge to another one until none is left.
-    """
-    order = np.lexsort((b, a, w))
-    nodes, ends = np.unique(np.concatenate([a[order], b[order]]), return_inverse=True)
-    u, v, place = ends[: len(order)], ends[len(order):], np.arange(len(order))
-    parent, kept = np.arange(len(nodes)), np.zeros(len(order), dtype=bool)
-    while len(place):
-        best = np.full(len(nodes), len(order))
-        np.minimum.at(best, u, place)
-        np.minimum.at(best, v, place)
-        taken = np.isin(place, best)
-        kept[place[taken]] = True
-        linked, roots = min_roots(u[taken], v[taken])
-        parent[linked] = roots
-        u, v = parent[u], parent[v]
-        open_ = u != v
-        u, v, place = u[open_], v[open_], place[open_]
-    return order[kept]
-
-
-def condensed_clusters(a: np.ndarray, b: np.ndarray, w: np.ndarray, min_size: int) -> tuple[np.ndarray, np.ndarray]:
-    """(id, cluster) of each id that is not noise: the stablest clusters of the condensed tree, named by their smallest member.
-
-    The edges are a spanning forest's, in order of weight.
-    """
-    ids, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
-    n = len(ids)
-    size, kids, weight = [1] * n, [None] * n, [0.0] * n
-    owner, top = list(range(n)), list(range(n))  # of sets of leaves
-
-    def find(i: int) -> int:
-        while owner[i] != i:
-            owner[i] = owner[owner[i]]
-            i = owner[i]
-        return i
-
-    inner_nodes = set()
-    for i, j, x in zip(ends[: len(a)].tolist(), ends[len(a):].tolist(), w.tolist()):
-        i, j = find(i), find(j)
-        inner_nodes.discard(top[i])
-        inner_nodes.discard(top[j])
-        kids.append((top[i], top[j]))
-        size.append(size[top[i]] + size[top[j]])
-        weight.append(x)
-        owner[j], top[i] = i, len(size) - 1
-        inner_nodes.add(len(size) - 1)  # what is left are the roots
-
-    def leaves(node: int) -> list[int]:
-        out, stack = [], [node]
-        while stack:
-            node = stack.pop()
-            if kids[node] is None:
-                out.append(node)
-            else:
-                stack += kids[node]
-        return out
-
-    def walked(node: int, birth: float) -> tuple[float, list[tuple[int, float]]]:
-        """(stability of a cluster that begins at density ``birth``, the two clusters it splits into with their births)."""
-        stability = 0.0
-        while kids[node] is not None:
-            density = 1 / max(weight[node], 1e-12)
-            big = [k for k in kids[node] if size[k] >= min_size]
-            if len(big) == 2:
-                return stability + size[node] * (density - birth), [(k, density) for k in big]
-            stability += sum(size[k] for k in kids[node] if size[k] < min_size) * (density - birth)
-            if not big:
-                break
-            node = big[0]
-        return stability, []
-
-    # every cluster comes after the one it splits from
-    found = [[root, 0.0, None] for root in sorted(inner_nodes) if size[root] >= min_size]
-    for at, (node, birth, _) in enumerate(found):  # grows while it is read
-        stability, parts = walked(node, birth)
-        found[at] += [stability, bool(parts)]
-        found += [[part, density, at] for part, density in parts]
-    inside = [0.0] * len(found)
-    split = [False] * len(found)
-    for at in range(len(found) - 1, -1, -1):
-        _, _, parent, stability, parts = found[at]
-        split[at] = parts and inside[at] > stability
-        if parent is not None:
-            inside[parent] += inside[at] if split[at] else stability
-    members, names, covered = [], [], [False] * len(found)
-    for at, (node, _, parent, _, _) in enumerate(found):
-        covered[at] = parent is not None and (covered[parent] or not split[parent])
-        if not split[at] and not covered[at]:
-            one = ids[leaves(node)]
-            members.append(one)
-            names.append(np.full(len(one), one.min()))
-    if not members:
-        return ids[:0], ids[:0]
-    return np.concatenate(members), np.concatenate(names)
-
-
-def hdbscan(df: DataFrame, min_size: int, min_samples: int | None = None, graph_k: int = 50, id_col: str = "id", vec: str = "embedding", metric: str = "l2", tree_edges: int = TREE_EDGES) -> DataFrame:
-    """(id, comp): HDBSCAN over the mutual-reachability graph of each row's ``graph_k`` nearest (null: noise).
-
-    With ``graph_k`` at or above the number of rows the spanning tree is exact.
-    Tasks reduce up to ``tree_edges`` edges each to a spanning forest, round
-    after round, until one of them holds all. A forest has an edge per row, so
-    every round halves the edges at least if there are at most ``tree_edges`` / 4
-    rows; more are refused.
-    """
-    samples = min_samples or min_size
-    lists = materialize(knn(df, max(graph_k, samples), metric, id_col, vec), "hdbscan-knn")
-    core = lists.groupBy("id").agg(F.max(F.when(F.col("rank") <= samples, F.col("dist"))).alias("core"))
-    rows = core.count()
-    if rows > tree_edges // 4:
-        raise ValueError(f"{rows} rows; tree_edges allows {tree_edges // 4}")
-    edges = lists.filter("id <> nbr").groupBy(F.least("id", "nbr").alias("a"), F.greatest("id", "nbr").alias("b")).agg(F.min("dist").alias("dist"))
-    edges = edges.join(core.select(F.col("id").alias("a"), F.col("core").alias("ca")), "a").join(core.select(F.col("id").alias("b"), F.col("core").alias("cb")), "b")
-    edges = materialize(edges.select("a", "b", F.greatest("dist", "ca", "cb").alias("w")), "reachability")
-
-    def gathered(batches: Iterator[pd.DataFrame]) -> pd.DataFrame:
-        parts = list(batches)
-        return pd.concat(parts, ignore_index=True) if parts else pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64), "w": np.zeros(0)})
-
-    def reduce(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        part = gathered(batches)
-        yield part.iloc[spanning_forest(part.a.to_numpy(), part.b.to_numpy(), part.w.to_numpy())]
-
-    def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        part = gathered(batches)
-        part = part.iloc[spanning_forest(part.a.to_numpy(), part.b.to_numpy(), part.w.to_numpy())]
-        ids, comps = condensed_clusters(part.a.to_numpy(), part.b.to_numpy(), part.w.to_numpy(), min_size)
-        yield pd.DataFrame({"id": ids, "comp": comps})
-
-    while (n := edges.count()) > tree_edges:
-        edges = materialize(edges.repartition(-(-n // tree_edges), "a", "b").mapInPandas(reduce, "a long, b long, w double"), "spanning-forests")
-    found = edges.coalesce(1).mapInPandas(build, "id long, comp long")
-    return df.select(F.col(id_col).cast("long").alias("id")).join(found, "id", "left")

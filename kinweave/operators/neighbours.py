@@ -15,6 +15,9 @@ each in the task of that part. Where ``probes`` is not
 given, it is the least number with which ``QUERY_ROWS`` rows find ``RECALL`` of
 their exact neighbours among all rows.
 
+``descent`` (refined neighbour lists) and ``kd`` (randomised trees) are the forms of
+``kinweave.operators.ann``.
+
 Rank counts from 1 and includes the vector itself; ties go to the smaller id.
 Zero or null vectors, and ones with NaN, take no part.
 """
@@ -154,9 +157,10 @@ def _pair_batches(compare: Callable):
     return run
 
 
-def _compared(rows: DataFrame, compare: Callable, block_rows: int | None, broadcast_bytes: int) -> tuple[DataFrame, bool]:
-    """(lists, whether each list is already final)."""
+def _compared(rows: DataFrame, compare: Callable, block_rows: int | None, broadcast_bytes: int, queries: DataFrame | None = None) -> tuple[DataFrame, bool]:
+    """(lists, whether each list is already final) of ``queries``, by default all, against ``rows``."""
     size = rows.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("v")).alias("values"), F.count_distinct(F.size("v")).alias("widths")).first()
+    asking = rows if queries is None else queries
     if size.n == 0:
         return rows.select("id", F.lit(0).alias("rank"), F.col("id").alias("nbr"), F.lit(0.0).alias("dist")), True
     if size.widths != 1:
@@ -164,11 +168,12 @@ def _compared(rows: DataFrame, compare: Callable, block_rows: int | None, broadc
     if size["values"] * 8 <= broadcast_bytes:
         table = rows.orderBy("id").toArrow()
         base_ids, base = table.column(0).to_numpy(), _matrix(table.column(1).combine_chunks())
-        return rows.mapInArrow(_against(base_ids, base, compare), _LIST), True
+        return asking.mapInArrow(_against(base_ids, base, compare), _LIST), True
     block_rows = block_rows or max(1, BLOCK_BYTES // max(8 * (size["values"] // size.n), 1))
     blocks = materialize(_blocks(rows, size.n, block_rows), "vector-blocks")
+    asked = blocks if queries is None else materialize(_blocks(queries, max(1, queries.count()), block_rows), "vector-blocks")
     count = -(-size.n // block_rows)
-    left = blocks.select("ids", "vs", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long"))).alias("block"))
+    left = asked.select("ids", "vs", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long"))).alias("block"))
     right = blocks.select("block", F.col("ids").alias("base_ids"), F.col("vs").alias("base_vs"))
     pairs = left.join(right, "block").select("ids", "vs", "base_ids", "base_vs")
     return pairs.mapInArrow(_pair_batches(compare), _LIST), False
@@ -194,6 +199,12 @@ def knn(
     rows = _plain(df, id_col, vec, metric)
     if strategy == "ivf":
         lists = _cut(_ivf(rows, k, metric, cells, probes, block_rows), k)
+    elif strategy in ("descent", "kd"):
+        from kinweave.operators import ann
+
+        lists = ann.descent(rows, k, metric) if strategy == "descent" else ann.kd_forest(rows, k, metric)
+    elif strategy != "exact":
+        raise ValueError(f"unknown strategy {strategy!r}")
     else:
         lists, final = _compared(rows, lambda i, x, j, y: _nearest(i, x, j, y, k, metric), block_rows, broadcast_bytes)
         lists = lists if final else _cut(lists, k)
@@ -313,7 +324,11 @@ def _ivf(rows: DataFrame, k: int, metric: str, cells: int | None, probes: int |
 
     kind = rows.schema["v"].dataType.simpleString()
     probed = materialize(rows.mapInArrow(probe, f"id long, v {kind}, cells array<long>"), "ivf")
-    home = probed.select("id", "v", F.col("cells")[0].alias("cell"))
+    return cell_lists(probed.select("id", "v", F.col("cells")[0].alias("cell")), probed.select("id", "v", F.explode("cells").alias("cell")), k, metric, block_rows)
+
+
+def cell_lists(home: DataFrame, asking: DataFrame, k: int, metric: str, block_rows: int = TILE_ROWS) -> DataFrame:
+    """Short lists of the vectors ``asking`` (id, v, cell) among those at ``home`` in the same cell; every part of a cell meets its queries in a task of its own."""
     sizes = home.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).withColumn("parts", F.ceil(F.col("n") / block_rows))
     sizes = materialize(sizes, "ivf-cells")  # one row per cell
 
@@ -322,9 +337,9 @@ def _ivf(rows: DataFrame, k: int, metric: str, cells: int | None, probes: int |
         grouped = salted.groupBy("cell", "part").agg(F.array_sort(F.collect_list(F.struct("id", "v"))).alias("m"))
         return grouped.select("cell", "part", F.col("m.id").alias(f"{name}ids"), F.flatten("m.v").alias(f"{name}vs"))
 
-    asking = packed(probed.select("id", "v", F.explode("cells").alias("cell")), "").drop("part")
-    asking = asking.join(F.broadcast(sizes.select("cell", "parts")), "cell").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    pairs = asking.join(packed(home, "base_"), ["cell", "part"]).select("ids", "vs", "base_ids", "base_vs")
+    asked = packed(asking, "").drop("part")
+    asked = asked.join(F.broadcast(sizes.select("cell", "parts")), "cell").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    pairs = asked.join(packed(home, "base_"), ["cell", "part"]).select("ids", "vs", "base_ids", "base_vs")
     return pairs.mapInArrow(_pair_batches(lambda i, x, j, y: _nearest(i, x, j, y, k, metric)), _LIST)
 
 

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from kinweave.functions.vectors import METRICS
 from kinweave.operators import centroids, density, evaluate, labels, mediator, pairs, transform
+from kinweave.operators.hdbscan import hdbscan
+from kinweave.operators.linkage import agglomerate
 from kinweave.operators.neighbours import knn
 from kinweave.operators.propagate import propagate
 from kinweave.operators.rank_order import rank_order_clusters
@@ -114,7 +116,8 @@ def run_config(
             make = lambda: pairs.pair_set(found[config.base], {m: found[m] for m in config.committee}, ordered, config.base, labelled, config.inputs)
             return kept(f"pair-set-{phase}", config.key(*graph, "inputs"), make)
 
-        path = cache and f"{cache.rstrip('/')}/mediator-{config.key(*graph, 'inputs')}"
+        learnt = ("learning", "epochs", "lr") if config.learning == "sgd" else ()
+        path = cache and f"{cache.rstrip('/')}/mediator-{config.key(*graph, 'inputs', *learnt)}"
         if path and not config.force_retrain and files.exists(spark, f"{path}/metadata"):
             log.info("mediator found: %s", path)
             model = mediator.load(path)
@@ -123,7 +126,13 @@ def run_config(
                 raise ValueError("mediator needs a labelled set")
             train_set = pair_set(train_features, lists_of(train_features, "train"), "train", train_truth)
             with timed("mediator"):
-                if config.validate:
+                if config.learning == "sgd":
+                    out = F.pmod(F.xxhash64("a", "b"), F.lit(1 << 20)) < int(config.validate * (1 << 20))
+                    model, trace = mediator.train_sgd(train_set.filter(~out), columns, epochs=config.epochs, lr=config.lr)
+                    log.info("mediator, loss by epoch: %s", trace)
+                    if config.validate:
+                        log.info("mediator: %s", mediator.validate(model, train_set.filter(out), config.th).first().asDict())
+                elif config.validate:
                     out = F.pmod(F.xxhash64("a", "b"), F.lit(1 << 20)) < int(config.validate * (1 << 20))
                     model, history = mediator.train_rounds(train_set.filter(~out), train_set.filter(out), columns, config.th)
                     for i, metrics in enumerate(history):
@@ -150,17 +159,23 @@ def baseline(method: str, df: DataFrame, id_col: str = "id", vec: str = "embeddi
     df = transform.unit_rows(df) if unit else df
     clusters = o.get("clusters", 8)
     lists = lambda: materialize(knn(df, o.get("k", 15)), "knn")
+
+    def fast_hac() -> DataFrame:
+        """Linkage over all pairs, cut at a height."""
+        cut, linkage = o.get("cut", 0.7), o.get("linkage", "single")
+        return _numbered(density.single_linkage(df, cut) if linkage == "single" else agglomerate(df, method=linkage, k=None, height=cut))
+
     methods = {
         "kmeans": lambda: centroids.kmeans(df, clusters)[0],
         "mini_batch_kmeans": lambda: centroids.minibatch_kmeans(df, clusters),
         "spectral": lambda: centroids.spectral(lists(), clusters),
-        "hac": lambda: centroids.bisecting(df, clusters),
+        "hac": lambda: _numbered(agglomerate(df, clusters, o.get("linkage", "ward"), o.get("k", 30), o.get("metric", "l2"))),
         "birch": lambda: centroids.bisecting(df, clusters),
         "gmm": lambda: centroids.gaussian_mixture(df, clusters),
-        "fast_hac": lambda: _numbered(density.single_linkage(df, o.get("cut", 0.7))),
+        "fast_hac": fast_hac,
         "dbscan": lambda: _numbered(density.dbscan(df, o.get("eps", 0.75), o.get("min_samples", 10))),
         "knn_dbscan": lambda: _numbered(density.knn_dbscan(lists(), o.get("eps", 0.75), o.get("min_samples", 10), o.get("least", 0.7))),
-        "hdbscan": lambda: _numbered(density.hdbscan(df, o.get("min_size", 10), o.get("min_samples"))),
+        "hdbscan": lambda: _numbered(hdbscan(df, o.get("min_size", 10), o.get("min_samples"))),
         "aro": lambda: _numbered(rank_order_clusters(lists(), o.get("th", 2.0))),
         "affinity_propagation": lambda: centroids.affinity_propagation(df, o.get("damping", 0.5), o.get("preference")),
         "mean_shift": lambda: centroids.mean_shift(df, o.get("bandwidth"), o.get("quantile", 0.3)),

@@ -35,6 +35,9 @@ class Config:
     max_sz: int = 600
     step: float = 0.05
     max_iter: int = 100
+    learning: str = "lbfgs"  # of the mediator: lbfgs (spark.ml's perceptron) or sgd (a ReLU network by minibatches)
+    epochs: int = 2  # of sgd
+    lr: float = 1e-3
     force_retrain: bool = False  # also where a trained mediator is kept
     validate: float = 0.0  # share of the labelled pairs held out to report on the mediator
 

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kinweave.functions import vectors
-from kinweave.operators import centroids, density, neighbours, rank_order, transform
+from kinweave.operators import centroids, density, neighbours, rank_order, spanning, transform
 from kinweave.sources import toys
 
 METRICS = ["cosine", "l1", "l2", "linf", "angular", "hamming"]
@@ -90,28 +90,16 @@ def plain_dbscan(x, eps, least):
     return [comp[i] if core[i] else min([comp[j] for j in np.flatnonzero(near[i] & core)], default=None) for i in range(len(x))], core.tolist()
 
 
-def test_dbscan_single_linkage_and_hdbscan(spark):
+def test_dbscan_and_single_linkage(spark):
     x, df = data(spark, 80, 2)
     comp, core = plain_dbscan(x, 0.35, 4)
     got = {r.id: (r.comp, r.core) for r in density.dbscan(df, 0.35, 4).collect()}
     assert got == {i: (comp[i], core[i]) for i in range(len(x))}
     link, _ = plain_dbscan(x, 0.3, 1)
     assert {r.id: r.comp for r in density.single_linkage(df, 0.3).collect()} == dict(enumerate(link))
-    blobs = toys.blobs(spark, 150, deviations=(0.5, 0.5, 0.5))
-    truth = {r.id: r.label for r in blobs.collect()}
-    found = {r.id: r.comp for r in density.hdbscan(blobs, 10, graph_k=150).collect()}
-    groups = {}
-    for i, c in found.items():
-        if c is not None:
-            groups.setdefault(c, set()).add(truth[i])
-    assert len(groups) == 3 and all(len(g) == 1 for g in groups.values()) and sum(c is None for c in found.values()) < 40
-    with pytest.raises(ValueError):
-        density.hdbscan(blobs, 10, graph_k=20, tree_edges=10)
-    rounds = {r.id: r.comp for r in density.hdbscan(blobs, 10, graph_k=150, tree_edges=700).collect()}  # of 11,175 edges
-    assert rounds == found
 
 
-def test_spanning_forest_and_deep_trees():
+def test_spanning_forest():
     r = np.random.default_rng(6)
     for n, m in ((2, 1), (30, 60), (80, 400), (50, 30)):
         a, b = r.integers(0, n, m), r.integers(0, n, m)
@@ -130,13 +118,8 @@ def test_spanning_forest_and_deep_trees():
             x, y = find(int(a[k])), find(int(b[k]))
             if x != y:
                 parent[x], want, count = y, want + w[k], count + 1
-        got = density.spanning_forest(a, b, w)
+        got = spanning.spanning_forest(a, b, w)
         assert len(got) == count and w[got].sum() == want and (np.diff(w[got]) >= 0).all()
-    n = 20_000  # a chain of single rows falling off, far deeper than the recursion limit
-    ids, comps = density.condensed_clusters(np.arange(n), np.arange(1, n + 1), np.linspace(1, 2, n), 5)
-    assert len(ids) == n + 1 and set(comps) == {0}
-    none, _ = density.condensed_clusters(np.array([0]), np.array([1]), np.array([1.0]), 5)
-    assert len(none) == 0
 
 
 def test_rank_order_fixtures(spark):
