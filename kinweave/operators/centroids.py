@@ -1,15 +1,9 @@
-"""Clusterings around centres and by affinity, from spark.ml and small local kernels.
-
-Substitutes where spark.ml has no equal: mini-batch k-means updates centres from
-successive samples; spectral is power iteration on the neighbour graph; Ward,
-average linkage and Birch are bisecting k-means. Affinity propagation and mean
-shift are kernels for toy sizes and refuse more than ``MOST_ROWS`` rows.
-"""
+"""Clusterings around centres from spark.ml, and mini-batch k-means, whose centres follow successive samples."""
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.ml.clustering import BisectingKMeans, GaussianMixture, KMeans, PowerIterationClustering
+from pyspark.ml.clustering import BisectingKMeans, GaussianMixture, KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,7 +11,6 @@ from pyspark.sql import functions as F
 from kinweave.functions.vectors import doubles
 from kinweave.operators.neighbours import _distances, _matrix, _plain
 
-MOST_ROWS = 5000
 BATCH_ROWS = 10_000
 
 
@@ -46,13 +39,6 @@ def gaussian_mixture(df: DataFrame, clusters: int, id_col: str = "id", vec: str
     return _labels(GaussianMixture(k=clusters, seed=seed).fit(rows).transform(rows))
 
 
-def spectral(lists: DataFrame, clusters: int, max_iter: int = 20) -> DataFrame:
-    """Power iteration on the symmetrised neighbour graph (similarities 1 - dist above 0)."""
-    edges = lists.filter("id <> nbr and dist < 1").groupBy(F.least("id", "nbr").alias("src"), F.greatest("id", "nbr").alias("dst")).agg(F.max(1 - F.col("dist")).alias("weight"))
-    found = PowerIterationClustering(k=clusters, maxIter=max_iter, weightCol="weight").assignClusters(edges)
-    return found.select("id", F.col("cluster").cast("int").alias("label"))
-
-
 def minibatch_kmeans(df: DataFrame, clusters: int, id_col: str = "id", vec: str = "embedding", batch_rows: int = BATCH_ROWS, steps: int = 20, seed: int = 0) -> DataFrame:
     """Centres move towards successive batches of about ``batch_rows`` rows, then every row is assigned."""
     rows = _plain(df, id_col, vec, "l2")
@@ -83,60 +69,3 @@ def minibatch_kmeans(df: DataFrame, clusters: int, id_col: str = "id", vec: str
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(near, pa.int32())], ["id", "label"])
 
     return rows.mapInArrow(assign, "id long, label int")
-
-
-def _small(df: DataFrame, id_col: str, vec: str, most: int) -> tuple[np.ndarray, np.ndarray]:
-    table = _plain(df, id_col, vec, "l2").orderBy("id").limit(most + 1).toArrow()
-    if table.num_rows > most:
-        raise ValueError(f"more than {most} rows; this kernel is for toy sizes")
-    return table.column(0).to_numpy(), _matrix(table.column(1).combine_chunks())
-
-
-def affinity_propagation(df: DataFrame, damping: float = 0.5, preference: float | None = None, id_col: str = "id", vec: str = "embedding", max_iter: int = 200, most: int = MOST_ROWS) -> DataFrame:
-    ids, x = _small(df, id_col, vec, most)
-    s = -_distances(x, x, "l2") ** 2
-    n = len(s)
-    s[np.arange(n), np.arange(n)] = np.median(s) if preference is None else preference
-    r, a = np.zeros((n, n)), np.zeros((n, n))
-    for _ in range(max_iter):
-        both = a + s
-        best = both.argmax(1)
-        first = both[np.arange(n), best]
-        both[np.arange(n), best] = -np.inf
-        new = s - first[:, None]
-        new[np.arange(n), best] = s[np.arange(n), best] - both.max(1)
-        r = damping * r + (1 - damping) * new
-        p = np.maximum(r, 0)
-        np.fill_diagonal(p, r.diagonal())
-        new = p.sum(0)[None, :] - p
-        own = new.diagonal().copy()
-        new = np.minimum(new, 0)
-        np.fill_diagonal(new, own)
-        a = damping * a + (1 - damping) * new
-    exemplars = np.flatnonzero((a + r).diagonal() > 0)
-    if not len(exemplars):
-        exemplars = np.arange(min(1, n))
-    label = s[:, exemplars].argmax(1)
-    label[exemplars] = np.arange(len(exemplars))
-    return df.sparkSession.createDataFrame([(int(i), int(c)) for i, c in zip(ids, label)], "id long, label int")
-
-
-def mean_shift(df: DataFrame, bandwidth: float | None = None, quantile: float = 0.3, id_col: str = "id", vec: str = "embedding", max_iter: int = 100, most: int = MOST_ROWS) -> DataFrame:
-    """Flat-kernel mean shift; the default bandwidth is the mean distance to the quantile-nearest row."""
-    ids, x = _small(df, id_col, vec, most)
-    if bandwidth is None:
-        bandwidth = float(np.sort(_distances(x, x, "l2"), axis=1)[:, max(1, int(len(x) * quantile)) - 1].mean())
-    modes = x.copy()
-    for _ in range(max_iter):
-        near = _distances(modes, x, "l2") <= bandwidth
-        moved = near @ x / np.maximum(near.sum(1, keepdims=True), 1)
-        if np.allclose(moved, modes, atol=1e-3 * bandwidth):
-            break
-        modes = moved
-    size = (_distances(modes, x, "l2") <= bandwidth).sum(1)
-    centres: list[np.ndarray] = []
-    for i in np.argsort(-size, kind="stable"):
-        if not centres or _distances(modes[i][None], np.array(centres), "l2").min() > bandwidth:
-            centres.append(modes[i])
-    label = _distances(x, np.array(centres), "l2").argmin(1)
-    return df.sparkSession.createDataFrame([(int(i), int(c)) for i, c in zip(ids, label)], "id long, label int")

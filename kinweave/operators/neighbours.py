@@ -125,12 +125,12 @@ def _list_batch(found) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(rank, pa.int32()), pa.array(nbr, pa.int64()), pa.array(dist, pa.float64())], ["id", "rank", "nbr", "dist"])
 
 
-def _against(base_ids: np.ndarray, base: np.ndarray, compare: Callable):
+def _against(base_ids: np.ndarray, base: np.ndarray, compare: Callable, pack: Callable = _list_batch):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, TILE_ROWS):
                 part = batch.slice(at, TILE_ROWS)
-                yield _list_batch(compare(part.column(0).to_numpy(), _matrix(part.column(1)), base_ids, base))
+                yield pack(compare(part.column(0).to_numpy(), _matrix(part.column(1)), base_ids, base))
 
     return run
 
@@ -142,7 +142,7 @@ def _blocks(rows: DataFrame, n: int, block_rows: int) -> DataFrame:
     return packed.select("block", F.col("m.id").alias("ids"), F.flatten("m.v").alias("vs"))
 
 
-def _pair_batches(compare: Callable):
+def _pair_batches(compare: Callable, pack: Callable = _list_batch):
     def matrix(ids: np.ndarray, values: np.ndarray) -> np.ndarray:
         return values.reshape(len(ids), -1)
 
@@ -152,23 +152,23 @@ def _pair_batches(compare: Callable):
                 ids, vs, base_ids, base_vs = (batch.column(c)[i].values.to_numpy() for c in range(4))
                 x, y = matrix(ids, vs), matrix(base_ids, base_vs)
                 for at in range(0, len(ids), TILE_ROWS):
-                    yield _list_batch(compare(ids[at:at + TILE_ROWS], x[at:at + TILE_ROWS], base_ids, y))
+                    yield pack(compare(ids[at:at + TILE_ROWS], x[at:at + TILE_ROWS], base_ids, y))
 
     return run
 
 
-def _compared(rows: DataFrame, compare: Callable, block_rows: int | None, broadcast_bytes: int, queries: DataFrame | None = None) -> tuple[DataFrame, bool]:
+def _compared(rows: DataFrame, compare: Callable, block_rows: int | None, broadcast_bytes: int, queries: DataFrame | None = None, pack: Callable = _list_batch, schema: str = _LIST) -> tuple[DataFrame, bool]:
     """(lists, whether each list is already final) of ``queries``, by default all, against ``rows``."""
     size = rows.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("v")).alias("values"), F.count_distinct(F.size("v")).alias("widths")).first()
     asking = rows if queries is None else queries
     if size.n == 0:
-        return rows.select("id", F.lit(0).alias("rank"), F.col("id").alias("nbr"), F.lit(0.0).alias("dist")), True
+        return rows.sparkSession.createDataFrame([], schema), True
     if size.widths != 1:
         raise ValueError("vectors differ in width")
     if size["values"] * 8 <= broadcast_bytes:
         table = rows.orderBy("id").toArrow()
         base_ids, base = table.column(0).to_numpy(), _matrix(table.column(1).combine_chunks())
-        return asking.mapInArrow(_against(base_ids, base, compare), _LIST), True
+        return asking.mapInArrow(_against(base_ids, base, compare, pack), schema), True
     block_rows = block_rows or max(1, BLOCK_BYTES // max(8 * (size["values"] // size.n), 1))
     blocks = materialize(_blocks(rows, size.n, block_rows), "vector-blocks")
     asked = blocks if queries is None else materialize(_blocks(queries, max(1, queries.count()), block_rows), "vector-blocks")
@@ -176,7 +176,7 @@ def _compared(rows: DataFrame, compare: Callable, block_rows: int | None, broadc
     left = asked.select("ids", "vs", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long"))).alias("block"))
     right = blocks.select("block", F.col("ids").alias("base_ids"), F.col("vs").alias("base_vs"))
     pairs = left.join(right, "block").select("ids", "vs", "base_ids", "base_vs")
-    return pairs.mapInArrow(_pair_batches(compare), _LIST), False
+    return pairs.mapInArrow(_pair_batches(compare, pack), schema), False
 
 
 def _cut(lists: DataFrame, k: int) -> DataFrame:

@@ -8,6 +8,7 @@ in order of id; labels found there are read instead, unless ``--force``.
 from __future__ import annotations
 
 import argparse
+import json
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -63,9 +64,10 @@ def main(arguments: list[str] | None = None) -> None:
     options = {k: _value(v) for k, v in (x.split("=", 1) for x in given.options)}
     truth = files.read_labels(spark, f"{given.data}/meta.txt") if given.evaluate else None
     found, scores = run_baseline(files.read_features(spark, f"{given.data}/features/{given.model}.bin", given.dims), given.method, given.out, given.force, truth, **options)
-    print(f"clusters: {evaluate.cluster_count(found).first()[0]}")
+    report = {"method": given.method, "clusters": evaluate.cluster_count(found).first()[0]}
     if scores is not None:
-        print("prec / recall / fscore: {:.4g}, {:.4g}, {:.4g}".format(*scores.select("prec", "recall", "fscore").first()))
+        report.update(scores.select("prec", "recall", "fscore").first().asDict())
+    print(json.dumps(report))
 
 
 if __name__ == "__main__":

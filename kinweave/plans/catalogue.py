@@ -9,14 +9,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinweave.functions import vectors
-from kinweave.operators import centroids, density, evaluate, labels, mediator, neighbours, pairs, propagate, rank_order, transform
+from kinweave.operators import birch as birch_
+from kinweave.operators import centroids, density, evaluate, exemplars, labels, linkage, lloyd, mediator, modes, neighbours, pairs, propagate, rank_order, spanning, transform
+from kinweave.operators import hdbscan as hdbscan_
+from kinweave.operators import spectral as spectral_
 from kinweave.operators.components import connected_components
 from kinweave.plans import sql
 from kinweave.plans.baselines import run_baseline
 from kinweave.plans.cluster import Clusters, GraphClusterer, clusters_of, run_config, whitened_kmeans
 from kinweave.plans.config import Config
 from kinweave.plans.sql import K, MAX_SZ, MEMBERS, STEP, TH
-from kinweave.sources import files, toys
+from kinweave.sources import files
 from kinweave.sources.shared import materialize, scratch
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -121,6 +124,19 @@ def knn_recall_floor(spark, sf_dir):
     return found.crossJoin(emb.agg(F.count(F.lit(1)).alias("vectors"))).select("vectors", F.lit(K).alias("k"), (F.col("recall") >= 0.9).alias("reached"))  # one row each
 
 
+def _floor_query(strategy: str):
+    def run(spark, sf_dir):
+        emb = _emb(spark, sf_dir)
+        found = neighbours.recall(neighbours.knn(emb, K, strategy=strategy), neighbours.knn(emb, K), K)
+        return found.crossJoin(emb.agg(F.count(F.lit(1)).alias("vectors"))).select("vectors", F.lit(K).alias("k"), (F.col("recall") >= 0.9).alias("reached"))  # one row each
+
+    return run
+
+
+for _s in ("descent", "kd"):
+    _query(f"SELECT count(*) AS vectors, {K} AS k, true AS reached FROM embeddings", f"knn_{_s}_floor")(_floor_query(_s))
+
+
 @_query(f"WITH {sql.EMB}, {sql.knn()} SELECT id, string_agg(nbr::VARCHAR, ',' ORDER BY rank) || ',-1,-1' AS nbrs FROM knn GROUP BY id")
 def knn_padded(spark, sf_dir):
     return neighbours.wide(neighbours.knn(_emb(spark, sf_dir), K), K + 2).select("id", F.array_join("nbrs", ",").alias("nbrs"))
@@ -245,6 +261,16 @@ def mediator_trained(spark, sf_dir):
     return mediator.infer(model, found).select("a", "b", "score")
 
 
+@_query()
+def mediator_sgd(spark, sf_dir):
+    """The classifier by minibatches, and what it selects."""
+    emb = _emb(spark, sf_dir)
+    features = {"base": emb, **{m: _member(emb, m) for m in MEMBERS}}
+    found = materialize(pairs.pair_set(_lists(emb), _committee(emb), features, truth=emb), "pair-set")
+    model, _ = mediator.train_sgd(found, pairs.feature_columns("base", list(MEMBERS)))
+    return mediator.infer(model, found).select("a", "b", "score")
+
+
 # components, propagation, labels
 
 
@@ -445,27 +471,85 @@ def gaussian_mixture(spark, sf_dir):
 
 @_query()
 def spectral(spark, sf_dir):
-    return centroids.spectral(_lists(_emb(spark, sf_dir)), 5)
+    return spectral_.spectral(_lists(_emb(spark, sf_dir)), 5)
 
 
 @_query()
 def hdbscan(spark, sf_dir):
-    return density.hdbscan(_emb(spark, sf_dir), 5, graph_k=30)
+    return hdbscan_.hdbscan(_emb(spark, sf_dir), 5)
+
+
+_LEVELS = (1.12, 1.16, 1.2)
+
+
+@_query(
+    f"WITH RECURSIVE {sql.EMB}, {sql.knn(metric='l2', k=6)}, far AS MATERIALIZED (SELECT id, max(dist) AS c FROM knn GROUP BY id),"
+    f" mr AS MATERIALIZED (SELECT a.id AS a, b.id AS b, greatest({sql.DISTANCE['l2']}, x.c, y.c) AS w FROM emb a JOIN far x ON a.id = x.id, emb b JOIN far y ON b.id = y.id WHERE a.id < b.id), "
+    + ", ".join(f"g{i} AS MATERIALIZED (SELECT a, b FROM mr WHERE w <= {t}), {sql.components(f'g{i}', f'p{i}', '(SELECT id AS v FROM emb)')}" for i, t in enumerate(_LEVELS))
+    + " " + " UNION ALL ".join(f"SELECT {t}::DOUBLE AS level, count(DISTINCT comp) AS parts FROM p{i}" for i, t in enumerate(_LEVELS))
+)
+def hdbscan_tree_parts(spark, sf_dir):
+    """How many parts the mutual reachability graph has at a level, told by the edges of its spanning tree."""
+    emb = _emb(spark, sf_dir)
+    tree = spanning.reachability_tree(emb, 6, dense_rows=100)
+    levels = tree.select("w", F.explode(F.array(*[F.lit(t) for t in _LEVELS])).alias("level"))
+    below = levels.groupBy("level").agg(F.sum(F.when(F.col("w") <= F.col("level"), 1).otherwise(0)).alias("joined"))
+    return below.crossJoin(emb.agg(F.count(F.lit(1)).alias("n"))).select("level", (F.col("n") - F.col("joined")).alias("parts"))  # one row
+
+
+@_query(f"WITH RECURSIVE {sql.EMB}, {sql.knn(metric='l1', k=7)}, graph AS (SELECT least(id, nbr) AS u, greatest(id, nbr) AS v, min(dist) AS t FROM knn WHERE id <> nbr GROUP BY 1, 2), {sql.average_linkage('graph', 10)} SELECT id, comp FROM linked")
+def average_linkage(spark, sf_dir):
+    return linkage.agglomerate(_emb(spark, sf_dir), 10, "average", 6, "l1")
 
 
 @_query()
-def whitened_kmeans_labels(spark, sf_dir):
-    return whitened_kmeans(_emb(spark, sf_dir), 10, dims=32)[0]
+def ward_linkage(spark, sf_dir):
+    return linkage.agglomerate(_emb(spark, sf_dir), 10, k=30)
+
+
+@_query()
+def ward_all_pairs(spark, sf_dir):
+    """Without a graph, as the fast form of the baselines has it."""
+    return linkage.agglomerate(_emb(spark, sf_dir), 10, k=None)
 
 
 @_query()
-def toy_affinity_propagation(spark, sf_dir):
-    return centroids.affinity_propagation(toys.blobs(spark), damping=0.9, preference=-200.0)
+def affinity_propagation(spark, sf_dir):
+    return exemplars.affinity_propagation(_emb(spark, sf_dir), 0.9)
 
 
 @_query()
-def toy_mean_shift(spark, sf_dir):
-    return centroids.mean_shift(toys.blobs(spark), 3.0)
+def mean_shift(spark, sf_dir):
+    return modes.mean_shift(_emb(spark, sf_dir), 1.2)
+
+
+@_query()
+def birch(spark, sf_dir):
+    return birch_.birch(_emb(spark, sf_dir), 10, 0.5)
+
+
+@_query()
+def kmeans_lloyd(spark, sf_dir):
+    """k-means by our own steps."""
+    return lloyd.lloyd(_emb(spark, sf_dir), 10)[0].select("id", "label")
+
+
+# Five centres.
+_CENTRES = [[((7 * j + 3 * i) % 13 - 6) / 40 for i in range(64)] for j in range(5)]
+
+
+@_query(
+    f"WITH {sql.EMB}, centres AS (SELECT unnest(range(5)) AS label, unnest({_CENTRES}::DOUBLE[][]) AS e)"
+    f" SELECT id, arg_min(label, d)::INTEGER AS label, round(min(d), 6) AS distance FROM (SELECT a.id, b.label, {sql.DISTANCE['l2']} AS d FROM emb a, centres b) GROUP BY id"
+)
+def assigned_to_fixed_centres(spark, sf_dir):
+    rows = _emb(spark, sf_dir).select("id", vectors.doubles("embedding").alias("v"))
+    return lloyd.assign(rows, np.array(_CENTRES)).withColumn("distance", F.round("distance", 6))
+
+
+@_query()
+def whitened_kmeans_labels(spark, sf_dir):
+    return whitened_kmeans(_emb(spark, sf_dir), 10, dims=32)[0]
 
 
 # transforms, sources, scores
@@ -536,7 +620,8 @@ def document_near_copy_clusters(spark, sf_dir):
     counts = grams.groupBy("id", "d").agg(F.count(F.lit(1)).alias("n"))
     entries = counts.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("d", "n"))).alias("m"))
     vectors_ = entries.select("id", F.transform(F.sequence(F.lit(0), F.lit(255)), lambda i: F.coalesce(F.element_at("m", i), F.lit(0)).cast("double")).alias("embedding"))
-    return GraphClusterer(k=K, th=0.99, max_sz=MAX_SZ, step=STEP).fit(materialize(vectors_, "text-vectors")).labels
+    found = GraphClusterer(k=K, th=0.99, max_sz=MAX_SZ, step=STEP).fit(materialize(vectors_, "text-vectors")).labels
+    return docs.select("id").join(found, "id", "left").select("id", F.coalesce("label", F.lit(-1)).alias("label"))  # without words: no cluster
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -9,11 +9,16 @@ from pyspark.sql import functions as F
 
 from kinweave.functions.vectors import METRICS
 from kinweave.operators import centroids, density, evaluate, labels, mediator, pairs, transform
+from kinweave.operators.birch import birch
+from kinweave.operators.exemplars import affinity_propagation
 from kinweave.operators.hdbscan import hdbscan
 from kinweave.operators.linkage import agglomerate
+from kinweave.operators.lloyd import lloyd
+from kinweave.operators.modes import mean_shift
 from kinweave.operators.neighbours import knn
 from kinweave.operators.propagate import propagate
 from kinweave.operators.rank_order import rank_order_clusters
+from kinweave.operators.spectral import spectral
 from kinweave.plans.config import Config, log, timed
 from kinweave.sources import files
 from kinweave.sources.shared import materialize
@@ -168,17 +173,19 @@ def baseline(method: str, df: DataFrame, id_col: str = "id", vec: str = "embeddi
     methods = {
         "kmeans": lambda: centroids.kmeans(df, clusters)[0],
         "mini_batch_kmeans": lambda: centroids.minibatch_kmeans(df, clusters),
-        "spectral": lambda: centroids.spectral(lists(), clusters),
+        "spectral": lambda: spectral(lists(), clusters),
         "hac": lambda: _numbered(agglomerate(df, clusters, o.get("linkage", "ward"), o.get("k", 30), o.get("metric", "l2"))),
-        "birch": lambda: centroids.bisecting(df, clusters),
+        "birch": lambda: _numbered(birch(df, clusters, o.get("threshold", 0.5))),
+        "lloyd": lambda: lloyd(df, clusters)[0].select("id", "label"),
+        "bisecting": lambda: centroids.bisecting(df, clusters),
         "gmm": lambda: centroids.gaussian_mixture(df, clusters),
         "fast_hac": fast_hac,
         "dbscan": lambda: _numbered(density.dbscan(df, o.get("eps", 0.75), o.get("min_samples", 10))),
         "knn_dbscan": lambda: _numbered(density.knn_dbscan(lists(), o.get("eps", 0.75), o.get("min_samples", 10), o.get("least", 0.7))),
         "hdbscan": lambda: _numbered(hdbscan(df, o.get("min_size", 10), o.get("min_samples"))),
         "aro": lambda: _numbered(rank_order_clusters(lists(), o.get("th", 2.0))),
-        "affinity_propagation": lambda: centroids.affinity_propagation(df, o.get("damping", 0.5), o.get("preference")),
-        "mean_shift": lambda: centroids.mean_shift(df, o.get("bandwidth"), o.get("quantile", 0.3)),
+        "affinity_propagation": lambda: _numbered(affinity_propagation(df, o.get("damping", 0.5), o.get("preference"), o.get("k", 30))),
+        "mean_shift": lambda: mean_shift(df, o.get("bandwidth"), o.get("quantile", 0.3)),
     }
     if method not in methods:
         raise ValueError(f"unknown method {method!r}; known: {', '.join(methods)}")

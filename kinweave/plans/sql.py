@@ -120,3 +120,18 @@ def soft(pairs: str, depth: int = 5, decay: float = 0.6, max_sz: int = MAX_SZ) -
     parts.append(f"raw AS MATERIALIZED (SELECT id, label, sum(value) AS weight FROM ({every}) GROUP BY id, label)")
     parts.append("soft AS (SELECT id, label, weight / sum(weight) OVER (PARTITION BY id) AS weight FROM raw)")
     return ", ".join(parts)
+
+
+def average_linkage(edges: str, clusters: int) -> str:
+    """CTEs over ``edges``(u, v, t) of a graph on emb that give linked(id, comp): mean edge weights, nearest pairs of both ends merged round by round; for WITH RECURSIVE."""
+    ends = "SELECT n, u AS node, u, v, t / c AS w FROM {0} UNION ALL SELECT n, v, u, v, t / c FROM {0}"
+    best = "SELECT n, node, arg_min((u, v), (w, u, v)) AS e FROM (" + ends + ") GROUP BY n, node"
+    mutual = "SELECT n, e[1] AS a, e[2] AS b FROM (" + best + ") GROUP BY n, e HAVING count(*) = 2"
+    return (
+        f"step(n, u, v, t, c) AS (SELECT 0, u, v, t, 1::DOUBLE FROM {edges} UNION ALL SELECT n + 1, least(x, y), greatest(x, y), sum(t), sum(c) FROM ("
+        "SELECT s.n, coalesce(p.a, s.u) AS x, coalesce(q.a, s.v) AS y, s.t, s.c FROM step s"
+        f" LEFT JOIN ({mutual.format('step')}) p ON s.u = p.b LEFT JOIN ({mutual.format('step')}) q ON s.v = q.b) WHERE x <> y GROUP BY n, least(x, y), greatest(x, y)), "
+        f"merges AS MATERIALIZED (SELECT m.n, m.a, m.b, s.t / s.c AS w FROM ({mutual.format('step')}) m JOIN step s ON s.n = m.n AND s.u = m.a AND s.v = m.b), "
+        f"kept AS MATERIALIZED (SELECT a, b FROM merges QUALIFY row_number() OVER (ORDER BY w DESC, n DESC, a DESC, b DESC) > {clusters} - ((SELECT count(*) FROM emb) - (SELECT count(*) FROM merges))), "
+        + components("kept", "linked", "(SELECT id AS v FROM emb)")
+    )

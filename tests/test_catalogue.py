@@ -11,7 +11,8 @@ from kinweave.plans import catalogue
 SF = "/root/testdata/sf0.001"
 CHECKED = [
     "knn_cosine", "knn_block_join", "knn_recall_floor", "vote_pairs", "feat_affinity", "feat_structure", "propagate_bounded", "propagate_max_iter_merge", "propagate_soft", "fscore_kept", "dbscan", "dbscan_block_join",
-    "radius_components", "rank_order_clusters", "cluster_sizes", "config_run_cached", "baseline_driver", "relabelled", "embedding_covariance", "whiten_given_projection", "labels_round_trip",
+    "radius_components", "rank_order_clusters", "cluster_sizes", "config_run_cached", "baseline_driver", "relabelled", "embedding_covariance",
+    "knn_descent_floor", "knn_kd_floor", "average_linkage", "hdbscan_tree_parts", "assigned_to_fixed_centres", "whiten_given_projection", "labels_round_trip",
 ]
 
 
@@ -32,14 +33,15 @@ def test_queries_match_their_sql(spark, name):
     assert rows == sorted((tuple(plain(r[i]) for i in at) for r in want.fetchall()), key=str)
 
 
-def test_queries_take_whole_vectors_and_whole_toys(spark, monkeypatch):
+def test_queries_take_whole_vectors_of_the_given_table(spark, monkeypatch):
     sizes = {}
-    monkeypatch.setattr(catalogue.centroids, "gaussian_mixture", lambda df, k: sizes.update(width=len(df.first().embedding)))
-    for name in ("affinity_propagation", "mean_shift"):
-        monkeypatch.setattr(catalogue.centroids, name, lambda df, *a, name=name, **o: sizes.update({name: df.count()}))
-    for name in ("gaussian_mixture", "toy_affinity_propagation", "toy_mean_shift"):
+    note = lambda name: lambda df, *a, **o: sizes.update({name: (df.count(), len(df.first().embedding))})
+    monkeypatch.setattr(catalogue.centroids, "gaussian_mixture", note("gaussian_mixture"))
+    monkeypatch.setattr(catalogue.exemplars, "affinity_propagation", note("affinity_propagation"))
+    monkeypatch.setattr(catalogue.modes, "mean_shift", note("mean_shift"))
+    for name in ("gaussian_mixture", "affinity_propagation", "mean_shift"):
         catalogue.queries()[name](spark, SF)
-    assert sizes == {"width": 64, "affinity_propagation": 1500, "mean_shift": 1500}
+    assert sizes == dict.fromkeys(sizes, (500, 64)) and len(sizes) == 3
 
 
 def test_anchor_counts(spark):

@@ -144,12 +144,10 @@ def test_centroid_methods_recover_blobs(spark):
         return sum(max(map(g.count, set(g))) for g in groups.values()) / len(truth), len(groups)
 
     labels, cost = centroids.kmeans(blobs, 3)
-    for found in (labels, centroids.minibatch_kmeans(blobs, 3, batch_rows=100), centroids.bisecting(blobs, 3), centroids.gaussian_mixture(blobs, 3), centroids.mean_shift(blobs, 3.5)):
+    for found in (labels, centroids.minibatch_kmeans(blobs, 3, batch_rows=100), centroids.bisecting(blobs, 3), centroids.gaussian_mixture(blobs, 3)):
         share, n = pure(found)
         assert share > 0.9 and n == 3
-    assert pure(centroids.affinity_propagation(blobs, preference=-500.0))[0] > 0.9 and cost > 0
-    near = neighbours.knn(toys.circles(spark, 80, noise=0.0), 5, "l2", scaled=True)
-    assert centroids.spectral(near, 2).count() == 80
+    assert cost > 0
 
 
 def test_transforms(spark):
