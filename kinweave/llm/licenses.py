@@ -7,8 +7,10 @@ a sequence: the first rule that fits takes its identifiers, so longer texts come
 before their parts. Identifiers that no rule takes are reported as unmatched.
 
 A sentence ends at ``.``, ``!``, ``?``, ``;`` or ``:`` before white space, at a
-blank line, and at the end, but not inside ``v. 2``. Web addresses and sentences
-that are only a list number are passed over. A sentence may be wrapped over lines; lines before
+blank line, and at the end, but not inside ``v. 2``. Known sentences go through the
+same cut: one that falls into several parts has an identifier for each, and rules
+that name it match them all in order. Web addresses, sentences that are only a list
+number, and list marks before a sentence are passed over. A sentence may be wrapped over lines; lines before
 or after a known sentence within it (a title, a list mark) count as unknown.
 
 Defined cases: null, empty or licence-free text has no identifiers and no
@@ -65,12 +67,47 @@ SENTENCES = {
     "cc-by-4-work": "This work is licensed under a Creative Commons Attribution 4.0 International License",
     "unlicense": "This is free and unencumbered software released into the public domain",
     "rights": "All rights reserved under copyright",
+    "isc-as-is": "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS",
+    "isc-liability": "IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE",
+    "gpl2-later-notice": "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version",
+    "gpl2-only": "you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation",
+    "gpl-received": "You should have received a copy of the GNU General Public License along with this program; if not, write to the Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA",
+    "agpl-details": "See the GNU Affero General Public License for more details",
+    "agpl-copy": "You should have received a copy of the GNU Affero General Public License along with this program",
+    "lgpl-free": "This library is free software",
+    "lgpl21-later": "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version",
+    "lgpl3-later": "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
+    "lgpl-warranty": "This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY",
+    "lgpl-details": "See the GNU Lesser General Public License for more details",
+    "lgpl-received": "You should have received a copy of the GNU Lesser General Public License along with this library; if not, write to the Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA",
+    "lgpl-copy": "You should have received a copy of the GNU Lesser General Public License along with this library",
+    "epl2-notice": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at",
+    "boost-notice": "Distributed under the Boost Software License, Version 1.0",
+    "boost-see": "(See accompanying file LICENSE_1_0.txt or copy at http://www.boost.org/LICENSE_1_0.txt)",
+    "cddl-notice": "The contents of this file are subject to the terms of the Common Development and Distribution License (the \"License\")",
+    "zlib-as-is": "This software is provided 'as-is', without any express or implied warranty",
+    "zlib-liability": "In no event will the authors be held liable for any damages arising from the use of this software",
+    "zlib-grant": "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions",
+    "apache-title": "Apache License Version 2.0, January 2004",
+    "gpl2-title": "GNU GENERAL PUBLIC LICENSE Version 2, June 1991",
+    "gpl3-title": "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+    "lgpl21-title": "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999",
+    "lgpl3-title": "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+    "agpl3-title": "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007",
+    "mpl2-title": "Mozilla Public License Version 2.0",
+    "epl2-title": "Eclipse Public License - v 2.0",
+    "boost-title": "Boost Software License - Version 1.0 - August 17th, 2003",
+    "isc-title": "ISC License",
+    "bsd2-title": "BSD 2-Clause License",
+    "bsd3-title": "BSD 3-Clause License",
+    "mit-plain-title": "MIT License",
 }
 
 # Licences and the identifier runs that state them, in order of trial.
 RULES = [
     ("MIT", ("mit-grant", "mit-keep", "mit-as-is", "mit-liability")),
     ("MIT", ("mit-grant", "mit-keep", "mit-as-is")),
+    ("ISC", ("isc-grant", "isc-as-is", "isc-liability")),
     ("ISC", ("isc-grant", "mit-as-is")),
     ("ISC", ("isc-grant",)),
     ("Apache-2.0", ("apache-licensed", "apache-comply", "apache-copy", "apache-as-is", "apache-see")),
@@ -79,9 +116,19 @@ RULES = [
     ("Apache-2.0", ("apache-notice",)),
     ("GPL-2.0-or-later", ("gpl-free", "gpl2-later", "gpl-warranty", "gpl-implied", "gpl-details")),
     ("GPL-3.0-or-later", ("gpl-free", "gpl3-later", "gpl-warranty", "gpl-implied", "gpl-details")),
+    ("GPL-2.0-or-later", ("gpl-free", "gpl2-later-notice", "gpl-warranty", "gpl-implied", "gpl-details", "gpl-received")),
+    ("GPL-2.0-or-later", ("gpl-free", "gpl2-later-notice", "gpl-warranty", "gpl-implied", "gpl-details")),
+    ("GPL-2.0-or-later", ("gpl-free", "gpl2-later-notice")),
     ("GPL-2.0-or-later", ("gpl-free", "gpl2-later")),
+    ("GPL-2.0-only", ("gpl-free", "gpl2-only", "gpl-warranty", "gpl-implied", "gpl-details")),
+    ("GPL-2.0-only", ("gpl-free", "gpl2-only")),
     ("GPL-3.0-or-later", ("gpl-free", "gpl3-later")),
+    ("AGPL-3.0-or-later", ("gpl-free", "agpl3-later", "gpl-warranty", "gpl-implied", "agpl-details", "agpl-copy")),
     ("AGPL-3.0-or-later", ("gpl-free", "agpl3-later")),
+    ("LGPL-2.1-or-later", ("lgpl-free", "lgpl21-later", "lgpl-warranty", "gpl-implied", "lgpl-details", "lgpl-received")),
+    ("LGPL-2.1-or-later", ("lgpl-free", "lgpl21-later")),
+    ("LGPL-3.0-or-later", ("lgpl-free", "lgpl3-later", "lgpl-warranty", "gpl-implied", "lgpl-details", "lgpl-copy")),
+    ("LGPL-3.0-or-later", ("lgpl-free", "lgpl3-later")),
     ("GPL-3.0-only", ("gpl3-work",)),
     ("BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse")),
     ("BSD-2-Clause", ("bsd-grant", "bsd-source", "bsd-binary")),
@@ -93,6 +140,25 @@ RULES = [
     ("CC-BY-4.0", ("cc-by-4-work",)),
     ("CC0-1.0", ("cc0",)),
     ("Unlicense", ("unlicense",)),
+    ("EPL-2.0", ("epl2-notice",)),
+    ("BSL-1.0", ("boost-notice", "boost-see")),
+    ("BSL-1.0", ("boost-notice",)),
+    ("CDDL-1.0", ("cddl-notice", "apache-comply")),
+    ("CDDL-1.0", ("cddl-notice",)),
+    ("Zlib", ("zlib-as-is", "zlib-liability", "zlib-grant")),
+    ("Apache-2.0", ("apache-title",)),
+    ("GPL-2.0", ("gpl2-title",)),
+    ("GPL-3.0", ("gpl3-title",)),
+    ("LGPL-2.1", ("lgpl21-title",)),
+    ("LGPL-3.0", ("lgpl3-title",)),
+    ("AGPL-3.0", ("agpl3-title",)),
+    ("MPL-2.0", ("mpl2-title",)),
+    ("EPL-2.0", ("epl2-title",)),
+    ("BSL-1.0", ("boost-title",)),
+    ("ISC", ("isc-title",)),
+    ("BSD-2-Clause", ("bsd2-title",)),
+    ("BSD-3-Clause", ("bsd3-title",)),
+    ("MIT", ("mit-plain-title",)),
     ("MIT", ("mit-title",)),
     ("MIT", ("mit-notice",)),
     ("MIT", ("mit-licensed",)),
@@ -106,23 +172,43 @@ _END = re.compile(r"[.!?;:]+(?=\s)(?!(?<=\b[vV]\.)\s+[0-9])|\n[ \t\r]*\n")
 _ADDRESS = re.compile(r"(?:https?://|www\.)\S+")
 _NUMBER = re.compile(r"[0-9]{1,2}")
 _OTHER = re.compile(r"[^0-9a-z]+")
+_MARK = re.compile(r"\s*(?:\(?[0-9a-z]{1,2}\)|[0-9]{1,2}\.|[*\u2022-])\s+")
 _ANCHOR = re.compile("|".join(a.replace(" ", "[^0-9a-z]+") for a in ANCHORS))
 
 
 def normalise(sentence: str) -> str:
-    """Lower case, letters and digits only, no web addresses, British spelling of licence made American."""
-    return _OTHER.sub(" ", _ADDRESS.sub(" ", sentence.lower())).strip().replace("licence", "license")
+    """Lower case, letters and digits only, no web addresses or list mark, British spelling of licence made American."""
+    lower = sentence.lower()
+    mark = _MARK.match(lower)
+    return _OTHER.sub(" ", _ADDRESS.sub(" ", lower[mark.end():] if mark else lower)).strip().replace("licence", "license")
+
+
+def parts(sentence: str) -> list[str]:
+    """The normalised sentences that a known sentence falls into."""
+    found = [normalise(s) for s in _END.split(sentence)]
+    return [s for s in found if s and not _NUMBER.fullmatch(s)]
 
 
 def _known(sentences: dict[str, str]) -> tuple[dict[str, str], dict[str, int]]:
-    """(identifier by normalised sentence, length of the longest sentence by first word)."""
-    table = {normalise(s): name for name, s in sentences.items()}
+    """(identifier by normalised sentence, length of the longest sentence by first word).
+
+    A part that an earlier sentence has keeps that one's identifier; whole sentences come first.
+    """
+    table = {p[0]: name for name, s in sentences.items() if len(p := parts(s)) == 1}
+    for name, s in sentences.items():
+        for i, part in enumerate(parts(s), 1):
+            table.setdefault(part, f"{name}.{i}")
     first: dict[str, int] = {}
     for s in table:
         first[s.split(" ", 1)[0]] = max(first.get(s.split(" ", 1)[0], 0), len(s))
     return table, first
 
 
+def expanded(rules: list[tuple[str, tuple[str, ...]]], sentences: dict[str, str], table: dict[str, str]) -> list[tuple[str, tuple[str, ...]]]:
+    """``rules`` over the identifiers of the sentences' parts; rules of other sentences can't match and are left out."""
+    return [(licence, tuple(table[p] for name in run for p in parts(sentences[name]))) for licence, run in rules if set(run) <= set(sentences)]
+
+
 def anchor(table: dict[str, str]) -> re.Pattern:
     """What a text in lower case holds if it holds a sentence of ``table``: the longest word of each, in both spellings."""
     words = {max(s.split(" "), key=len).replace("license", "licen[cs]e") for s in table}
@@ -189,9 +275,10 @@ def scan_text(text: str, table: dict[str, str], first: dict[str, int], rules: li
 
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sentences: dict[str, str] | None = None, rules: list | None = None) -> DataFrame:
     """(doc_id, sentence_ids, licenses, unmatched, n_known), lists joined by commas."""
-    table, first = _known(SENTENCES if sentences is None else sentences)
+    given = SENTENCES if sentences is None else sentences
+    table, first = _known(given)
     anchors = _ANCHOR if sentences is None else anchor(table)
-    rules = RULES if rules is None else rules
+    rules = expanded(RULES if rules is None else rules, given, table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -5,7 +5,7 @@ from kinweave.llm import licenses as L
 
 def brute(text):
     """Every way to cut the sentences' lines, without tables by first word or early stops."""
-    table = {L.normalise(s): n for n, s in L.SENTENCES.items()}
+    table, _ = L._known(L.SENTENCES)
     sequences = [[]]
     for sentence in L._END.split(text):
         lines = [x for x in map(L.normalise, sentence.split("\n")) if x]
@@ -23,7 +23,7 @@ def brute(text):
         ids += s
         left = list(s)
         found = []
-        for name, run in L.RULES:
+        for name, run in L.expanded(L.RULES, L.SENTENCES, table):
             i = 0
             while i + len(run) <= len(left):
                 if tuple(left[i:i + len(run)]) == run:
@@ -47,8 +47,9 @@ def cases():
 
 
 def test_every_known_sentence_has_an_anchor_and_a_rule_knows_its_ids():
-    assert all(L._ANCHOR.search(s.lower()) for s in L.SENTENCES.values())
-    assert len({L.normalise(s) for s in L.SENTENCES.values()}) == len(L.SENTENCES)
+    table, _ = L._known(L.SENTENCES)
+    assert all(L._ANCHOR.search(p) for p in table if "franklin" not in p)
+    assert len({tuple(L.parts(s)) for s in L.SENTENCES.values()}) == len(L.SENTENCES)
     assert {i for _, run in L.RULES for i in run} <= set(L.SENTENCES)
 
 
@@ -67,7 +68,102 @@ def test_matches_brute_force(spark):
 
 
 def scanned(text):
-    return L.scan_text(text, *L._known(L.SENTENCES), L.RULES)
+    table, first = L._known(L.SENTENCES)
+    return L.scan_text(text, table, first, L.expanded(L.RULES, L.SENTENCES, table))
+
+
+PUBLISHED = {
+    "GPL-2.0-or-later": """<one line to give the program's name and an idea of what it does.>
+Copyright (C) <yyyy>  <name of author>
+
+This program is free software; you can redistribute it and/or
+modify it under the terms of the GNU General Public License
+as published by the Free Software Foundation; either version 2
+of the License, or (at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+
+You should have received a copy of the GNU General Public License
+along with this program; if not, write to the Free Software
+Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA  02110-1301, USA.
+""",
+    "GPL-3.0-or-later": """    This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation, either version 3 of the License, or
+    (at your option) any later version.
+
+    This program is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+    GNU General Public License for more details.
+""",
+    "LGPL-2.1-or-later": """This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.
+
+This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.
+""",
+    "AGPL-3.0-or-later": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.
+
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details.
+
+You should have received a copy of the GNU Affero General Public License along with this program. If not, see <https://www.gnu.org/licenses/>.
+""",
+    "EPL-2.0": """This program and the accompanying materials are made available under the
+terms of the Eclipse Public License 2.0 which is available at
+https://www.eclipse.org/legal/epl-2.0/
+
+SPDX-License-Identifier: EPL-2.0
+""",
+    "BSL-1.0": """         Copyright Joe Coder 2004 - 2006.
+Distributed under the Boost Software License, Version 1.0.
+   (See accompanying file LICENSE_1_0.txt or copy at
+         https://www.boost.org/LICENSE_1_0.txt)
+""",
+    "ISC": """Copyright <YEAR> <OWNER>
+
+Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.
+""",
+    "BSD-2-Clause": """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+(a) Redistributions of source code must retain the above copyright notice, this
+    list of conditions and the following disclaimer.
+
+(b) Redistributions in binary form must reproduce the above copyright notice,
+    this list of conditions and the following disclaimer in the documentation
+    and/or other materials provided with the distribution.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS".
+""",
+    "Zlib": """This software is provided 'as-is', without any express or implied
+warranty. In no event will the authors be held liable for any damages
+arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose,
+including commercial applications, and to alter it and redistribute it
+freely, subject to the following restrictions:
+""",
+    "CDDL-1.0": """The contents of this file are subject to the terms of the
+Common Development and Distribution License (the "License").
+You may not use this file except in compliance with the License.
+""",
+    "GPL-3.0": "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/>\n",
+    "Apache-2.0": "                                 Apache License\n                           Version 2.0, January 2004\n                        http://www.apache.org/licenses/\n\n   TERMS AND CONDITIONS\n",
+    "MPL-2.0": "Mozilla Public License Version 2.0\n==================================\n\n1. Definitions\n",
+}
+
+
+def test_published_notices_wrapped_at_every_width():
+    for name, text in PUBLISHED.items():
+        assert scanned(text)[1] == [name], name
+        blocks = [" ".join(b.split()) for b in text.split("\n\n")]
+        for width in (24, 40, 72, 10_000):
+            wrapped = "\n\n".join(textwrap.fill(b, width, break_long_words=False, break_on_hyphens=False) for b in blocks if b)
+            assert scanned(wrapped)[1] == [name], (name, width)
 
 
 def test_every_rule_fires_on_its_own_text():
