@@ -103,16 +103,26 @@ def base_counts(text: bytes, words: list[bytes], lines: list[bytes]) -> Base:
     )
 
 
+#: Bytes of lines that are counted at once.
+_RUN = 1 << 20
+
+
 def line_features(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(features, words) of each line; lines have a word each."""
     n = len(lines)
-    data = np.frombuffer(b"\n".join(lines) + b"\n", dtype=np.uint8)
     length = np.fromiter(map(len, lines), dtype=np.int64, count=n)
-    row = np.repeat(np.arange(n), length + 1)
-    kinds = np.bincount(row * 7 + _CLASS[data], minlength=n * 7).reshape(n, 7).astype(np.float64)
-    split = [line.split() for line in lines]
-    words = np.fromiter(map(len, split), dtype=np.int64, count=n)
-    distinct = np.fromiter((len(set(w)) for w in split), dtype=np.int64, count=n)
+    kinds, words, distinct = np.zeros((n, 7)), np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
+    start = 0
+    while start < n:  # runs of lines, so that memory does not follow the text
+        end = max(start + 1, int(np.searchsorted(np.cumsum(length[start:start + _RUN]), _RUN, side="right")) + start)
+        part = lines[start:end]
+        row = np.repeat(np.arange(len(part)), length[start:end] + 1)
+        data = np.frombuffer(b"\n".join(part) + b"\n", dtype=np.uint8)
+        kinds[start:end] = np.bincount(row * 7 + _CLASS[data], minlength=len(part) * 7).reshape(len(part), 7)
+        for i, line in enumerate(part, start):
+            split = line.split()
+            words[i], distinct[i] = len(split), len(set(split))
+        start = end
     seen: set[bytes] = set()
     dup = np.fromiter((line in seen or seen.add(line) is not None for line in lines), dtype=bool, count=n)
     ends = np.fromiter((line.rstrip(_SPACE)[-1:] in (b".", b"!", b"?") for line in lines), dtype=bool, count=n)

@@ -111,3 +111,12 @@ def test_gradient_fit_separates_held_out_pages(spark):
     kept = Q.keep_good(docs, labels)
     assert kept.columns == docs.columns
     assert sorted({r.doc_id for r in kept.collect()}) == sorted(i for i in got if got[i].kept)
+
+
+def test_features_of_lines_in_runs(monkeypatch):
+    r = np.random.default_rng(0)
+    lines = [bytes(r.choice(list(b"ab .!|#7\xc3\xa9"), int(r.integers(1, 60))).astype(np.uint8)) + b"x" for _ in range(300)]
+    whole = Q.line_features(lines)
+    monkeypatch.setattr(Q, "_RUN", 16)
+    for a, b in zip(whole, Q.line_features(lines)):
+        assert (a == b).all()
