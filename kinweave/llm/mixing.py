@@ -54,7 +54,11 @@ def tempered_weights(counts: DataFrame, resolution: int = RESOLUTION) -> DataFra
 def _period(weights: DataFrame) -> DataFrame:
     """(src, weight, period, turn, slot): slots of each source's turns within one period."""
     alike = weights.groupBy("weight").agg(F.array_sort(F.collect_list("src")).alias("members"))
-    one = alike.agg(F.array_sort(F.collect_list(F.struct("weight", "members"))).alias("s")).select(
+    # weights by their greatest common divisor: the same schedule, and the shortest period
+    euclid = lambda a, b: F.aggregate(F.sequence(F.lit(1), F.lit(92)), F.struct(a.alias("x"), b.alias("y")), lambda p, _: F.when(p["y"] == 0, p).otherwise(F.struct(p["y"].alias("x"), (p["x"] % F.nullif(p["y"], F.lit(0))).alias("y"))))["x"]
+    gathered = alike.agg(F.array_sort(F.collect_list(F.struct("weight", "members"))).alias("s"))
+    shared = gathered.select("s", F.aggregate("s", F.lit(0).cast("long"), lambda g, x: euclid(g, x["weight"])).alias("g"))
+    one = shared.select(F.transform("s", lambda x: F.struct((x["weight"] / F.col("g")).cast("long").alias("weight"), x["members"].alias("members"))).alias("s")).select(
         "s", F.aggregate("s", F.lit(0).cast("long"), lambda a, x: a + x["weight"] * F.size(x["members"])).alias("period")
     ).filter("period > 0")
     s, total, far = F.col("s"), F.col("period"), F.lit(2**62)

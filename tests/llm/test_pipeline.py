@@ -171,3 +171,16 @@ def test_pfair_many_sources(spark):
     many = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"), F.concat(F.lit("s"), F.col("id") % 5000).alias("source"))
     found = mixing.schedule(many)
     assert found.agg(F.count_distinct("position"), F.max("position"), F.count_distinct("slot")).first()[:] == (20_000, 19_999, 5000)
+
+
+def test_period_by_the_common_divisor(spark):
+    weights = spark.createDataFrame([("a", 200_000), ("b", 400_000), ("c", 200_000)], "src string, weight long")
+    rows = mixing._period(weights).orderBy("slot").collect()
+    plain = mixing._period(spark.createDataFrame([("a", 1), ("b", 2), ("c", 1)], "src string, weight long")).orderBy("slot").collect()
+    assert rows == plain and len(rows) == 4
+
+
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    for name in ("documents", "labels"):
+        spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet").limit(0 if name == "documents" else 50).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
