@@ -4,9 +4,11 @@ Vectors are packed into blocks (ids and a matrix as arrays), and pairs of blocks
 are compared by matrix products in Arrow functions, ``TILE_ROWS`` by
 ``TILE_ROWS`` distances at once. Where the packed table is at most
 ``BROADCAST_BYTES`` (its size is counted first), every task gets all of it and
-each query block meets all vectors in one step; beyond, block pairs (of about
-``BLOCK_BYTES`` each) meet in a join and their short lists are cut again by a
-window, so no task holds more than two blocks.
+each query block meets all vectors in one step; beyond, lists of the k
+nearest are made in groups of queries of at most ``GROUP_BYTES``: the task of a
+group keeps their lists while all blocks of the table (about ``BLOCK_BYTES`` each)
+stream through it, so a vector is copied once a group and lists leave a task
+final. Radius graphs compare block pairs that meet in a join.
 
 ``strategy="ivf"`` is the approximate form for large tables: vectors are dealt
 to the cells of centroids fitted on a bounded sample, cells are split into
@@ -39,6 +41,7 @@ from kinweave.sources.shared import materialize
 TILE_ROWS = 2048
 BLOCK_BYTES = 16 << 20
 BROADCAST_BYTES = 64 << 20
+GROUP_BYTES = 128 << 20
 SAMPLE_ROWS = 20_000
 QUERY_ROWS = 256
 RECALL = 0.93  # of the queries, so that all rows are above 0.9
@@ -179,6 +182,66 @@ def _compared(rows: DataFrame, compare: Callable, block_rows: int | None, broadc
     return pairs.mapInArrow(_pair_batches(compare, pack), schema), False
 
 
+def _merged(parts: list[tuple], k: int) -> tuple:
+    """The k nearest of each row of several (row, neighbour, distance) lists, sorted."""
+    row, nbr, value = (np.concatenate(p) for p in zip(*parts))
+    order = np.lexsort((nbr, value, row))
+    row, nbr, value = row[order], nbr[order], value[order]
+    kept = np.arange(len(row)) - np.searchsorted(row, row) < k
+    return row[kept], nbr[kept], value[kept]
+
+
+def _streamed_batches(k: int, metric: str):
+    """Rows (group, kind, ids, vs), sorted: blocks of queries (kind 0), then blocks of the table (kind 1), to the lists of each group."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, ids, x, best = None, [], [], []
+
+        def done() -> pa.RecordBatch:
+            rows = []
+            for i, (row, nbr, value) in zip(ids, best):
+                rows.append((i[row], np.arange(len(row)) - np.searchsorted(row, row) + 1, nbr, value))
+            return _list_batch(tuple(np.concatenate(p) for p in zip(*rows)))
+
+        for batch in batches:
+            groups, kinds = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for at in range(batch.num_rows):
+                if groups[at] != group:
+                    if ids:
+                        yield done()
+                    group, ids, x, best = groups[at], [], [], []
+                own, vs = batch.column(2)[at].values.to_numpy(), batch.column(3)[at].values.to_numpy()
+                vs = vs.reshape(len(own), -1)
+                if kinds[at] == 0:
+                    for lot in range(0, len(own), TILE_ROWS):
+                        ids.append(own[lot:lot + TILE_ROWS])
+                        x.append(vs[lot:lot + TILE_ROWS])
+                        best.append((np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)))
+                    continue
+                for lot in range(len(ids)):
+                    row, _, nbr, value = _nearest(np.arange(len(ids[lot])), x[lot], own, vs, k, metric)
+                    best[lot] = _merged([best[lot], (row, nbr, value)], k)
+        if ids:
+            yield done()
+
+    return run
+
+
+def _exact(rows: DataFrame, k: int, metric: str, block_rows: int | None, broadcast_bytes: int) -> DataFrame:
+    """Exact lists of all rows."""
+    size = rows.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("v")).alias("values"), F.count_distinct(F.size("v")).alias("widths")).first()
+    if size.n == 0 or size.widths != 1 or size["values"] * 8 <= broadcast_bytes:
+        return _compared(rows, lambda i, x, j, y: _nearest(i, x, j, y, k, metric), block_rows, broadcast_bytes)[0]
+    block_rows = block_rows or max(1, BLOCK_BYTES // max(8 * (size["values"] // size.n), 1))
+    blocks = materialize(_blocks(rows, size.n, block_rows), "vector-blocks")
+    count, cores = -(-size.n // block_rows), rows.sparkSession.sparkContext.defaultParallelism
+    groups = min(count, max(-(-size["values"] * 8 // GROUP_BYTES), cores))
+    asking = blocks.select(F.pmod("block", F.lit(groups)).alias("group"), F.lit(0).alias("kind"), "ids", "vs")
+    base = blocks.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("group"), F.lit(1).alias("kind"), "ids", "vs")
+    met = asking.unionByName(base).repartition(groups, "group").sortWithinPartitions("group", "kind")
+    return met.mapInArrow(_streamed_batches(k, metric), _LIST)
+
+
 def _cut(lists: DataFrame, k: int) -> DataFrame:
     near = Window.partitionBy("id").orderBy("dist", "nbr")
     return lists.withColumn("rank", F.row_number().over(near)).filter(F.col("rank") <= k)
@@ -206,8 +269,7 @@ def knn(
     elif strategy != "exact":
         raise ValueError(f"unknown strategy {strategy!r}")
     else:
-        lists, final = _compared(rows, lambda i, x, j, y: _nearest(i, x, j, y, k, metric), block_rows, broadcast_bytes)
-        lists = lists if final else _cut(lists, k)
+        lists = _exact(rows, k, metric, block_rows, broadcast_bytes)
     if scaled:
         lists = materialize(lists, "knn")
         top = lists.agg(F.max("dist").alias("top"))

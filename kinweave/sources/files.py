@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def read_features(spark: SparkSession, path: str, dims: int = 256, model: str | None = None) -> DataFrame:
@@ -25,13 +26,18 @@ def read_features(spark: SparkSession, path: str, dims: int = 256, model: str |
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.frombuffer(b"".join(batch.column(0).to_pylist()), dtype="<f4")
-            vectors = pa.ListArray.from_arrays(np.arange(0, len(x) + 1, dims, dtype=np.int32), pa.array(x))
-            yield pa.RecordBatch.from_arrays([batch.column(1), vectors], ["id", "embedding"])
-
-    # the only source of fixed-length records that Spark has
-    records = spark.sparkContext.binaryRecords(path, width).zipWithIndex()
-    out = spark.createDataFrame(records, "content binary, id long").mapInArrow(rows, "id long, embedding array<float>")
+            if batch.num_rows:
+                content = batch.column(1)  # values of one width lie end to end
+                first = content.offset * width if content.buffers()[1] is None else np.frombuffer(content.buffers()[1], dtype=np.int32 if pa.types.is_binary(content.type) else np.int64)[content.offset]
+                x = np.frombuffer(content.buffers()[2], dtype="<f4", offset=int(first), count=batch.num_rows * dims)
+                vectors = pa.ListArray.from_arrays(np.arange(0, len(x) + 1, dims, dtype=np.int32), pa.array(x))
+                yield pa.RecordBatch.from_arrays([batch.column(0), vectors], ["id", "embedding"])
+
+    # the only source of fixed-length records that Spark has; its rows stay in the JVM until Arrow takes them
+    records = spark.sparkContext._jsc.binaryRecords(path, width).rdd()
+    binary = spark.sparkContext._jvm.org.apache.spark.sql.Encoders.BINARY()
+    held = DataFrame(spark._jsparkSession.createDataset(records, binary).toDF(), spark)
+    out = _by_place(held).mapInArrow(rows, "id long, embedding array<float>")
     return out if model is None else out.select(F.lit(model).alias("model"), "id", "embedding")
 
 
@@ -40,18 +46,21 @@ def write_features(df: DataFrame, path: str, id_col: str = "id", vec: str = "emb
     df.select(F.col(id_col).alias("id"), F.col(vec).cast("array<float>").alias("embedding")).orderBy("id").write.mode("overwrite").parquet(path)
 
 
-def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """(id, value) of a text file, ids by place in the file (counted per split, then summed)."""
-    import pyspark.sql.window as w
-
-    rows = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("m"))
+def _by_place(rows: DataFrame) -> DataFrame:
+    """(id, value) of rows (value) in order of their splits, counted per split, then summed."""
+    rows = rows.select("value", F.monotonically_increasing_id().alias("m"))
     split = F.shiftrightunsigned("m", 33)
     counts = rows.groupBy(split.alias("split")).agg(F.count(F.lit(1)).alias("n"), F.min("m").alias("first"))
-    before = w.Window.orderBy("split").rowsBetween(w.Window.unboundedPreceding, -1)  # one row per split
+    before = Window.orderBy("split").rowsBetween(Window.unboundedPreceding, -1)  # one row per split
     starts = counts.select("split", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
     return rows.withColumn("split", split).join(F.broadcast(starts), "split").select((F.col("start") + F.col("m") - F.col("first")).alias("id"), "value")
 
 
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """(id, value) of a text file, ids by place in the file."""
+    return _by_place(spark.read.text(path))
+
+
 def read_items(spark: SparkSession, path: str) -> DataFrame:
     """(id, item): one item per line."""
     return _lines(spark, path).select("id", F.col("value").alias("item"))
