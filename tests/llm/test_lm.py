@@ -54,6 +54,32 @@ def test_model_beats_the_base_on_held_out_documents(spark):
     assert sum(r.score for r in rows) > 0.8 * sum(r.base_score for r in rows)
 
 
+def test_scores_match_brute_force(spark, monkeypatch):
+    """The result column, word by word: the network inside its classes, counts in the class of all other words."""
+    rows = corpus()
+    df = spark.createDataFrame([(i, t, "x") for i, t in rows], SCHEMA).repartition(3)
+    nets, plain = [], lm_score.train
+    monkeypatch.setattr(lm_score, "train", lambda *a, **o: nets.append(plain(*a, **o)) or nets[-1])
+    seen = Counter(t for i, text in rows if zlib.crc32(str(i).encode()) % 7 != 2 for t in tokens(text))
+    for head_words in (65_536, 30):
+        got = {r.doc_id: r.score for r in lm_score.score(df, head_words=head_words, classes=4, width=5, embed=4, state=6).collect()}
+        order = ["", *sorted((w for w in seen if w), key=lambda w: (-seen[w], w.encode()))]
+        classes = {w: k for k, w in enumerate(order[:20])}
+        others = [w for w in seen if w not in classes]
+        base = sum(seen[w] for w in others) + len(others) + 1
+        for i, text in rows[::7] + rows[-6:-1]:
+            ts = tokens(text)
+            inside = plain_log(nets[-1], np.array([classes.get(t, 20) for t in ts])) / math.log(10)
+            outside = sum(math.log10((seen[t] + 1) / base) for t in ts if t not in classes)
+            assert math.isclose(got[i], inside + outside, rel_tol=1e-4), (i, head_words)
+
+
+def test_model_beats_the_base_on_the_given_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rows = [r for r in lm_score.score(docs).collect() if r.held_out]
+    assert sum(r.score for r in rows) > 0.97 * sum(r.base_score for r in rows) and sum(r.score > r.base_score for r in rows) > 0.9 * len(rows)
+
+
 def test_network_learns_from_every_training_token(spark, monkeypatch):
     rows = corpus()
     df = spark.createDataFrame([(i, t, "x") for i, t in rows], SCHEMA).repartition(2)
