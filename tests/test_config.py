@@ -82,7 +82,7 @@ def test_baseline_command(spark, tmp_path, capsys):
     out = str(tmp_path / "out")
     baselines.main([str(data), "m", "kmeans", "clusters=3", "--dims", "3", "--out", out, "--evaluate"])
     said = capsys.readouterr().out
-    assert "clusters: 3" in said and "fscore" in said
+    assert '"clusters": 3' in said and "fscore" in said
     kept = rows(files.read_labels(spark, f"{out}/kmeans-clusters-3/meta"))
     assert len(kept) == 90 and kept[0][1] == 0
     baselines.main([str(data), "m", "kmeans", "clusters=3", "--dims", "3", "--out", out])
