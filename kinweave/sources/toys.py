@@ -44,4 +44,5 @@ def anisotropic(spark: SparkSession, n: int = 1500, seed: int = 0) -> DataFrame:
     """Blobs stretched by a linear map."""
     from kinweave.functions.vectors import linear_map
 
-    return blobs(spark, n, seed=seed).withColumn("embedding", linear_map(F.col("embedding"), [[0.6, -0.6], [-0.4, 0.8]]))
+    stretch = [[0.6, -0.6], [-0.4, 0.8]]  # fixed values
+    return blobs(spark, n, seed=seed).withColumn("embedding", linear_map(F.col("embedding"), stretch))
