@@ -1,8 +1,10 @@
 import os
 import subprocess
 import sys
+from collections import Counter
 
 import duckdb
+import numpy as np
 import pytest
 
 import __spark_entry__
@@ -33,6 +35,19 @@ def test_queries_match_their_sql(spark, name):
     assert rows == sorted((tuple(plain(r[i]) for i in at) for r in want.fetchall()), key=str)
 
 
+@pytest.mark.parametrize("name", ["propagate_bounded", "cluster_labels", "cluster_vote_end_to_end", "estimator_fit", "config_run_cached"])
+def test_clusters_that_outlast_the_thresholds_match_their_sql(spark, tmp_path, name):
+    """Two tight groups of 60 stay above the size limit after the last threshold; the SQL merges them."""
+    r = np.random.default_rng(4)
+    x = np.repeat(r.normal(size=(2, 64)), 60, axis=0) + 0.2 * r.normal(size=(120, 64))
+    spark.createDataFrame([(i, v, i // 60) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>, label int").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = catalogue.queries()[name](spark, str(tmp_path))
+    connection = duckdb.connect()
+    connection.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = connection.sql(catalogue.oracle_sql()[name]).fetchall()
+    assert sorted(map(tuple, got.collect())) == sorted(want) and max(Counter(c for _, c in want).values()) > catalogue.MAX_SZ
+
+
 def test_queries_take_whole_vectors_of_the_given_table(spark, monkeypatch):
     sizes = {}
     note = lambda name: lambda df, *a, **o: sizes.update({name: (df.count(), len(df.first().embedding))})
