@@ -44,6 +44,45 @@ def test_knn_and_column_distances(spark, metric):
     assert all(float(r.d) == pytest.approx(plain(x[r.i], x[r.j], metric), abs=2e-7) for r in some.collect())
 
 
+@pytest.mark.parametrize("metric", METRICS)
+@pytest.mark.parametrize("scale", [1e-3, 1.0, 1e20])
+def test_screened_lists_are_those_of_all_distances(metric, scale):
+    """Over several tiles, with copies, negative codes and a wide range of sizes; equal rows tie and go to the smaller id."""
+    r = np.random.default_rng(5)
+    x = r.normal(size=(2600, 12)) * scale
+    x[900:1000], x[2500:] = x[7], x[7]
+    x = np.floor(r.normal(size=(2600, 12)) * 100).astype(np.int64) if metric == "hamming" else x
+    ids = np.arange(2600) * 3
+    got_id, rank, nbr, dist = neighbours._nearest(ids[:60], x[:60], ids, x, 20, metric)
+    assert (got_id == np.repeat(ids[:60], 20)).all() and (rank == np.tile(np.arange(20) + 1, 60)).all()
+    for i in range(60):
+        if metric == "hamming":
+            d = np.array([sum(bin((int(a) ^ int(b)) % (1 << 64)).count("1") for a, b in zip(x[i], v)) for v in x])
+        else:
+            u = x / np.sqrt((x * x).sum(1, keepdims=True)) if metric in ("cosine", "angular") else x
+            off = u - u[i]
+            cos = np.einsum("ij,ij->i", np.broadcast_to(u[i], u.shape).copy(), u)
+            d = {"cosine": 1 - cos, "angular": np.arccos(np.clip(cos, -1, 1)), "l1": np.abs(off).sum(1), "l2": np.sqrt(np.einsum("ij,ij->i", off, off)), "linf": np.abs(off).max(1)}[metric]
+        want = np.lexsort((ids, d))[:20]
+        assert (nbr[i * 20:(i + 1) * 20] == ids[want]).all()
+        assert dist[i * 20:(i + 1) * 20] == pytest.approx(d[want], rel=1e-12, abs=1e-15)
+
+
+def test_groups_of_queries_meet_the_whole_table(spark):
+    """Radius graphs of a table too large to give to every task: the join of block pairs is gone, and no group waits behind another."""
+    _, df = data(spark, 150)
+    for blocks in ({}, {"block_rows": 8, "broadcast_bytes": 0}):
+        found = density.dbscan(df, 1.2, 4, **blocks).orderBy("id").collect()
+        want = found if not blocks else want
+        assert found == want
+        counts = neighbours.radius_counts(df, 1.2, **blocks)
+        if blocks:
+            assert "BroadcastHashJoin" not in counts._jdf.queryExecution().toString() and "SortMergeJoin" not in counts._jdf.queryExecution().toString()
+    keys = neighbours._even_keys(spark, 12)
+    dealt = spark.createDataFrame([(k,) for k in keys], "k long").repartition(12, "k").select(F.spark_partition_id().alias("p"))
+    assert dealt.distinct().count() == 12
+
+
 def test_strategies_agree(spark):
     _, df = data(spark, 150)
     want = sorted(map(tuple, neighbours.knn(df, 6).select("id", "rank", "nbr").collect()))
