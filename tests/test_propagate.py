@@ -1,3 +1,4 @@
+import os
 import random
 
 import numpy as np
@@ -6,7 +7,8 @@ from hypothesis import given, settings, strategies as st
 
 from kinweave.functions.forest import min_roots, star_forest
 from kinweave.operators import components, labels, propagate
-from kinweave.operators.propagate import rounds_within
+from kinweave.operators.propagate import diffuse, rounds_within
+from kinweave.sources.shared import recorded
 
 
 def plain_components(nodes, edges):
@@ -135,3 +137,20 @@ def test_soft_labels(spark):
     raw = {1: {0: 1 + .9 * .6, 2: .5 * .6}, 0: {0: 1 + .9 * .6}}
     assert got[0, 0] == pytest.approx(1) and got[1, 0] == pytest.approx(raw[1][0] / sum(raw[1].values())) and got[1, 2] == pytest.approx(raw[1][2] / sum(raw[1].values()))
     assert (0, 2) not in got
+
+
+def test_diffusion_writes_no_row_of_a_root_and_a_node(spark):
+    """Sums by label leave the tasks; the form by joins gives the same and deletes its levels."""
+    r = np.random.default_rng(2)
+    edges = {tuple(sorted(e)) for e in r.integers(0, 60, (150, 2)).tolist() if e[0] != e[1]}
+    pairs = spark.createDataFrame([(a, b, float(r.uniform(0.3, 1))) for a, b in sorted(edges)], "a long, b long, score double")
+    membership = spark.createDataFrame([(i, i // 7 * 7) for i in range(62)], "id long, comp long").persist()
+    roots = membership.filter("id % 3 <> 0").select("id")
+    found = []
+    for options in ({}, {"local_links": 0, "lot_rows": 500}):
+        with recorded() as paths:
+            found.append({(x.id, x.label): x.weight for x in diffuse(pairs, membership, roots, **options).collect()})
+        left = [p for p in paths if "/level-" in p and os.path.exists(p.removeprefix("file://"))]
+        assert left == []
+    assert found[0].keys() == found[1].keys() and len(found[0]) > 400
+    assert all(found[1][at] == pytest.approx(w, rel=1e-12) for at, w in found[0].items())
