@@ -48,6 +48,12 @@ def test_clusters_that_outlast_the_thresholds_match_their_sql(spark, tmp_path, n
     assert sorted(map(tuple, got.collect())) == sorted(want) and max(Counter(c for _, c in want).values()) > catalogue.MAX_SZ
 
 
+def test_word_bins_are_counted_in_the_row(spark):
+    lists = [[3, 3, 255], [0], list(range(256)) * 2]
+    found = spark.createDataFrame(list(enumerate(lists)), "id long, bins array<int>").mapInArrow(catalogue._counted, "id long, embedding array<double>").collect()
+    assert {r.id: r.embedding for r in found} == {i: [float(own.count(b)) for b in range(256)] for i, own in enumerate(lists)}
+
+
 def test_queries_take_whole_vectors_of_the_given_table(spark, monkeypatch):
     sizes = {}
     note = lambda name: lambda df, *a, **o: sizes.update({name: (df.count(), len(df.first().embedding))})

@@ -68,6 +68,15 @@ def test_screened_lists_are_those_of_all_distances(metric, scale):
         assert dist[i * 20:(i + 1) * 20] == pytest.approx(d[want], rel=1e-12, abs=1e-15)
 
 
+@pytest.mark.parametrize("blocks", [{}, {"block_rows": 16, "broadcast_bytes": 0}])
+def test_lists_within_a_distance_are_the_heads_of_whole_lists(spark, blocks):
+    _, df = data(spark, 150)
+    key = lambda lists: sorted(map(tuple, lists.select("id", "rank", "nbr").collect()))
+    whole = neighbours.knn(df, 6, **blocks)
+    assert key(neighbours.knn(df, 6, within=0.1, **blocks)) == key(whole.filter("dist <= 0.1"))
+    assert whole.filter("dist > 0.1").count() > 0
+
+
 def test_groups_of_queries_meet_the_whole_table(spark):
     """Radius graphs of a table too large to give to every task: the join of block pairs is gone, and no group waits behind another."""
     _, df = data(spark, 150)
