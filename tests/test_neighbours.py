@@ -217,3 +217,28 @@ def test_toy_shapes(spark):
         rows = made(spark, 100).collect()
         assert len(rows) == 100 and all(len(r.embedding) == 2 for r in rows)
         assert rows == made(spark, 100).collect()
+
+
+def test_few_pairs_are_measured_exactly_while_lists_are_young(monkeypatch):
+    r = np.random.default_rng(4)
+    x, seen, real = r.normal(size=(8192, 24)), [], neighbours._pair_distances
+    monkeypatch.setattr(neighbours, "_pair_distances", lambda a, b, metric: (seen.append(len(a)), real(a, b, metric))[1])
+    for metric in ("cosine", "l2", "l1"):
+        seen.clear()
+        ids, rank, nbr, _ = neighbours._nearest(np.arange(200), x[:200], np.arange(8192), x, 15, metric)
+        assert (nbr.reshape(200, 15) == np.argsort(neighbours._distances(x[:200], x, metric), axis=1, kind="stable")[:, :15]).all()
+        assert sum(seen) <= 200 * 15 * 12  # before: 256 of the first rows and 120 of the next tile for each list
+
+
+def test_a_larger_table_does_not_go_through_the_driver(spark, monkeypatch):
+    x = np.random.default_rng(6).normal(size=(3000, 400))  # 9.6 MB
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "id long, embedding array<double>").repartition(4)
+
+    def refused(self):
+        raise AssertionError("the table was collected")
+
+    monkeypatch.setattr(type(df), "toArrow", refused)
+    found = neighbours.knn(df, 3).filter("id % 100 = 0").orderBy("id", "rank").collect()
+    want = np.argsort(neighbours._distances(x[::100], x, "cosine"), axis=1, kind="stable")[:, :3]
+    assert [r.nbr for r in found] == want.ravel().tolist()
+    assert neighbours.radius_counts(df, 1.0).filter("n < 1").count() == 0
