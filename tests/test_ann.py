@@ -68,3 +68,11 @@ def test_leaf_bounds():
 def test_unknown_strategy(spark):
     with pytest.raises(ValueError):
         neighbours.knn(table(spark, np.eye(3)), 2, strategy="magic")
+
+
+def test_refined_lists_get_longer_until_they_know_enough(spark):
+    """In many dimensions settled lists of a fixed length miss neighbours, the more the larger the table."""
+    x = np.random.default_rng(3).normal(size=(2500, 40))
+    df = table(spark, x).select("id", "embedding")
+    found = ann.descent(df.withColumnRenamed("embedding", "v"), 10, "l2", listed=10)
+    assert share(found, neighbours.knn(df, 10, "l2"), 10) >= 0.9
