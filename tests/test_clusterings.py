@@ -167,3 +167,20 @@ def test_features_are_within_the_threshold():
     held.add(np.ones(300), x, (x * x).sum(1))
     n, s, q = held.n[: held.size], held.s[: held.size], held.q[: held.size]
     assert (q / n - ((s / n[:, None]) ** 2).sum(1) <= 0.16 + 1e-12).all() and 5 < held.size < 100
+
+
+def test_parts_of_similarities_send_each_other_sums(spark, monkeypatch):
+    """One written table a round, and the exemplars of one task, whatever the parts; a candidate of all rows among them."""
+    r = np.random.default_rng(11)
+    x = r.normal(size=(90, 3))
+    near = exemplars.similarities(table(spark, x), 6, -3.0)
+    hub = spark.createDataFrame([(2 * i, 0, -float(r.random() * 4)) for i in range(1, 90)], "i long, k long, s double")
+    near = near.unionByName(hub.join(near.select("i", "k"), ["i", "k"], "left_anti")).persist()
+    one = exemplars.propagate_affinity(near, 0.6, 8, 5).collect()
+    written = []
+    monkeypatch.setattr(exemplars, "materialize", lambda df, name, plain=exemplars.materialize: written.append(name) or plain(df, name))
+    for edges in (100, 1 << 18):
+        monkeypatch.setattr(exemplars, "PART_EDGES", edges)
+        written.clear()
+        assert sorted(exemplars.propagate_affinity(near, 0.6, 8, 5, local_edges=0).collect()) == sorted(one)
+        assert len({r.exemplar for r in one}) > 3 and "responsibilities" not in written and written.count("messages") <= 9
