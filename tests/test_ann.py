@@ -76,3 +76,28 @@ def test_refined_lists_get_longer_until_they_know_enough(spark):
     df = table(spark, x).select("id", "embedding")
     found = ann.descent(df.withColumnRenamed("embedding", "v"), 10, "l2", listed=10)
     assert share(found, neighbours.knn(df, 10, "l2"), 10) >= 0.9
+
+
+@pytest.mark.parametrize("metric", ["cosine", "l2", "l1", "hamming"])
+def test_lists_of_asked_cells(spark, monkeypatch, metric):
+    """The k nearest among rows of asked cells, each vector copied once a group of queries and not once a query's cell."""
+    r = np.random.default_rng(4)
+    x = r.integers(-1000, 1000, size=(700, 5))
+    x[50:90] = x[50]
+    df = table(spark, x).select("id", "embedding")
+    rows = neighbours._plain(df, "id", "embedding", metric)
+    own = lambda m: np.stack([np.abs(m[:, 0]).astype(np.int64) % 3, 3 + np.abs(m[:, 1]).astype(np.int64) % 4], axis=1)
+    asked = lambda m: np.stack([np.abs(m[:, 2] + j).astype(np.int64) % 3 == 0 for j in range(7)], axis=1)
+    copied = []
+    monkeypatch.setattr(neighbours, "_met", lambda asking, blocks, groups, plain=neighbours._met: copied.append(groups) or plain(asking, blocks, groups))
+    monkeypatch.setattr(neighbours, "TILE_ROWS", 64)
+    got = {}
+    for f in neighbours.cell_lists(rows, 2, 7, own, asked, 6, metric, 100).collect():
+        got.setdefault(f.id, []).append((f["rank"], f.dist, f.nbr))
+    assert copied and copied[0] <= 4
+    held = x.astype(np.int64 if metric == "hamming" else float)
+    d = np.stack([neighbours._pair_distances(*(neighbours._unit(m) if metric == "cosine" else m for m in (np.repeat(held[i:i + 1], 700, 0), held)), metric) for i in range(700)])
+    meets = np.stack([asked(held[i:i + 1])[0][own(held)].any(1) for i in range(700)])
+    for i in range(700):
+        near = sorted((d[i, j], j) for j in np.flatnonzero(meets[i]))[:6]
+        assert [n for _, _, n in sorted(got.get(i, []))] == [j for _, j in near] and np.allclose([w for _, w, _ in sorted(got.get(i, []))], [w for w, _ in near])
