@@ -184,3 +184,20 @@ def test_parts_of_similarities_send_each_other_sums(spark, monkeypatch):
         written.clear()
         assert sorted(exemplars.propagate_affinity(near, 0.6, 8, 5, local_edges=0).collect()) == sorted(one)
         assert len({r.exemplar for r in one}) > 3 and "responsibilities" not in written and written.count("messages") <= 9
+
+
+def test_products_do_not_go_through_the_driver(spark, monkeypatch):
+    """Small tables of rows are shuffled; a broadcast would send them through the driver once a product."""
+    x = np.random.default_rng(12).normal(size=(40, 3))
+    plans = []
+
+    def kept(df, name, plain=spectral.materialize):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return plain(df, name)
+
+    monkeypatch.setattr(spectral, "materialize", kept)
+    summed = spectral._summed
+    monkeypatch.setattr(spectral, "_summed", lambda table, *a: plans.append(table._jdf.queryExecution().executedPlan().toString()) or summed(table, *a))
+    edges = spectral.materialize(spectral.graph(neighbours.knn(table(spark, x), 6, "l2")), "normalised")
+    spectral.eigenvectors(edges, 2, 1e-9, 1)
+    assert len([p for p in plans if "Join" in p]) > 4 and not any("Broadcast" in p for p in plans)
