@@ -242,3 +242,15 @@ def test_a_larger_table_does_not_go_through_the_driver(spark, monkeypatch):
     want = np.argsort(neighbours._distances(x[::100], x, "cosine"), axis=1, kind="stable")[:, :3]
     assert [r.nbr for r in found] == want.ravel().tolist()
     assert neighbours.radius_counts(df, 1.0).filter("n < 1").count() == 0
+
+
+def test_squared_distances_take_two_tiles():
+    import tracemalloc
+
+    x, y = np.random.default_rng(8).normal(size=(600, 8)), np.random.default_rng(9).normal(size=(700, 8))
+    tracemalloc.start()
+    d = neighbours._distances(x, y, "l2")
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 2.5 * d.nbytes
+    assert np.array_equal(d, np.sqrt(np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2 * (x @ y.T), 0)))
