@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from kinweave.operators import hdbscan, spanning
+from kinweave.operators import hdbscan, neighbours, spanning
 
 
 def table(spark, x, parts=3):
@@ -94,6 +94,27 @@ def test_matches_the_definition(spark, name):
         assert got == {ids[i]: (ids[want[i]] if i in want else None) for i in range(len(x))} or {frozenset(k for k in got if got[k] == c) for c in set(got.values()) - {None}} == {frozenset(ids[i] for i in want if want[i] == c) for c in set(want.values())}
 
 
+def test_tree_of_a_large_part_that_never_searches(spark, monkeypatch):
+    """Exact where many rows make up one part that no other is nearest to for some rounds; its rows do not search again."""
+    r = np.random.default_rng(3)
+    far = [r.normal(size=(n, 3)) * 0.05 + c for n, c in ((6, (40, 0, 0)), (6, (41, 0, 0)), (7, (0, 60, 0)), (5, (0, 61.5, 0)), (4, (40, 2, 0)))]
+    x = np.concatenate([r.normal(size=(90, 3)), *far, far[0][:3], far[0][:2], [far[2][0]] * 9])
+    df, ids = table(spark, x)
+    big, searched, plain = {ids[i] for i in range(90)}, [], neighbours._searched
+
+    def search(rows, lists, block_rows, broadcast_bytes, queries):
+        searched.append({q.id for q in queries.collect()})
+        return plain(rows, lists, block_rows, broadcast_bytes, queries)
+
+    monkeypatch.setattr(neighbours, "_searched", search)
+    for metric, p in (("l2", 2), ("l1", 1), ("linf", np.inf)):
+        for spread in ({"broadcast_bytes": 0, "block_rows": 17}, {}):
+            searched.clear()
+            tree = spanning.reachability_tree(df, 4, metric, listed=4, dense_rows=0, **spread).collect()
+            assert len(tree) == len(x) - 1 and np.allclose(sorted(e.w for e in tree), plain_tree(reachability(x, 4, p)), atol=1e-9)
+            assert searched and not any(len(asked & big) > 45 for asked in searched)
+
+
 def test_odd_rows(spark):
     x = shapes()["blobs"][:14]
     df, ids = table(spark, x)
