@@ -10,6 +10,9 @@ Documents are read side by side in lanes (``Lanes``), in windows of a fixed
 number of steps. A lane goes on with the next document where one ends, so a
 document of any length takes one lane and its state runs through all its
 windows, in scoring and in training (whose gradients end at a window's start).
+Where few lanes are left, windows that follow each other in a lane are taken as
+one step of as many words as full lanes have: their states come one after
+another, all the rest (outputs, gradients, the update) is done for them side by side.
 """
 
 from __future__ import annotations
@@ -95,6 +98,22 @@ class Lanes:
         for load, i in heap:
             self.load[i] = load
 
+    def beside(self, lanes: int) -> int:
+        """How many windows of so many lanes are about as large as one of all lanes."""
+        return max(1, len(self.queues) // lanes)
+
+    def cuts(self, x: np.ndarray) -> Iterator[slice]:
+        """Of a block's steps: windows, or runs of windows where there are few lanes."""
+        step = self.beside(len(x)) * self.span
+        return (slice(t, t + step) for t in range(0, x.shape[1], step))
+
+    def placed(self, m: np.ndarray) -> np.ndarray:
+        """(lanes, steps) as (step of a window, window and lane)."""
+        return m.reshape(len(m), -1, self.span).transpose(2, 1, 0).reshape(self.span, -1)
+
+    def unplaced(self, m: np.ndarray, lanes: int) -> np.ndarray:
+        return m.reshape(self.span, -1, lanes).transpose(2, 1, 0).reshape(lanes, -1)
+
     def blocks(self, final: bool) -> Iterator[tuple]:
         """(lanes, x, y, fresh, keys, starts, done) while all lanes are full, or if ``final`` until all are empty.
 
@@ -107,7 +126,8 @@ class Lanes:
             if full:
                 lanes, steps = np.arange(len(self.queues)), min(full, self.windows) * self.span
             elif final and self.load.any():
-                lanes, steps = np.flatnonzero(self.load), self.span
+                lanes = np.flatnonzero(self.load)
+                steps = min(-(-int(self.load[lanes].min()) // self.span), self.beside(len(lanes))) * self.span
             else:
                 return
             y = np.full((len(lanes), steps), -1, dtype=np.int32)
@@ -159,40 +179,53 @@ class Model:
         """(log probabilities (steps, lanes) with 0 for y < 0, last state, what backward needs).
 
         ``fresh`` marks places where a document begins and the state is cleared.
-        Weights may change between windows with ``keep`` only.
+        Weights may change between windows with ``keep`` only. Where there are more
+        places beside each other than states, they are windows that follow each other.
         """
-        steps, n, h = *x.shape, self.h
+        steps, n, h, lanes = *x.shape, self.h, len(state)
         x = np.where(fresh, self.start, np.maximum(x, 0))
         if keep:  # the window's words only, under the weights as they are
             order = np.argsort(x.ravel().astype(np.uint16) if self.start < 1 << 16 else x.ravel(), kind="stable")
             ids, first = np.unique(x.ravel()[order], return_index=True)
             places = np.empty(x.size, np.int32)
             places[order] = np.repeat(np.arange(len(ids), dtype=np.int32), np.diff(first, append=x.size))
-            z, r, c = (table.take(places.reshape(x.shape), axis=0) for table in self._gate_inputs(ids))
+            tables, places = self._gate_inputs(ids), places.reshape(x.shape)
             words = order, ids, first
         else:
-            z, r, c = (table.take(x, axis=0) for table in self.inputs)
+            tables, places = self.inputs, x
+        c = tables[2].take(places, axis=0)
+        gates = np.empty((2, *c.shape), c.dtype)  # update and reset
+        for gate, table in zip(gates, tables):
+            np.take(table, places, axis=0, out=gate, mode="clip")
+        z, r = gates
         wz, wr, wc = self._thirds(self.w.wh)
+        both = np.stack([wz, wr])
         stays = (~fresh).astype(z.dtype)[:, :, None]
         before, after, q = np.empty_like(z), np.empty_like(z), np.empty_like(z)
-        part = np.empty_like(state)
-        for t in range(steps):
-            s, zt, rt, ct, qt = before[t], z[t], r[t], c[t], q[t]
-            np.multiply(state, stays[t], out=s)
-            for gate, table in ((zt, wz), (rt, wr)):
-                np.matmul(s, table, out=part)
-                gate += part
+        parts = np.empty((2, lanes, h), z.dtype)
+        begins = fresh.reshape(steps, -1, lanes).any(2).T.tolist()
+        for first_lane in range(0, n, lanes):
+            at = slice(first_lane, first_lane + lanes)
+            for t in range(steps):
+                s, gate, ct, qt = before[t, at], gates[:, t, at], c[t, at], q[t, at]
+                if begins[first_lane // lanes][t]:
+                    np.multiply(state, stays[t, at], out=s)
+                else:
+                    s[...] = state
+                np.matmul(s, both, out=parts)
+                gate += parts
                 np.tanh(gate, out=gate)
                 gate += 1
                 gate *= 0.5
-            np.matmul(s, wc, out=qt)
-            np.multiply(rt, qt, out=part)
-            ct += part
-            np.tanh(ct, out=ct)
-            state = after[t]
-            np.subtract(s, ct, out=state)
-            state *= zt
-            state += ct
+                zt, rt = gate
+                np.matmul(s, wc, out=qt)
+                np.multiply(rt, qt, out=parts[0])
+                ct += parts[0]
+                np.tanh(ct, out=ct)
+                state = after[t, at]
+                np.subtract(s, ct, out=state)
+                state *= zt
+                state += ct
         found, output = self._outputs(after.reshape(-1, h), y.ravel(), keep)
         return found.reshape(steps, n), state, (x, words, stays, z, r, c, q, before, output) if keep else None
 
@@ -292,10 +325,9 @@ class Scorer:
         found = []
         for lanes, x, y, fresh, runs, starts, done in self.lanes.blocks(final):
             state, logs = self.state[lanes], np.empty(x.shape)
-            for t in range(0, x.shape[1], self.lanes.span):
-                cut = slice(t, t + self.lanes.span)
-                out, state, _ = self.model.window(x[:, cut].T, y[:, cut].T, fresh[:, cut].T, state, False)
-                logs[:, cut] = out.T
+            for cut in self.lanes.cuts(x):
+                out, state, _ = self.model.window(*(self.lanes.placed(m[:, cut]) for m in (x, y, fresh)), state, False)
+                logs[:, cut] = self.lanes.unplaced(out, len(lanes))
             self.state[lanes] = state
             for key, value in zip(runs, np.add.reduceat(logs.ravel(), starts).tolist()):
                 if key is not None:
@@ -317,9 +349,8 @@ class Trainer:
         self.lanes.add([0] * len(docs), docs)
         for lanes, x, y, fresh, *_ in self.lanes.blocks(final):
             state = self.state[lanes]
-            for t in range(0, x.shape[1], self.lanes.span):
-                cut = slice(t, t + self.lanes.span)
-                _, state, saved = self.model.window(x[:, cut].T, y[:, cut].T, fresh[:, cut].T, state, True)
+            for cut in self.lanes.cuts(x):
+                _, state, saved = self.model.window(*(self.lanes.placed(m[:, cut]) for m in (x, y, fresh)), state, True)
                 self._step(*self.model.gradient(saved))
             self.state[lanes] = state
 

@@ -212,6 +212,26 @@ def test_gradient_matches_differences():
         assert math.isclose(-(values[0] - values[1]) / 2e-3, getattr(g, name)[k], rel_tol=0.02, abs_tol=2e-3), name
 
 
+def test_few_lanes_take_windows_together():
+    """A long text left over takes steps as large as those of full lanes; scores and gradients are those of its windows one by one."""
+    model, r = small()
+    doc = r.integers(0, 21, 4000)
+    taken, plain = [], model.window
+    model.window = lambda x, y, fresh, state, keep: taken.append(x.shape) or plain(x, y, fresh, state, keep)
+    assert np.allclose(logs(model, [doc], most=64, span=8), [plain_log(model.w, doc)], rtol=1e-5)
+    assert taken == [(8, 64)] * 7 + [(8, 52)]
+    x, y, fresh, state = r.integers(0, 21, (7, 6)), r.integers(-1, 21, (7, 6)), r.random((7, 6)) < 0.2, r.normal(size=(2, 6)).astype(np.float32)
+    found, last, saved = plain(x, y, fresh, state, True)
+    whole, ids, n = model.gradient(saved)
+    total = {name: 0 for name in ("wx", "wh", "b", "wc", "bc", "ww", "bw")}
+    for at in range(0, 6, 2):
+        log, state, saved = plain(x[:, at:at + 2], y[:, at:at + 2], fresh[:, at:at + 2], state, True)
+        assert np.allclose(log, found[:, at:at + 2], rtol=1e-5)
+        one = model.gradient(saved)[0]
+        total = {name: total[name] + getattr(one, name) for name in total}
+    assert np.allclose(state, last) and all(np.allclose(total[name], getattr(whole, name), rtol=1e-3, atol=1e-4) for name in total)
+
+
 def test_lanes_hold_every_document_once():
     lanes = gru.Lanes(16, 4)
     docs = [np.full(4, i) for i in range(100)] + [np.full(900, 100), np.full(1, 101)]
