@@ -154,3 +154,37 @@ def test_diffusion_writes_no_row_of_a_root_and_a_node(spark):
         assert left == []
     assert found[0].keys() == found[1].keys() and len(found[0]) > 400
     assert all(found[1][at] == pytest.approx(w, rel=1e-12) for at, w in found[0].items())
+
+
+def test_soft_labels_are_not_shuffled(spark):
+    """Each node's sums are made where the node is, also over many levels, weak links and negative scores (by joins)."""
+    r = np.random.default_rng(5)
+    edges = {tuple(sorted(e)) for e in r.integers(0, 80, (110, 2)).tolist() if e[0] != e[1]} | {(200 + i, 201 + i) for i in range(9)}
+    for least in (0.0, -1.0):
+        rows = [(a, b, float(r.integers(0, 5)) / 4 if least == 0 else float(r.uniform(least, 1))) for a, b in sorted(edges)]
+        pairs = spark.createDataFrame(rows, "a long, b long, score double")
+        comp = {i: i // 7 * 7 for i in sorted({x for e in edges for x in e} | {500})}
+        membership = spark.createDataFrame(list(comp.items()), "id long, comp long").persist()
+        links: dict[int, list[tuple[int, float]]] = {}
+        for a, b, s in rows:
+            links.setdefault(a, []).append((b, s))
+            links.setdefault(b, []).append((a, s))
+        want = {(i, c): 1.0 for i, c in comp.items()}
+        for root in comp:
+            if root % 3:
+                seen, level = {root}, {root: 1.0}
+                for _ in range(5):
+                    step: dict[int, float] = {}
+                    for p, value in level.items():
+                        for v, s in links.get(p, []):
+                            if v not in seen:
+                                step[v] = max(step.get(v, -np.inf), value * s * 0.6)
+                    seen |= step.keys()
+                    level = step
+                    for v, value in step.items():
+                        want[v, comp[root]] = want.get((v, comp[root]), 0) + value
+        soft = diffuse(pairs, membership, membership.filter("id % 3 <> 0").select("id"), normalise=False)
+        found = {(x.id, x.label): x.weight for x in soft.collect()}
+        assert found.keys() == want.keys() and all(found[at] == pytest.approx(w, rel=1e-12, abs=1e-15) for at, w in want.items())
+        if least == 0:
+            assert soft._jdf.queryExecution().optimizedPlan().toString().startswith("MapInArrow")
