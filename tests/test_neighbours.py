@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -254,3 +255,19 @@ def test_squared_distances_take_two_tiles():
     tracemalloc.stop()
     assert peak < 2.5 * d.nbytes
     assert np.array_equal(d, np.sqrt(np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2 * (x @ y.T), 0)))
+
+
+def test_queries_become_lots_as_they_come():
+    """A group's queries are taken batch by batch, so that they are not held twice."""
+    started = []
+
+    def batches():
+        for i in range(3):
+            assert sum(started) == 2048 * i
+            x = np.ones((2048, 2))
+            yield pa.RecordBatch.from_arrays([pa.array([7]), pa.array([0]), pa.array([np.arange(2048) + 2048 * i]), pa.array([x.ravel()])], ["group", "kind", "ids", "vs"])
+        for kind, n in ((0, 100), (0, 50), (1, 30)):
+            yield pa.RecordBatch.from_arrays([pa.array([7]), pa.array([kind]), pa.array([np.arange(n) + 10_000 * n]), pa.array([np.ones(2 * n)])], ["group", "kind", "ids", "vs"])
+
+    lots = list(neighbours._streams(batches(), lambda ids, x: started.append(len(ids)) or (ids, x), lambda lot, ids, y: [(len(lot[0]), len(ids), lot[1].shape)], lambda lots: [len(lots)]))
+    assert started == [2048, 2048, 2048, 150] and lots == [(2048, 30, (2048, 2))] * 3 + [(150, 30, (150, 2)), 4]
