@@ -271,3 +271,47 @@ def test_queries_become_lots_as_they_come():
 
     lots = list(neighbours._streams(batches(), lambda ids, x: started.append(len(ids)) or (ids, x), lambda lot, ids, y: [(len(lot[0]), len(ids), lot[1].shape)], lambda lots: [len(lots)]))
     assert started == [2048, 2048, 2048, 150] and lots == [(2048, 30, (2048, 2))] * 3 + [(150, 30, (150, 2)), 4]
+
+
+@pytest.mark.parametrize("metric", ["l2", "l1", "linf", "cosine", "angular"])
+def test_radius_pairs_are_screened(monkeypatch, metric):
+    """Of a tile with few pairs within the radius, those alone are measured."""
+    r = np.random.default_rng(3)
+    x, y = r.normal(size=(300, 32)), r.normal(size=(3000, 32))
+    y[:40] = x[:40] * (1 + 1e-6)
+    d = neighbours._distances(x, y, metric)
+    radius = float(np.sort(d.ravel())[60])
+    want = {(int(i), int(j)) for i, j in zip(*np.nonzero(d < radius * (1 - 1e-9)))}
+    monkeypatch.setattr(neighbours, "_distances", None)
+    ids, _, nbr, dist = neighbours._within(np.arange(300), x, np.arange(3000), y, radius, metric)
+    found = set(zip(ids.tolist(), nbr.tolist()))
+    assert want <= found and len(found) <= 62 and np.allclose(dist, d[ids, nbr], atol=1e-6)
+
+
+def test_links_ask_core_rows_only(spark, monkeypatch):
+    """The table that streams through the tasks has the core rows; a few of them still deal the queries to many tasks."""
+    r = np.random.default_rng(4)
+    x = r.normal(size=(400, 3))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, embedding array<double>")
+    core = spark.createDataFrame([(i,) for i in range(0, 400, 10)], "id long")
+    tables, met, groups = [], neighbours._met, []
+    monkeypatch.setattr(neighbours, "_met", lambda asked, blocks, n: tables.append(blocks.selectExpr("sum(size(ids))").first()[0]) or groups.append(n) or met(asked, blocks, n))
+    links = neighbours.radius_links(df, core, 0.7, broadcast_bytes=0, block_rows=64).collect()
+    assert tables == [40] and groups[0] > 1
+    d = neighbours._distances(x, x, "l2")
+    want = {(i, j) for i in range(400) for j in range(0, 400, 10) if i % 10 and d[i, j] <= 0.7}
+    assert {(e.id, e.nbr) for e in links if e.border} == want and len(want) > 20
+    assert all(e.id % 10 == 0 and e.nbr % 10 == 0 for e in links if not e.border)
+
+
+def test_unit_rows_work_out_their_length_once(spark):
+    """No lambda over the elements holds the sum over all elements."""
+    df = spark.createDataFrame([(1, [3.0, 4.0]), (2, [0.0, 0.0]), (3, None), (4, [])], "id long, v array<double>")
+    got = {r.id: r for r in df.select("id", vectors.normalise(F.col("v")).alias("u"), vectors.softmax(F.col("v")).alias("s")).collect()}
+    assert got[1].u == [0.6, 0.8] and got[2].u == [None, None] and got[3].u is None and got[4].u == []
+    assert got[1].s == pytest.approx([1 / (1 + math.e), math.e / (1 + math.e)]) and got[2].s == [0.5, 0.5] and got[3].s is None and got[4].s == []
+    for f in (vectors.normalise, vectors.softmax):
+        wide = spark.range(1).select(F.array(*[F.rand(i) for i in range(3)]).alias("v")).select(f(F.col("v")).alias("u"))
+        plan = wide._jdf.queryExecution().analyzed().toString()
+        inner = [part.split("namedlambdavariable")[0] for part in plan.split("/ ")[1:]]
+        assert inner and all(not part.lstrip("(").startswith(("aggregate", "nullif", "sqrt", "if")) for part in inner)
